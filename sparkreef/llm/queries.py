@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import line_dedup, mixing, packing, secrets, simhash
+from sparkreef.llm import line_dedup, mixing, packing, secrets, simhash, url_filter
 from sparkreef.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_flow_mixing": op6_flow_mixing,
+    "op7_url_rules": op7_url_rules,
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_secret_scan": op10_secret_scan,
 }
