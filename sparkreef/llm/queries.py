@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import line_dedup, mixing, packing, secrets, simhash, url_filter
+from sparkreef.llm import line_dedup, mixing, packing, quality, secrets, simhash, url_filter
 from sparkreef.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents")).drop("beyond")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -54,6 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_fences": op2_quality_fences,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_flow_mixing": op6_flow_mixing,
     "op7_url_rules": op7_url_rules,
