@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import line_dedup, mixing, packing, quality, secrets, simhash, url_filter
+from sparkreef.llm import line_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from sparkreef.llm.common import table
 
 
@@ -25,6 +25,28 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json")).drop("row")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Whether a row's labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.train(docs, labels)
+
+
+def op4_toxicity_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity_model(spark, sf_dir, docs))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op6_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_fences": op2_quality_fences,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity_dictionaries": op4_toxicity_dictionaries,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_flow_mixing": op6_flow_mixing,
     "op7_url_rules": op7_url_rules,
     "op9_simhash_pivots": op9_simhash_pivots,
