@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import line_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from sparkreef.llm import line_dedup, media, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from sparkreef.llm.common import table
 
 
@@ -55,6 +55,12 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound, so each vector is played as a melody and the recordings are aligned."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.align_recordings(vectors, "vec_id", "embedding", media.from_notes)
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_flow_mixing": op6_flow_mixing,
     "op7_url_rules": op7_url_rules,
+    "op8_chroma_alignment": op8_chroma_alignment,
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_secret_scan": op10_secret_scan,
 }
