@@ -265,3 +265,26 @@ def mix_report(
     mixed = mix_sources(single, id_col, "sources", text_col, weights, share, most, seed)
     quota = F.col("quotas")[0]
     return mixed.select(id_col, "size", quota["size"].alias("source_size"), quota["target"].alias("target"), "taken")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST_REPEATS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    Rows that share an id and a text are taken alike, as often as the luckiest of them.
+    """
+    single = docs.select(id_col, text_col, F.array(source_col).alias("sources"))
+    taken = mix_sources(single, id_col, "sources", text_col, weights, share, most, seed)
+    repeats = taken.groupBy(F.col(id_col).alias("_doc"), F.col("rid").alias("_rid")).agg(F.max("repeats").alias("_n"))
+    own = docs.withColumn("_own", text_hash(text_col))
+    same = own[id_col].eqNullSafe(repeats["_doc"]) & (own["_own"] == repeats["_rid"])
+    rows = own.join(repeats.where("_n > 0"), same)
+    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

@@ -209,3 +209,172 @@ def simhash_groups(
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+#: Near copies: runs of five words, this share of them in common.
+COPY_WORDS = 5
+SIMILARITY = 0.8
+#: A wide fingerprint has this many words of 64 bits.
+WIDE = 16
+#: The share of pairs at SIMILARITY that meet under a key.
+RECALL = 0.95
+#: Beyond this many differing bits of the first 64, a pair can't be near: 4 deviations above the mean.
+FAR = 21
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits for sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_majority(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """``words`` fingerprints of one set of hashes, each by another mixing of them."""
+    counts = np.zeros((8, words, 8), np.int64)
+    salts = pivots(words)
+    for at in range(0, len(hashes), 255):
+        part = (hashes[at : at + 255, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0x94D049BB133111EB)
+        for bit in range(8):
+            sums = ((part >> np.uint64(bit)) & _LANES).sum(0, dtype=np.uint64)
+            counts[bit] += sums.view(np.uint8).reshape(words, 8)
+    bits = (2 * counts > len(hashes)).transpose(1, 2, 0).reshape(words, 64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def key_bits(n: int) -> int:
+    """Bits that a key compares: enough for strangers to meet rarely among ``n``."""
+    return max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
+
+
+def key_count(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    meet = (1 - differing_share(similarity)) ** bits
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = COPY_WORDS,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+) -> DataFrame:
+    """(id, rid, component_id) for each row: documents whose shingle sets are ``similarity`` alike.
+
+    Such pairs differ in too many bits for an exact search, so a key here is the vector of partial
+    pivot distances over a choice of bits of a wide fingerprint, and there are as many keys as it
+    takes for ``recall`` of the pairs at the very threshold (and nearly all closer ones) to share
+    one. Under a key, each member meets the first one and the one before it; the pairs are verified
+    on all bits, which tell the similarity to within 0.02. Equal shingle sets are one node.
+    """
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rid"),
+        F.col(text_col).alias("text"),
+    )
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, wide = [], []
+            for text in batch.column(2).to_pylist():
+                hashes = np.unique(shingle_hashes(text, words))
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                wide.append(wide_majority(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc", "rid", "same", "wide"],
+            )
+
+    marked = checkpointed(rows.mapInArrow(mark, "doc long, rid long, same binary, wide binary"))
+    nodes = checkpointed(marked.groupBy("same").agg(F.min("doc").alias("node"), F.min("wide").alias("wide")))
+    bits = key_bits(nodes.count())
+    n_keys = key_count(bits, similarity, recall)
+    chosen = np.random.RandomState(SEED).rand(n_keys, 64 * WIDE).argsort(1)[:, :bits]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+        refs = np.unpackbits(pivots(WIDE).view(np.uint8), bitorder="little")
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+            # Distances to a reference over single bits: 0 or 1 for each.
+            apart = np.unpackbits(wide, axis=1, bitorder="little") ^ refs
+            check = np.ascontiguousarray(wide[:, :8]).view(np.int64)[:, 0]
+            for number, columns in enumerate(chosen):
+                key = apart[:, columns].astype(np.uint64) @ places
+                key = (key * np.uint64(n_keys) + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), batch.column(0), pa.array(check)], ["key", "node", "check"]
+                )
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (key, first node and check, previous node and check)
+        for batch in batches:
+            key, node, check = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            if last is not None:  # the run in progress goes on: its first and its previous member
+                key = np.concatenate([[last[0]] * 2, key])
+                node = np.concatenate([[last[1], last[3]], node])
+                check = np.concatenate([[last[2], last[4]], check])
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+            last = (key[-1], node[first[-1]], check[first[-1]], node[-1], check[-1])
+            at = np.flatnonzero(~fresh)
+            a, b = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
+            near = np.bitwise_count(check[a].view(np.uint64) ^ check[b].view(np.uint64)) <= FAR
+            a, b = node[a[near]], node[b[near]]
+            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    pairs = (
+        nodes.select("node", "wide")
+        .mapInArrow(keyed, "key long, node long, check long")
+        .repartition("key")
+        .sortWithinPartitions("key", "check", "node")
+        .mapInArrow(met, "a long, b long")
+        .distinct()
+    )
+    most = differing_share(similarity) * 64 * WIDE
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 8 * WIDE) for i in (2, 3)
+            )
+            keep = pa.array(np.bitwise_count(one ^ two).sum(1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    wide = nodes.select("node", "wide")
+    links = (
+        pairs.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a"}), "a")
+        .join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b"}), "b")
+        .select("a", "b", "wide_a", "wide_b")
+        .mapInArrow(verified, "a long, b long")
+    )
+    rooted = nodes.join(components(links), "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return marked.select("doc", "rid", "same").join(rooted, "same").select(F.col("doc").alias(id_col), "rid", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with its columns, one row of each group of near copies: that of the smallest id.
+
+    Of rows that share even the id, the one with the smallest text hash stays, once.
+    """
+    groups = near_copies(docs, id_col, text_col, **options)
+    stays = groups.groupBy("component_id").agg(F.min(F.struct(id_col, "rid")).alias("stays"))
+    stays = stays.select(F.col(f"stays.{id_col}").alias("_doc"), F.col("stays.rid").alias("_rid"))
+    rows = groups.groupBy(F.col(id_col).alias("_doc"), F.col("rid").alias("_rid")).agg(F.count("*").alias("_n"))
+    stays = checkpointed(stays.join(rows, ["_doc", "_rid"]))
+    own = docs.withColumns(
+        {
+            "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
+            "_rid": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        }
+    )
+    kept = own.join(stays.where("_n = 1"), ["_doc", "_rid"]).select(*docs.columns)
+    repeated = stays.where("_n > 1")
+    if repeated.isEmpty():
+        return kept
+    once = own.join(repeated, ["_doc", "_rid"]).dropDuplicates(["_doc", "_rid"]).select(*docs.columns)
+    return kept.union(once)
