@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of the queries define it.
@@ -41,3 +41,8 @@ def partitions(spark: SparkSession) -> int:
 def text_hash(column: str = "text"):
     """Tells rows with one id and different texts apart; null and empty texts are alike."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column, row, and ``columns`` beside it, whatever names ``docs`` has."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import BLANKS, partitions, text_hash
+from sparkreef.llm.common import BLANKS, boxed, partitions, text_hash
 
 LEAST = 10
 
@@ -156,13 +156,10 @@ def kept_text(text: str | None, bitmap: bytes | None) -> str:
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` and, as ``_keep``, each row's bitmap: null where all its lines stay."""
-    bitmaps = line_bitmaps(docs, id_col, text_col, least).select(
-        F.col(id_col).alias("_doc"), F.col("rid").alias("_rid"), F.col("keep").alias("_keep")
-    )
-    own = docs.withColumn("_rid_own", text_hash(text_col))
-    same = own[id_col].cast("long").eqNullSafe(bitmaps["_doc"]) & (own["_rid_own"] == bitmaps["_rid"])
-    return own.join(bitmaps, same, "left").drop("_doc", "_rid", "_rid_own")
+    """(row, keep): each row of ``docs`` as a struct and its bitmap, null where all its lines stay."""
+    bitmaps = line_bitmaps(docs, id_col, text_col, least).select(F.col(id_col).alias("doc"), F.col("rid"), F.col("keep"))
+    own = boxed(docs, own_doc=F.col(id_col).cast("long"), own_rid=text_hash(text_col))
+    return own.join(bitmaps, F.col("own_doc").eqNullSafe(F.col("doc")) & (F.col("own_rid") == F.col("rid")), "left").select("row", "keep")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -170,20 +167,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Where nothing is dropped the text stays as it is, null included.
     """
-    names = docs.columns
     marked = with_bitmaps(docs, id_col, text_col, least)
 
     @F.pandas_udf("string")
     def cut(text, keep):
         return text.combine(keep, kept_text) if len(text) else text
 
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(cut(text_col, "_keep"))
-    return marked.withColumn(text_col, text).select(*names)
+    text = F.col("row")[text_col]
+    left = F.when(F.col("keep").isNull(), text).otherwise(cut(text, "keep"))
+    return marked.select(F.col("row").withField(f"`{text_col}`", left).alias("row")).select("row.*")
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, n_lines, n_dropped, kept_sha256) for each row of ``docs``."""
-    marked = with_bitmaps(docs.select(id_col, text_col), id_col, text_col, least).select(id_col, text_col, "_keep")
+    marked = with_bitmaps(docs.select(id_col, text_col), id_col, text_col, least).select(
+        F.col("row")[id_col].alias(id_col), F.col("row")[text_col].alias("text"), "keep"
+    )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

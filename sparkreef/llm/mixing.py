@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import checkpointed, text_hash
+from sparkreef.llm.common import boxed, checkpointed, text_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -283,8 +283,7 @@ def mixed_documents(
     """
     single = docs.select(id_col, text_col, F.array(source_col).alias("sources"))
     taken = mix_sources(single, id_col, "sources", text_col, weights, share, most, seed)
-    repeats = taken.groupBy(F.col(id_col).alias("_doc"), F.col("rid").alias("_rid")).agg(F.max("repeats").alias("_n"))
-    own = docs.withColumn("_own", text_hash(text_col))
-    same = own[id_col].eqNullSafe(repeats["_doc"]) & (own["_own"] == repeats["_rid"])
-    rows = own.join(repeats.where("_n > 0"), same)
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    repeats = taken.groupBy(F.col(id_col).alias("doc"), "rid").agg(F.max("repeats").alias("n")).where("n > 0")
+    own = boxed(docs, own_doc=F.col(id_col), own_rid=text_hash(text_col))
+    rows = own.join(repeats, F.col("own_doc").eqNullSafe(F.col("doc")) & (F.col("own_rid") == F.col("rid")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import checkpointed
+from sparkreef.llm.common import boxed, checkpointed, text_hash
 from sparkreef.llm.components import components
 
 SEED = 42
@@ -38,6 +38,8 @@ BLOCKS = 8
 PIVOTS = 24
 
 _LANES = np.uint64(0x0101010101010101)
+#: Stands for a null id: it sorts last.
+_LAST = (1 << 63) - 1
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -269,8 +271,8 @@ def near_copies(
     on all bits, which tell the similarity to within 0.02. Equal shingle sets are one node.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rid"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
+        text_hash(text_col).alias("rid"),
         F.col(text_col).alias("text"),
     )
 
@@ -362,19 +364,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that share even the id, the one with the smallest text hash stays, once.
     """
     groups = near_copies(docs, id_col, text_col, **options)
-    stays = groups.groupBy("component_id").agg(F.min(F.struct(id_col, "rid")).alias("stays"))
-    stays = stays.select(F.col(f"stays.{id_col}").alias("_doc"), F.col("stays.rid").alias("_rid"))
-    rows = groups.groupBy(F.col(id_col).alias("_doc"), F.col("rid").alias("_rid")).agg(F.count("*").alias("_n"))
-    stays = checkpointed(stays.join(rows, ["_doc", "_rid"]))
-    own = docs.withColumns(
-        {
-            "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
-            "_rid": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        }
-    )
-    kept = own.join(stays.where("_n = 1"), ["_doc", "_rid"]).select(*docs.columns)
-    repeated = stays.where("_n > 1")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("doc"), "rid")).alias("stays")).select("stays.*")
+    rows = groups.groupBy(F.col(id_col).alias("doc"), "rid").agg(F.count("*").alias("n"))
+    stays = checkpointed(stays.join(rows, ["doc", "rid"]))
+    own = boxed(docs, doc=F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), rid=text_hash(text_col))
+    kept = own.join(stays.where("n = 1"), ["doc", "rid"]).select("row.*")
+    repeated = stays.where("n > 1")
     if repeated.isEmpty():
         return kept
-    once = own.join(repeated, ["_doc", "_rid"]).dropDuplicates(["_doc", "_rid"]).select(*docs.columns)
+    once = own.join(repeated, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("row.*")
     return kept.union(once)

@@ -271,7 +271,6 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns."""
-    names = docs.columns
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -280,4 +279,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             found = [features_of(gains(words_of(t), toxic, ordinary)) for t in texts]
             yield pd.Series(model.score(np.array(found)) if found else [], dtype="float64")
 
-    return docs.withColumn("_score", score(text_col)).where(F.col("_score") < threshold).select(*names)
+    return docs.where(score(text_col) < threshold)

@@ -1,0 +1,223 @@
+"""What the operators do beyond the queries' digests."""
+
+import base64
+import json
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import brute
+from sparkreef.llm import line_dedup, media, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from sparkreef.llm.components import components
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body).to_bytes(2, "big")
+    return bytes([tag, 0x82]) + size + body if len(body) > 127 else bytes([tag, len(body)]) + body
+
+
+KEY = der(0x30, der(0x02, b"\0"), *(der(0x02, bytes(range(1, 60))) for _ in range(8)))
+
+
+def test_secrets_are_confirmed_by_structure():
+    jwt = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    fake = base64.urlsafe_b64encode(b'{"no":"header"}').decode().rstrip("=")
+    b64 = base64.b64encode(KEY).decode()
+    found = secrets.spans_of(f"{jwt}.abc.def {fake}.abc.def -----BEGIN RSA PRIVATE KEY-----\n{b64}\n-----END RSA PRIVATE KEY-----")
+    assert [k for k, _, _ in found] == ["token", "pem"]
+    assert [k for k, _, _ in secrets.spans_of(f"key {b64} end")] == ["der"]
+    assert [k for k, _, _ in secrets.spans_of(f"key {b64[:-8]} end")] == []
+    assert {k for k, _, _ in secrets.spans_of(f"hex {KEY.hex()} end")} == {"hex", "der"}
+    assert secrets.spans_of("-----BEGIN PRIVATE KEY-----\nbm90IGEga2V5\n-----END PRIVATE KEY-----") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60))
+def test_der_parser_takes_any_bytes(data):
+    secrets.is_key(data)
+    secrets.is_key(b"\x30" + data)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=60), st.sampled_from([4, 7, 16]))
+def test_packing_places_each_token_once(lengths, window):
+    done = packing.fill_gaps(packing.best_fit(lengths, window), window)
+    held = {i: [] for i, n in enumerate(lengths) if n}
+    for s in done:
+        assert sum(n for _, _, n in s.pieces) <= window
+        for doc, start, n in s.pieces:
+            held[doc] += range(start, start + n)
+    assert all(sorted(at) == list(range(lengths[i])) for i, at in held.items())
+    short = [sum(n for _, _, n in s.pieces) for s in done]
+    assert all(n == window or n & (n - 1) == 0 for n in short)
+
+
+def test_best_fit_takes_the_tightest_window():
+    sequences = packing.best_fit([6, 5, 4, 3, 2], 10)
+    assert sorted(sorted(d for d, _, _ in s.pieces) for s in sequences) == [[0, 2], [1, 3, 4]]
+
+
+def test_bitmaps_round_trip():
+    keep = line_dedup.unpack_bitmap(line_dedup.pack_bitmap(11, [0, 3, 10]), 11)
+    assert [i for i, k in enumerate(keep) if not k] == [0, 3, 10]
+
+
+def test_dedup_lines_keeps_columns_and_rows(spark):
+    rows = [(1, "a line that is long\nown one", "x"), (2, "A LINE that is long \nown", "y"), (3, None, "z")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _keep string"))
+    assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], "x"), (2, "own", "y"), (3, None, "z")]
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 1 << 15])
+def test_crowded_anchors_take_the_exact_other_way(spark, odd_docs, crowd):
+    shared = "a passage which many documents have in common, with over fifty bytes to it. "
+    docs = [(i, t) for i, t, *_ in odd_docs[:21]] + [(100 + i, f"{i} " * (i % 3) + shared + f"{i * 7919} and more") for i in range(12)]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), crowd=crowd)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in out.collect()}
+    assert found == brute.substrings(docs)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab", min_size=0, max_size=12), min_size=1, max_size=12))
+def test_suffix_sort_orders_strings(strings):
+    data = np.frombuffer("".join(strings).encode() + b"z", np.uint8)
+    sizes = np.array([len(s) for s in strings])
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    order = substring_dedup.Suffixes(data).sort(start, sizes, np.zeros(len(strings), np.int64))
+    assert [strings[i] for i in order] == sorted(strings)
+
+
+def test_components_of_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1064)] + [(7, 7), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: find(x) for x in root}
+
+
+def near(text, rng, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def similarity(a, b):
+    runs = lambda t: set(simhash.shingles(t, 5))
+    return len(runs(a) & runs(b)) / max(1, len(runs(a) | runs(b)))
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(60)]
+    docs, wanted = [], {}
+    for g, text in enumerate(base):
+        for copy in range(4):
+            docs.append((len(docs), near(text, rng, 4) if copy else text, "s"))
+            wanted[len(docs) - 1] = 4 * g
+    docs.append((len(docs), None, "s"))
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    left = {r.doc_id for r in kept.collect()}
+    assert {i for i, g in wanted.items() if i == g} <= left
+    close = [i for i, g in wanted.items() if i != g and similarity(docs[i][1], docs[g][1]) >= 0.82]
+    assert len(close) > 150
+    assert sum(i in left for i in close) <= 0.03 * len(close)
+
+
+def test_overlapping_sources_share_by_flow(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" * 1 for _ in range(rng.randint(1, 40))), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [], None])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    found = mixing.mix_sources(docs).collect()
+    taken = {"a": 0, "b": 0, "c": 0}
+    quota = {}
+    for r in found:
+        assert r.taken == r.repeats * r.size <= 2 * r.size and len(r.routes) == r.repeats and set(r.routes) <= set(r.sources)
+        for s in r.routes:
+            taken[s] += r.size
+        quota |= {q.source: q.target for q in r.quotas}
+    for s, q in quota.items():
+        assert abs(taken[s] - q) <= 200
+
+
+def test_min_cost_flow_avoids_repetition():
+    routed = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 10.0, "b": 10.0}, 2)
+    assert routed[("a",)] == {"a": 10} and routed[("a", "b")] == {"a": 0, "b": 10}
+
+
+def test_fences_follow_the_group(spark):
+    rng = random.Random(1)
+    plain = lambda marks: " ".join(rng.choice("abcdefgh") * rng.randint(3, 7) + "#" * marks for _ in range(80))
+    rows = [(i, plain(1 if s == "noisy" else 0), "en", s) for i, s in enumerate(["noisy", "clean"] * 300)]
+    rows += [(9001, plain(1), "en", "noisy"), (9002, plain(1), "en", "clean")]
+    out = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    verdict = {r.doc_id: (r.kept, r.beyond) for r in out.where("doc_id > 9000").collect()}
+    assert verdict == {9001: (True, []), 9002: (False, ["symbols"])}
+
+
+def test_sketches_merge(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    counts = quality.text_counts(docs, keep=("lang", "source"))
+    whole = {(r.measure, r.value): r.n for r in quality.sketch(counts, []).collect()}
+    merged = {(r.measure, r.value): r.n for r in quality.merged(quality.sketch(counts, ["lang", "source"]), []).collect()}
+    assert whole == merged
+
+
+def test_mined_rules_judge_what_the_list_leaves(spark):
+    rows = [(i, f"http://h{i % 9}.net/{'casino' if i % 3 == 0 else 'news'}/{i}", "block" if i % 3 == 0 else "allow") for i in range(300)]
+    labels = spark.createDataFrame(rows, "n long, url string, label string")
+    pages = spark.createDataFrame([(1, "http://x.net/casino/5"), (2, "http://x.net/news/5"), (3, None)], "page_id long, url string")
+    verdict = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labels).collect()}
+    assert verdict == {1: "block", 2: "allow", 3: "allow"}
+
+
+def melody(seed, n):
+    rng = np.random.RandomState(seed)
+    return list(rng.uniform(-0.3, 0.3, n))
+
+
+def test_recordings_align_at_their_offset(spark):
+    tune = melody(1, 64)
+    rows = [(1, tune), (2, tune[16:]), (3, melody(2, 64)), (4, None), (5, [])]
+    found = {r.vec_id: r for r in media.align_recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", media.from_notes).collect()}
+    assert found[2].class_id == 1 and abs(found[2].offset) > 0 and found[2].bit_error < 0.1
+    assert found[3].class_id == 3 and found[4].n_prints == 0 and found[5].class_id == 5
+
+
+def test_toxicity_separates_what_it_has_learnt():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    bad = ["zzyzxql", "qwvxkku", "xxyyzzq"]
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(400)]
+    labels = [i % 4 == 0 for i in range(400)]
+    texts = [t + " " + " ".join(rng.choices(bad, k=12)) if y else t for t, y in zip(texts, labels, strict=True)]
+    model = toxicity.fit(texts[:300], list(map(int, labels[:300])))
+    pair = model.compressors()
+    scores = model.score(np.array([toxicity.features_of(toxicity.gains(toxicity.words_of(t), *pair)) for t in texts[300:]]))
+    assert min(s for s, y in zip(scores, labels[300:], strict=True) if y) > 0.7 > max(s for s, y in zip(scores, labels[300:], strict=True) if not y)
+
+
+def test_toxicity_on_held_out_rows(spark, medium):
+    from sparkreef.llm.queries import QUERIES
+
+    scored = QUERIES["op4_toxicity_dictionaries"](spark, medium).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{medium}/labels.parquet"), "doc_id").select("score", F.col("toxic").alias("y")).collect()
+    one, two = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in one for b in two])
+    assert auc > 0.85 and np.mean([b < 0.7 for b in two]) > 0.95
