@@ -1,10 +1,12 @@
 """Removal of repeated byte strings: a string of ``length`` bytes stays where it occurs first.
 
-Anchors keep the work in proportion to the text. A window of ``length`` bytes is represented by
-its least ``gram``-byte hash, so equal windows have an equal anchor at an equal place, whatever
-surrounds them, and only one position in seventeen or so is one. A first pass over hashes alone
-finds the anchors that several documents share; a second gathers, for those, the bytes that windows
-around them can reach, and sorts these contexts by anchor.
+Whole texts that a smaller document has too are settled first, by their hashes, and take no further
+part: what they hold, the first of them holds. Anchors keep the rest of the work in proportion to
+the text. A window of ``length`` bytes is represented by its least ``gram``-byte hash, the last one
+of several, so equal windows have an equal anchor at an equal place, whatever surrounds them, and
+only one position in eighteen or so is one. A first pass over hashes alone finds the anchors that
+several documents share; a second gathers, for those, the bytes of the windows that they represent,
+settles equal ones of a batch on the spot, and sorts these contexts by anchor.
 
 Among contexts of one anchor, equal ones are settled as they stream by: all but the first
 document's are repeated throughout. What remains, one context of each kind, is suffix-sorted, to
@@ -75,16 +77,34 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of all grams that are the least of a window of ``length`` bytes."""
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, first, last): anchors, and the first and last window that each represents."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = gram_hashes(data, gram)
     width = length - gram + 1
     least = sliding(hashes, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     places = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == hashes)
-    return places, hashes[places]
+    begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    end = np.concatenate([begin[1:] - 1, [len(least) - 1]])
+    order = np.argsort(hashes[places], kind="stable")
+    again = np.full(len(places), 2 * len(data))  # where the same hash comes next
+    twin = np.flatnonzero(hashes[places][order[1:]] == hashes[places][order[:-1]])
+    again[order[twin]] = places[order[twin + 1]]
+    first, last = np.full(len(places), len(data)), np.full(len(places), -1)
+    while len(begin):  # once for most runs of windows; again where a hash occurs twice in a window
+        value = least[begin]
+        at = np.searchsorted(places, begin + width - 1, "right") - 1
+        while len(wrong := np.flatnonzero(hashes[places[at]] != value)):
+            at[wrong] -= 1
+        upto = np.minimum(end, np.minimum(places[at], again[at] - width))
+        np.minimum.at(first, at, begin)
+        np.maximum.at(last, at, upto)
+        more = upto < end
+        begin, end = upto[more] + 1, end[more]
+    used = last >= 0
+    return places[used], hashes[places[used]], first[used], last[used]
 
 
 class Suffixes:
@@ -219,13 +239,14 @@ def repeated_windows(
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(hash, doc): each anchor hash of a document once, from (doc, text)."""
+    """(hash, doc): each anchor hash of a document once, from (id, doc, rid, text, copied)."""
     for batch in batches:
         hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.unique(anchors(np.frombuffer((text or "").encode(), np.uint8), length, gram)[1])
-            hashes.append(found)
-            docs.append(np.full(len(found), doc))
+        for doc, text, copied in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+            if not copied:
+                found = np.unique(anchors(np.frombuffer((text or "").encode(), np.uint8), length, gram)[1])
+                hashes.append(found)
+                docs.append(np.full(len(found), doc))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs))], ["hash", "doc"]
         )
@@ -267,40 +288,48 @@ def _shared_rows(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.R
 
 
 _CONTEXT = pa.schema(
-    [("key", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("left", pa.int32()), ("context", pa.binary())]
+    [("key", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("left", pa.int32()), ("context", pa.binary())]
 )
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of the shared anchors, from (doc, rid, text, shared): a window each where crowded."""
-    reach = length - gram
+    """Contexts of the shared anchors, from (id, doc, rid, text, copied, shared): a window each where
+    crowded. Of equal contexts in a batch the first document's goes on; the others are settled, so
+    their bytes stay behind and they are dealt out by document."""
     for batch in batches:
-        rows = [[] for _ in _CONTEXT]
-
-        def add(*row, rows=rows):
-            for column, value in zip(rows, row, strict=True):
-                column.append(value)
-
-        docs, rids, texts, lists = (batch.column(i) for i in range(4))
+        rows, owners = [], {}
+        docs, rids, texts, copies, lists = (batch.column(i) for i in range(1, 6))
         shared = lists.flatten()
         known, crowd = shared.field(0).to_numpy(), shared.field(1).to_numpy(zero_copy_only=False)
         ends = np.cumsum([len(x) for x in lists]).tolist()
         begin = 0
-        for doc, rid, text, end in zip(docs.to_pylist(), rids.to_pylist(), texts.to_pylist(), ends, strict=True):
-            raw = (text or "").encode()
-            places, hashes = anchors(np.frombuffer(raw, np.uint8), length, gram)
-            hashes = hashes.view(np.int64)
+        for doc, rid, text, copied, end in zip(docs.to_pylist(), rids.to_pylist(), texts.to_pylist(), copies.to_pylist(), ends, strict=True):
             mine, many = known[begin:end], crowd[begin:end]
             begin = end
-            for place, key in zip(*(x[np.isin(hashes, mine[~many])].tolist() for x in (places, hashes)), strict=True):
-                start = max(0, place - reach)
-                add(key, doc, rid, start, place - start, raw[start : place + length])
-            windows = places[np.isin(hashes, mine[many])]
-            windows = {w for p in windows.tolist() for w in range(max(0, p - reach), min(p, len(raw) - length) + 1)}
-            for start in sorted(windows):
-                window = raw[start : start + length]
-                add(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, rid, start, 0, window)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _CONTEXT, strict=True)], schema=_CONTEXT)
+            if copied:
+                continue
+            raw = (text or "").encode()
+            places, hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
+            hashes = hashes.view(np.int64)
+            plain, crowded = np.isin(hashes, mine[~many]), np.isin(hashes, mine[many])
+            for key, place, a, b in zip(*(x[plain].tolist() for x in (hashes, places, first, last)), strict=True):
+                rows.append((key, doc, rid, a, place - a, raw[a : b + length]))
+            for a, b in zip(first[crowded].tolist(), last[crowded].tolist(), strict=True):
+                for start in range(a, b + 1):
+                    window = raw[start : start + length]
+                    key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                    rows.append((key, doc, rid, start, 0, window))
+        for key, doc, _, _, left, context in rows:
+            kind = (key, left, context)
+            if owners.setdefault(kind, doc) > doc:
+                owners[kind] = doc
+        columns = [[] for _ in _CONTEXT]
+        for key, doc, rid, start, left, context in rows:
+            late = owners[key, left, context] < doc
+            row = (doc ^ rid if late else key, doc, rid, start, len(context), left, None if late else context)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
 
 
 class _Block:
@@ -353,7 +382,10 @@ def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
 
     for batch in batches:
         spans = []
-        for key, doc, rid, start, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, doc, rid, start, size, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if context is None:
+                spans.append((doc, rid, start, start + size))
+                continue
             if head is not None and head[0] == key and head[1] == left and head[2] == context:
                 if doc > head[3]:
                     spans.append((doc, rid, start, start + len(context)))
@@ -369,6 +401,14 @@ def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
     yield batch_of(list(block.spans(length)))
 
 
+def copied_texts(own: DataFrame) -> DataFrame:
+    """(doc, copies): for each document with a text that a smaller one has too, the hashes of these."""
+    both = own.select("doc", "rid", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("rid2"))
+    firsts = both.groupBy("rid", "rid2").agg(F.min("doc").alias("first"))
+    late = both.join(firsts, ["rid", "rid2"]).where("doc > first")
+    return late.groupBy("doc").agg(F.collect_set("rid").alias("copies"))
+
+
 def repeated_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -377,9 +417,11 @@ def repeated_spans(
     gram: int = GRAM,
     crowd: int = CROWD,
 ) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` as id, doc, rid, text; spans by doc).
+    """(``docs`` as id, doc, rid, text and copied; spans by doc).
 
-    The second has an array of (rid, start, end) for each document with repeated bytes, unmerged.
+    copied tells whole texts that a smaller document has. The second has an array of (rid, start,
+    end) for each other document with repeated bytes, unmerged. Texts are dealt out by document
+    once; each pass reads all columns of the first frame, so that Spark takes that exchange again.
     """
     own = docs.select(
         F.col(id_col).alias("id"),
@@ -387,7 +429,9 @@ def repeated_spans(
         text_hash(text_col).alias("rid"),
         F.col(text_col).alias("text"),
     )
-    rows = own.select("doc", "text").mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long")
+    copied = F.coalesce(F.array_contains("copies", F.col("rid")), F.lit(False)).alias("copied")
+    dealt = own.repartition("doc").join(copied_texts(own), "doc", "left").select("id", "doc", "rid", "text", copied)
+    rows = dealt.mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long")
     shared = (
         rows.repartition("hash")
         .sortWithinPartitions("hash", "doc")
@@ -397,10 +441,11 @@ def repeated_spans(
         .agg(F.collect_list(F.struct("hash", "crowded")).alias("shared"))
     )
     contexts = (
-        own.join(shared, "doc")
-        .select("doc", "rid", "text", "shared")
+        dealt.join(shared, "doc")
+        .select("id", "doc", "rid", "text", "copied", "shared")
         .mapInArrow(
-            lambda b: _context_rows(b, length, gram), "key long, doc long, rid long, start long, left int, context binary"
+            lambda b: _context_rows(b, length, gram),
+            "key long, doc long, rid long, start long, size int, left int, context binary",
         )
     )
     spans = (
@@ -411,7 +456,7 @@ def repeated_spans(
         .groupBy("doc")
         .agg(F.collect_list(F.struct("rid", "start", "end")).alias("spans"))
     )
-    return own, spans
+    return dealt, spans
 
 
 def removed_runs(spans: list[dict] | None, rid: int) -> list[tuple[int, int]]:
@@ -437,15 +482,17 @@ def dedup_substrings(
     crowd: int = CROWD,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row; kept are the bytes that remain."""
-    own, spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
-    marked = own.join(spans, "doc", "left").select("id", "rid", "text", "spans")
+    dealt, spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
+    marked = dealt.join(spans, "doc", "left").select("id", "doc", "rid", "text", "copied", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, counts, kept = [], [], [], []
-            for rid, text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for rid, text, copied, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 raw = (text or "").encode()
                 runs = removed_runs(found, rid)
+                if copied:
+                    runs = [(0, len(raw))] if len(raw) >= length else []
                 sizes.append(len(raw))
                 removed.append(sum(b - a for a, b in runs))
                 counts.append(len(runs))
@@ -455,7 +502,7 @@ def dedup_substrings(
                 ["id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    id_type = own.schema["id"].dataType.simpleString()
+    id_type = dealt.schema["id"].dataType.simpleString()
     return marked.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed(
         "id", id_col
     )
