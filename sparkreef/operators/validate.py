@@ -27,3 +27,21 @@ def implied(condition: Column, consequence: Column, message: str) -> tuple[Colum
 def violations(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
     """``df`` with the array problems, in the order of the rules."""
     return df.withColumn("problems", F.array_compact(F.array(*(F.when(broken, message) for broken, message in rules))))
+
+
+def compiled(schema: dict[str, dict]) -> list[tuple[Column, str]]:
+    """Rules from a subset of JSON Schema by column: const, enum, pattern, minimum, maximum, required."""
+    rules = []
+    for column, parts in schema.items():
+        value = F.col(column)
+        tests = {
+            "const": lambda x, v=value: v == F.lit(x),
+            "enum": lambda x, v=value: v.isin(*x),
+            "pattern": lambda x, v=value: v.rlike(x),
+            "minimum": lambda x, v=value: v >= x,
+            "maximum": lambda x, v=value: v <= x,
+            "required": lambda x, v=value: v.isNotNull() | F.lit(not x),
+        }
+        for name, wanted in parts.items():
+            rules.append((~F.coalesce(tests[name](wanted), F.lit(False)), f"{column}: {name}"))
+    return rules
