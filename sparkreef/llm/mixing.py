@@ -44,21 +44,28 @@ def word_count(text_col: str = "text"):
 
 
 def source_targets(
-    sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS
+    sizes: dict[str | None, int],
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST_REPEATS,
+    total: int | None = None,
 ) -> dict[str | None, float]:
-    """Quotas by weight: ``share`` of all sizes together, none above ``most`` times its source.
+    """Quotas by weight: ``share`` of ``total`` together, none above ``most`` times its source.
+
+    ``total`` is what all documents hold, by default all sizes together; it is less than these where
+    sources overlap.
 
     Weights go round the sources in code point order, null last; what a source can't take is
     reshared by weight among the others.
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, targets, open_ = share * sum(sizes.values()), {}, list(order)
+    left, targets, open_ = share * (sum(sizes.values()) if total is None else total), {}, list(order)
     while open_:
-        total = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        weights_left = sum(weight[s] for s in open_)
+        above = [s for s in open_ if left * weight[s] / weights_left > most * sizes[s]]
         if not above:
-            targets |= {s: left * weight[s] / total for s in open_}
+            targets |= {s: left * weight[s] / weights_left for s in open_}
             break
         for s in above:
             targets[s] = float(most * sizes[s])
@@ -192,7 +199,7 @@ def mix_sources(
     for p, n in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    targets = source_targets(sizes, weights, share, most)
+    targets = source_targets(sizes, weights, share, most, sum(n for p, n in patterns.items() if p))
     routed = route({p: n for p, n in patterns.items() if p}, targets, most)
     plan = []
     for r in totals:

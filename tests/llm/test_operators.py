@@ -189,7 +189,7 @@ def test_mined_rules_judge_what_the_list_leaves(spark):
 
 def melody(seed, n):
     rng = np.random.RandomState(seed)
-    return list(rng.uniform(-0.3, 0.3, n))
+    return rng.uniform(-0.3, 0.3, n).tolist()
 
 
 def test_recordings_align_at_their_offset(spark):
