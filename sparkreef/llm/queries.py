@@ -110,4 +110,46 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner < doc_id) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
         FROM lines LEFT JOIN owners USING (key) GROUP BY doc_id""",
+    "op2_quality_fences": r"""
+        WITH c AS (
+            SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM documents),
+        runs AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, d) AS n
+            FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS d
+                  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 3))),
+        repeats AS (
+            SELECT doc_id, count(DISTINCT at_word) AS n
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at_word FROM runs WHERE n > 1) GROUP BY doc_id),
+        counted AS (
+            SELECT c.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+            FROM c LEFT JOIN repeats USING (doc_id)),
+        based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+        measured AS (
+            SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure,
+                   unnest([least(1000, 1000 * n_symbols // greatest(word_chars, 1)), least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)),
+                           least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), least(1000, 10 * word_chars // greatest(n_words, 1))]) AS value
+            FROM based),
+        grouped AS (
+            SELECT grouping(lang, source) AS level, lang, source, measure, count(*) AS n, list_sort(list(value)) AS v
+            FROM measured WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
+        fenced AS (
+            SELECT level, lang, source, measure, n, v[(n + 3) // 4] AS q1, v[(3 * n + 3) // 4] AS q3,
+                   3 * greatest(q3 - q1, CASE measure WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 100 WHEN 'repeats' THEN 60 ELSE 10 END) AS reach
+            FROM grouped),
+        beyond AS (
+            SELECT DISTINCT m.doc_id
+            FROM measured m
+            JOIN fenced o ON o.level = 0 AND o.measure = m.measure AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
+            JOIN fenced g ON g.level = 1 AND g.measure = m.measure AND g.lang IS NOT DISTINCT FROM m.lang
+            JOIN fenced a ON a.level = 3 AND a.measure = m.measure
+            WHERE m.value > CASE WHEN o.n >= 200 THEN o.q3 + o.reach WHEN g.n >= 200 THEN g.q3 + g.reach ELSE a.q3 + a.reach END
+               OR m.measure = 'word_length'
+                  AND m.value < CASE WHEN o.n >= 200 THEN o.q1 - o.reach WHEN g.n >= 200 THEN g.q1 - g.reach ELSE a.q1 - a.reach END)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept
+        FROM based""",
 }

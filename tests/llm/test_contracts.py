@@ -34,10 +34,11 @@ def test_line_dedup(spark, folder):
     assert keyed(rows) == brute.lines(docs_of(spark, folder))
 
 
-def test_line_dedup_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, medium, name):
     from compare import differences
 
-    assert differences(QUERIES["op1_line_dedup"](spark, small), ORACLE_SQL["op1_line_dedup"], small) is None
+    assert differences(QUERIES[name](spark, medium), ORACLE_SQL[name], medium) is None
 
 
 def test_quality(spark, folder):
