@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.llm.common import text_hash
@@ -238,17 +239,22 @@ def repeated_windows(
     return owner[late], place[late]
 
 
+def anchor_keys(hashes: np.ndarray) -> np.ndarray:
+    """What anchors are shuffled by: 48 bits tell them apart well enough, as bytes are compared later."""
+    return (hashes >> np.uint64(16)).view(np.int64)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(hash, doc): each anchor hash of a document once, from (id, doc, rid, text, copied)."""
     for batch in batches:
-        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, text, copied in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
             if not copied:
-                found = np.unique(anchors(np.frombuffer((text or "").encode(), np.uint8), length, gram)[1])
+                found = np.unique(anchor_keys(anchors(np.frombuffer((text or "").encode(), np.uint8), length, gram)[1]))
                 hashes.append(found)
                 docs.append(np.full(len(found), doc))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs))], ["hash", "doc"]
+            [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs))], ["hash", "doc"]
         )
 
 
@@ -310,7 +316,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
                 continue
             raw = (text or "").encode()
             places, hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
-            hashes = hashes.view(np.int64)
+            hashes = anchor_keys(hashes)
             plain, crowded = np.isin(hashes, mine[~many]), np.isin(hashes, mine[many])
             for key, place, a, b in zip(*(x[plain].tolist() for x in (hashes, places, first, last)), strict=True):
                 rows.append((key, doc, rid, a, place - a, raw[a : b + length]))
@@ -326,7 +332,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         columns = [[] for _ in _CONTEXT]
         for key, doc, rid, start, left, context in rows:
             late = owners[key, left, context] < doc
-            row = (doc ^ rid if late else key, doc, rid, start, len(context), left, None if late else context)
+            row = (doc * 0x9E3779B1 % _LAST if late else key, doc, rid, start, len(context), left, None if late else context)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
@@ -431,6 +437,9 @@ def repeated_spans(
     )
     copied = F.coalesce(F.array_contains("copies", F.col("rid")), F.lit(False)).alias("copied")
     dealt = own.repartition("doc").join(copied_texts(own), "doc", "left").select("id", "doc", "rid", "text", copied)
+    # From here on a row is known by its document and the place of its text among those under the id.
+    place = F.dense_rank().over(W.partitionBy("doc").orderBy("rid")).cast("long")
+    dealt = dealt.select("id", "doc", place.alias("rid"), "text", "copied")
     rows = dealt.mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long")
     shared = (
         rows.repartition("hash")
