@@ -244,6 +244,11 @@ def wide_majority(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def set_name(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set of hashes, in order."""
+    return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
+
+
 def key_bits(n: int) -> int:
     """Bits that a key compares: enough for strangers to meet rarely among ``n``."""
     return max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
@@ -264,6 +269,9 @@ def near_copies(
 ) -> DataFrame:
     """(id, rid, component_id) for each row: documents whose shingle sets are ``similarity`` alike.
 
+    A node is a distinct shingle set, named after its hash whatever ids hold it, and component_id
+    is the least name of a component's nodes; it is no id.
+
     Such pairs differ in too many bits for an exact search, so a key here is the vector of partial
     pivot distances over a choice of bits of a wide fingerprint, and there are as many keys as it
     takes for ``recall`` of the pairs at the very threshold (and nearly all closer ones) to share
@@ -278,18 +286,18 @@ def near_copies(
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, wide = [], []
+            nodes, wide = [], []
             for text in batch.column(2).to_pylist():
                 hashes = np.unique(shingle_hashes(text, words))
-                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                nodes.append(set_name(hashes))
                 wide.append(wide_majority(hashes).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(wide, pa.binary())],
-                ["doc", "rid", "same", "wide"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(wide, pa.binary())],
+                ["doc", "rid", "node", "wide"],
             )
 
-    marked = checkpointed(rows.mapInArrow(mark, "doc long, rid long, same binary, wide binary"))
-    nodes = checkpointed(marked.groupBy("same").agg(F.min("doc").alias("node"), F.min("wide").alias("wide")))
+    marked = checkpointed(rows.mapInArrow(mark, "doc long, rid long, node long, wide binary"))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("wide").alias("wide")))
     bits = key_bits(nodes.count())
     n_keys = key_count(bits, similarity, recall)
     chosen = np.random.RandomState(SEED).rand(n_keys, 64 * WIDE).argsort(1)[:, :bits]
@@ -354,8 +362,8 @@ def near_copies(
         .select("a", "b", "wide_a", "wide_b")
         .mapInArrow(verified, "a long, b long")
     )
-    rooted = nodes.join(components(links), "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    return marked.select("doc", "rid", "same").join(rooted, "same").select(F.col("doc").alias(id_col), "rid", "component_id")
+    rooted = marked.select("doc", "rid", "node").join(components(links), "node", "left")
+    return rooted.select(F.col("doc").alias(id_col), "rid", F.coalesce("root", "node").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

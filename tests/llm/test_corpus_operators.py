@@ -140,6 +140,43 @@ def test_near_copies_are_found_and_others_left(spark):
     assert sum(i in left for i in close) <= 0.03 * len(close)
 
 
+def near_copy_groups(rows, least=0.8):
+    """The indices of ``rows`` (id, text, ...) by group, every pair compared."""
+    sets = [frozenset(simhash.shingles(r[1], 5)) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def test_near_copies_without_ids_of_their_own(spark, repeated):
+    """Null ids, and an id that different texts share: one row of each group stays."""
+    docs = spark.read.parquet(f"{repeated}/documents.parquet")
+    rng = random.Random(12)
+    more = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50)), None, None, 0) for i in [None] * 6 + [7] * 6]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, docs.schema[:5]))
+    rows = [tuple(r) for r in docs.collect()]
+    kept = [tuple(r) for r in simhash.drop_near_copies(docs).collect()]
+    place = lambda r: (r[0] is None, r[0] or 0)
+    groups = near_copy_groups(rows)
+    assert len(kept) == len(groups)
+    for group in groups:
+        members = [rows[i] for i in group]
+        stays = [r for r in kept if r in members]
+        assert len(stays) == 1 and place(stays[0]) == min(map(place, members))
+
+
 def test_overlapping_sources_share_by_flow(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.randint(1, 40))), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [], None])) for i in range(600)]
