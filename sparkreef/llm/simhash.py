@@ -259,6 +259,43 @@ def key_count(bits: int, similarity: float = SIMILARITY, recall: float = RECALL)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
 
 
+def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, hashes): each shingle set by its name, the hashes in order, eight bytes each."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            nodes, sets = [], []
+            for text in batch.column(0).to_pylist():
+                hashes = np.unique(shingle_hashes(text, words))
+                node = set_name(hashes)
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return docs.select(text_col).mapInArrow(told, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have at least this Jaccard similarity."""
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    told = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "of_a"}), "a")
+    told = told.join(sets.withColumnsRenamed({"node": "b", "hashes": "of_b"}), "b")
+    return told.select("a", "b", "of_a", "of_b").mapInArrow(verified, "a long, b long")
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -276,7 +313,7 @@ def near_copies(
     pivot distances over a choice of bits of a wide fingerprint, and there are as many keys as it
     takes for ``recall`` of the pairs at the very threshold (and nearly all closer ones) to share
     one. Under a key, each member meets the first one and the one before it; the pairs are verified
-    on all bits, which tell the similarity to within 0.02. Equal shingle sets are one node.
+    on their whole shingle sets. Equal shingle sets are one node.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
@@ -345,23 +382,8 @@ def near_copies(
         .mapInArrow(met, "a long, b long")
         .distinct()
     )
-    most = differing_share(similarity) * 64 * WIDE
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 8 * WIDE) for i in (2, 3)
-            )
-            keep = pa.array(np.bitwise_count(one ^ two).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    wide = nodes.select("node", "wide")
-    links = (
-        pairs.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a"}), "a")
-        .join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b"}), "b")
-        .select("a", "b", "wide_a", "wide_b")
-        .mapInArrow(verified, "a long, b long")
-    )
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = alike_pairs(pairs, shingle_sets(docs, text_col, words).join(ends, "node"), similarity)
     rooted = marked.select("doc", "rid", "node").join(components(links), "node", "left")
     return rooted.select(F.col("doc").alias(id_col), "rid", F.coalesce("root", "node").alias("component_id"))
 

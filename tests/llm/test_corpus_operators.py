@@ -177,6 +177,22 @@ def test_near_copies_without_ids_of_their_own(spark, repeated):
         assert len(stays) == 1 and place(stays[0]) == min(map(place, members))
 
 
+def test_near_copies_are_told_by_their_whole_sets(spark):
+    """Pairs a little under the threshold stay, those at it or above it go (a few may not meet)."""
+    rng = random.Random(13)
+    docs, under, over = [], [], []
+    for g in range(150):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+        copy = near(text, rng, rng.randint(8, 11))
+        docs += [(2 * g, text), (2 * g + 1, copy)]
+        s = similarity(text, copy)
+        (under if 0.74 <= s < 0.8 else over if 0.8 <= s < 0.84 else []).append(2 * g + 1)
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(under) > 30 and len(over) > 30
+    assert left.issuperset(under)
+    assert len(left.intersection(over)) <= 0.1 * len(over)
+
+
 def test_overlapping_sources_share_by_flow(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.randint(1, 40))), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [], None])) for i in range(600)]
