@@ -18,6 +18,7 @@ ids pass through; as a component's id they count only where it has no other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -216,32 +217,10 @@ def simhash_groups(
 #: Near copies: runs of five words, this share of them in common.
 COPY_WORDS = 5
 SIMILARITY = 0.8
-#: A wide fingerprint has this many words of 64 bits.
-WIDE = 16
-#: The share of pairs at SIMILARITY that meet under a key.
-RECALL = 0.95
-#: Beyond this many differing bits of the first 64, a pair can't be near: 4 deviations above the mean.
-FAR = 21
-
-
-def differing_share(similarity: float) -> float:
-    """The expected share of differing bits for sets of this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def wide_majority(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
-    """``words`` fingerprints of one set of hashes, each by another mixing of them."""
-    counts = np.zeros((8, words, 8), np.int64)
-    salts = pivots(words)
-    for at in range(0, len(hashes), 255):
-        part = (hashes[at : at + 255, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0x94D049BB133111EB)
-        for bit in range(8):
-            sums = ((part >> np.uint64(bit)) & _LANES).sum(0, dtype=np.uint64)
-            counts[bit] += sums.view(np.uint8).reshape(words, 8)
-    bits = (2 * counts > len(hashes)).transpose(1, 2, 0).reshape(words, 64)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+#: Shingles are counted by so many first bits of their hashes.
+COUNT_BITS = 20
+#: The counts travel in so many parts.
+COUNT_PARTS = 64
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -249,16 +228,6 @@ def set_name(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
 
 
-def key_bits(n: int) -> int:
-    """Bits that a key compares: enough for strangers to meet rarely among ``n``."""
-    return max(12, int(np.ceil(np.log2(max(n, 2)))) + 2)
-
-
-def key_count(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    meet = (1 - differing_share(similarity)) ** bits
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
-
-
 def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """(node, hashes): each shingle set by its name, the hashes in order, eight bytes each."""
 
@@ -296,24 +265,111 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return told.select("a", "b", "of_a", "of_b").mapInArrow(verified, "a long, b long")
 
 
+def common_shingles(parts: DataFrame) -> np.ndarray:
+    """How often hashes with each of the first COUNT_BITS bits occur, of (part, counts).
+
+    The driver gets COUNT_PARTS rows, 8 MB in all, whatever the corpus holds.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
+        packed = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    told = parts.repartition("part").mapInArrow(added, "part int, counts binary").collect()
+    table = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.int64)
+    for r in told:
+        table[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    return table.reshape(-1)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        key = columns[0]
+        if not len(key):
+            continue
+        if held and held[0][0][0] == key[-1]:  # one run that goes on
+            held.append(columns)
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in columns], strict=True)]
+        held = [[x[cut:] for x in columns]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def may_reach(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first common element stands at these places may be ``similarity`` alike.
+
+    Of elements that aren't the first common one the answer means nothing, but no pair rests on them.
+    """
+    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    most = np.minimum(size_a - at_a, size_b - at_b)
+    return (small >= similarity * large - 1e-6) & (most >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6)
+
+
+def _pairs(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.column_stack([np.minimum(one, two), np.maximum(one, two)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _met_first(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of (token, at, size, node) in order, each node with its token's first one and the one before it."""
+    for token, at, size, node in whole_runs(batches):
+        fresh = np.concatenate([[True], token[1:] != token[:-1]])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
+        rest = np.flatnonzero(~fresh)
+        one, two = np.concatenate([first[rest], rest - 1]), np.concatenate([rest, rest])
+        near = may_reach(size[one], at[one], size[two], at[two], similarity)
+        yield _pairs(node[one[near]], node[two[near]])
+
+
+def _met_all(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of (token, at, size, node, root) sorted by token, all pairs of a token that no links connect yet."""
+    for token, at, size, node, root in whole_runs(batches):
+        left = np.flatnonzero(token[1:] == token[:-1])
+        step, found, held = 1, [], 0
+        while len(left):
+            right = left + step
+            near = root[left] != root[right]
+            one, two = left[near], right[near]
+            near = may_reach(size[one], at[one], size[two], at[two], similarity)
+            found.append((node[one[near]], node[two[near]]))
+            held += len(found[-1][0])
+            if held > 200_000:
+                yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, held = [], 0
+            step += 1
+            left = left[left + step < len(token)]
+            left = left[token[left + step] == token[left]]
+        if held:
+            yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = COPY_WORDS,
     similarity: float = SIMILARITY,
-    recall: float = RECALL,
 ) -> DataFrame:
     """(id, rid, component_id) for each row: documents whose shingle sets are ``similarity`` alike.
 
     A node is a distinct shingle set, named after its hash whatever ids hold it, and component_id
     is the least name of a component's nodes; it is no id.
 
-    Such pairs differ in too many bits for an exact search, so a key here is the vector of partial
-    pivot distances over a choice of bits of a wide fingerprint, and there are as many keys as it
-    takes for ``recall`` of the pairs at the very threshold (and nearly all closer ones) to share
-    one. Under a key, each member meets the first one and the one before it; the pairs are verified
-    on their whole shingle sets. Equal shingle sets are one node.
+    Such pairs differ in too many SimHash bits for an exact search, so this one is by prefixes: with
+    all sets in one order, rare shingles first, two sets that are alike have one in common among the
+    first ``(1 - similarity)`` of each, so that no pair is missed. Hot shingles come last, so sets
+    that share no more than a template seldom meet. Under a shingle, each set first meets the most
+    typical one (that with the fewest rarer shingles) and the one before it; then all pairs that
+    are not connected yet meet. Pairs are verified on their whole sets.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
@@ -322,70 +378,82 @@ def near_copies(
     )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "rid", "node", "part", "counts"]
+        total = None
         for batch in batches:
-            nodes, wide = [], []
-            for text in batch.column(2).to_pylist():
-                hashes = np.unique(shingle_hashes(text, words))
-                nodes.append(set_name(hashes))
-                wide.append(wide_majority(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(wide, pa.binary())],
-                ["doc", "rid", "node", "wide"],
-            )
-
-    marked = checkpointed(rows.mapInArrow(mark, "doc long, rid long, node long, wide binary"))
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("wide").alias("wide")))
-    bits = key_bits(nodes.count())
-    n_keys = key_count(bits, similarity, recall)
-    chosen = np.random.RandomState(SEED).rand(n_keys, 64 * WIDE).argsort(1)[:, :bits]
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-        refs = np.unpackbits(pivots(WIDE).view(np.uint8), bitorder="little")
+            sets = [np.unique(shingle_hashes(text, words)) for text in batch.column(2).to_pylist()]
+            n = len(sets)
+            if n:
+                firsts = (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+                total = np.bincount(firsts, minlength=1 << COUNT_BITS) + (0 if total is None else total)
+            nodes = pa.array([set_name(x) for x in sets], pa.int64())
+            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *none], names)
+        if total is not None:
+            packed = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in total.reshape(COUNT_PARTS, -1)]
+            none = [pa.nulls(COUNT_PARTS, pa.int64())] * 3
+            parts = [pa.array(np.arange(COUNT_PARTS), pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, *parts], names)
+
+    told = checkpointed(rows.mapInArrow(mark, "doc long, rid long, node long, part int, counts binary"))
+    marked = told.where("part is null").select("doc", "rid", "node")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(told.where("part is not null").select("part", "counts")))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # equal sets of a task go out once
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            # Distances to a reference over single bits: 0 or 1 for each.
-            apart = np.unpackbits(wide, axis=1, bitorder="little") ^ refs
-            check = np.ascontiguousarray(wide[:, :8]).view(np.int64)[:, 0]
-            for number, columns in enumerate(chosen):
-                key = apart[:, columns].astype(np.uint64) @ places
-                key = (key * np.uint64(n_keys) + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column(0), pa.array(check)], ["key", "node", "check"]
-                )
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (key, first node and check, previous node and check)
-        for batch in batches:
-            key, node, check = (c.to_numpy() for c in batch.columns)
-            if not len(key):
-                continue
-            if last is not None:  # the run in progress goes on: its first and its previous member
-                key = np.concatenate([[last[0]] * 2, key])
-                node = np.concatenate([[last[1], last[3]], node])
-                check = np.concatenate([[last[2], last[4]], check])
-            fresh = np.concatenate([[True], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-            last = (key[-1], node[first[-1]], check[first[-1]], node[-1], check[-1])
-            at = np.flatnonzero(~fresh)
-            a, b = np.concatenate([first[at], at - 1]), np.concatenate([at, at])
-            near = np.bitwise_count(check[a].view(np.uint64) ^ check[b].view(np.uint64)) <= FAR
-            a, b = node[a[near]], node[b[near]]
-            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    pairs = (
-        nodes.select("node", "wide")
-        .mapInArrow(keyed, "key long, node long, check long")
-        .repartition("key")
-        .sortWithinPartitions("key", "check", "node")
-        .mapInArrow(met, "a long, b long")
-        .distinct()
-    )
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = alike_pairs(pairs, shingle_sets(docs, text_col, words).join(ends, "node"), similarity)
-    rooted = marked.select("doc", "rid", "node").join(components(links), "node", "left")
-    return rooted.select(F.col("doc").alias(id_col), "rid", F.coalesce("root", "node").alias("component_id"))
+            tokens, sizes, nodes = [], [], []
+            for text in batch.column(0).to_pylist():
+                hashes = np.unique(shingle_hashes(text, words))
+                node = set_name(hashes)
+                if node in seen or not len(hashes):
+                    continue
+                seen.add(node)
+                order = np.lexsort([hashes, common.value[hashes >> np.uint64(64 - COUNT_BITS)]])
+                tokens.append(hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]])
+                sizes.append(len(hashes))
+                nodes.append(node)
+            held = [len(x) for x in tokens]
+            columns = [
+                np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64),
+                np.concatenate([*(np.arange(n, dtype=np.int32) for n in held), np.zeros(0, np.int32)]),
+                np.repeat(np.array(sizes, np.int32), held),
+                np.repeat(np.array(nodes, np.int64), held),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "at", "size", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_runs(batches):
+            token, node = columns[0], columns[3]
+            same = token[1:] == token[:-1]
+            own = np.concatenate([[True], ~(same & (node[1:] == node[:-1]))])
+            columns = [c[own] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
+            twin = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(columns[0]) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(c[twin]) for c in columns], ["token", "at", "size", "node"])
+
+    shape = "token long, at int, size int, node long"
+    dealt = docs.select(text_col).mapInArrow(prefixes, shape).repartition("token").sortWithinPartitions("token", "at", "node")
+    met = checkpointed(dealt.mapInArrow(shared, shape))
+    pairs = checkpointed(met.mapInArrow(lambda x: _met_first(x, similarity), "a long, b long").distinct())
+    sets = shingle_sets(docs, text_col, words)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return alike_pairs(pairs, checkpointed(sets.join(ends, "node")), similarity)
+
+    links = checkpointed(verified(pairs))
+    roots = components(links)
+    rooted = met.join(roots, "node", "left").select("token", "at", "size", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("token").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("token")
+    rooted = rooted.join(split, "token").repartition("token").sortWithinPartitions("token")
+    rest = rooted.mapInArrow(lambda x: _met_all(x, similarity), "a long, b long").distinct()
+    rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(verified(rest))
+        roots = components(links)
+    named = marked.join(roots, "node", "left")
+    return named.select(F.col("doc").alias(id_col), "rid", F.coalesce("root", "node").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

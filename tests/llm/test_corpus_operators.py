@@ -193,6 +193,31 @@ def test_near_copies_are_told_by_their_whole_sets(spark):
     assert len(left.intersection(over)) <= 0.1 * len(over)
 
 
+def test_near_copies_within_a_hot_family(spark):
+    """Hundreds of texts share a template; those at 0.8 and more are found as by brute force."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template, docs = [word() for _ in range(200)], []
+    for _ in range(250):
+        text = " ".join(template + [word() for _ in range(rng.randint(70, 140))])
+        docs.append((len(docs), text))
+        if len(docs) % 2:
+            docs.append((len(docs), near(text, rng, rng.randint(4, 8))))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    groups = near_copy_groups(docs)
+    assert sum(len(g) > 1 for g in groups) > 30 and len(groups) > 250
+    assert kept == {min(g) for g in groups}
+
+
+def test_near_copies_that_meet_late(spark):
+    """A text and many copies of it that are alike only through it are one group."""
+    rng = random.Random(15)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    docs = [(i, near(text, rng, 7)) for i in range(40)] + [(40, text)] + [(41 + i, near(text, rng, 12)) for i in range(20)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {min(g) for g in near_copy_groups(docs)}
+
+
 def test_overlapping_sources_share_by_flow(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.randint(1, 40))), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [], None])) for i in range(600)]
