@@ -28,8 +28,12 @@ def priority_union(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequ
 
 
 def unseen(items: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Items whose key the state doesn't have."""
-    return items.join(seen.select(*keys), list(keys), "left_anti")
+    """Items whose key the state doesn't have. Null is a key like any other: seen once, it is known."""
+    known = seen.select(*(F.col(c).alias(f"_seen{i}") for i, c in enumerate(keys)))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & items[c].eqNullSafe(known[f"_seen{i}"])
+    return items.join(known, same, "left_anti")
 
 
 def insert_only(state: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -64,3 +65,8 @@ def resolved_alias(wanted: DataFrame, models: DataFrame, name: str, key: str, al
     other = models.select(F.explode(aliases).alias(name), F.col(key).alias("_key"), F.lit(1).alias("_prio"))
     best = own.unionByName(other).groupBy(name).agg(F.min_by("_key", F.struct("_prio", "_key")).alias(key))
     return wanted.join(best, name, "left")
+
+
+def next_in(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
+    """``df`` with the next value of ``order`` within the group: who stands in for a row; null for the last."""
+    return df.withColumn(name, F.lead(order).over(W.partitionBy(*group).orderBy(order)))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkreef.operators import dedupe
+
 
 def seconds(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp")) / 1e6
@@ -88,14 +90,18 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], le: str, count
 
 def matched(left: DataFrame, right: DataFrame, labels: Sequence[str], value: Column) -> DataFrame:
     """One-to-one matching on all labels: (labels, value); unmatched series vanish, and so do ratios
-    without a value. Columns are left.value and right.value."""
-    joined = left.alias("left").join(right.alias("right"), list(labels))
-    return joined.select(*labels, value.alias("value")).where("value is not null")
+    without a value. A null label is one that a series lacks, and matches the same. Columns are
+    left.value and right.value."""
+    same = F.lit(True)
+    for c in labels:
+        same = same & F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}"))
+    joined = left.alias("left").join(right.alias("right"), same)
+    return joined.select(*(F.col(f"left.{c}").alias(c) for c in labels), value.alias("value")).where("value is not null")
 
 
 def or_else(left: DataFrame, right: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """The left series, and those of the right whose labels it lacks."""
-    return left.unionByName(right.join(left.select(*labels), list(labels), "left_anti"))
+    """The left series, and those of the right whose labels it lacks; null labels match each other."""
+    return left.unionByName(dedupe.unseen(right, left, labels))
 
 
 def nearest(points: DataFrame, samples: DataFrame, at: str, sample_at: str, unique: str, within_s: int, key: str) -> DataFrame:

@@ -14,16 +14,33 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
+def numbered(df: DataFrame, bucket: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
+    """All of ``df`` numbered from 1 by ``bucket``, then ``order``; buckets must be small.
+
+    Rows are numbered within their bucket; only the buckets' counts meet in one task.
+    """
+    names = [f"_b{i}" for i in range(len(bucket))]
+    held = df.withColumns(dict(zip(names, bucket, strict=True)))
+    before = F.sum("_n").over(W.orderBy(*names).rowsBetween(W.unboundedPreceding, -1))
+    starts = held.groupBy(*names).agg(F.count("*").alias("_n")).select(*names, F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = held.withColumn("_at", F.row_number().over(W.partitionBy(*names).orderBy(*order)))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"placed.{c}").eqNullSafe(F.col(f"starts.{c}"))
+    met = placed.alias("placed").join(starts.alias("starts"), same)
+    return met.select(*(f"placed.`{c}`" for c in df.columns), (F.col("_before") + F.col("_at")).alias(name))
+
+
 def fair_top(df: DataFrame, n: int, source: str, at: str, unique: str) -> DataFrame:
     """``n`` rows, newest first within a source, sources in turns by their newest row; column pick.
 
-    No source gives more than ``n`` rows to the last step, which keeps the ``n`` best only.
+    No source gives more than ``n`` rows to the last step, which keeps the ``n`` best only. A null
+    source is one like any other, and the last among equals.
     """
     newest = W.partitionBy(source).orderBy(F.desc_nulls_last(at), unique)
-    turns = df.withColumn("_turn", F.row_number().over(newest)).where(F.col("_turn") <= n)
-    heads = turns.where("_turn = 1").select(source, F.col(at).alias("_head"))
-    order = [F.col("_turn"), F.desc_nulls_last("_head"), F.col(source)]
-    best = turns.join(heads, source).orderBy(*order).limit(n)
+    turns = df.withColumns({"_turn": F.row_number().over(newest), "_head": F.max(at).over(W.partitionBy(source))})
+    order = [F.col("_turn"), F.desc_nulls_last("_head"), F.asc_nulls_last(source)]
+    best = turns.where(F.col("_turn") <= n).orderBy(*order).limit(n)
     return ranked(best, order, "pick").drop("_turn", "_head")
 
 

@@ -13,7 +13,7 @@ from sparkreef.queries import query, table
 BUDGET = 150
 NOW = "2024-01-31 00:00:00"
 
-_KEY_SQL = "substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)"
+_KEY_SQL = "substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)"
 _ITEMS_SQL = f"""items AS (SELECT doc_id, source, {_KEY_SQL} AS key, n_chars,
     TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS dt, doc_id % 3 AS prio FROM documents)"""
 #: Sources of even numbers have a cutoff, src5 has an empty one, the others have none of their own.
@@ -25,7 +25,7 @@ _STATE_SQL = """state AS (SELECT source, any_value(CASE WHEN source <> 'src5' TH
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
-    key = text.norm_key(F.substring("text", 1, 200))
+    key = text.norm_key(F.col("text"))
     return docs.select("doc_id", "source", key.alias("key"), "n_chars", at.alias("at"), (F.col("doc_id") % 3).alias("prio"))
 
 
@@ -51,11 +51,12 @@ def source_state(found: DataFrame) -> DataFrame:
 def flow_digest_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest run: first of each key, not seen before, not before its source's cutoff, fairly chosen."""
     found = items(spark, sf_dir)
-    newest = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
-    common = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(newest // 4))
+    later = F.make_dt_interval(F.lit(0), F.lit(0), F.floor(F.coalesce(F.max("doc_id"), F.lit(0)) / 4).cast("int"))
+    newest = table(spark, sf_dir, "documents").agg((F.lit("2024-01-01").cast("timestamp") + later).alias("common"))
     seen = found.where("doc_id % 7 = 0").select("key").distinct()
     fresh = dedupe.unseen(dedupe.first_wins(found.where("key <> ''"), ["key"], ["doc_id"]), seen, ["key"])
-    dated = cutoff.since_cutoff(cutoff.with_cutoffs(fresh, source_state(found), common), "at")
+    fresh = fresh.crossJoin(F.broadcast(newest))  # one row
+    dated = cutoff.since_cutoff(cutoff.with_cutoffs(fresh, source_state(found), F.col("common")), "at")
     picked = topn.fair_top(dated, BUDGET, "source", "at", "doc_id")
     return picked.select("doc_id", "source", "key", F.unix_timestamp("at").alias("seconds"), "pick")
 
@@ -78,7 +79,7 @@ def p01_tagged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kind",
         F.when(F.col("kind") == "cve", F.concat(F.lit("CVE-2024-"), padded(6))).alias("cve"),
         F.when(F.col("kind") == "paper", F.concat(F.lit("2401."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"))).alias("arxiv_id"),
-        F.when(F.col("kind") == "news", text.norm_key(F.substring("text", 1, 200))).alias("key"),
+        F.when(F.col("kind") == "news", text.norm_key(F.col("text"))).alias("key"),
         F.substring("text", 1, 260).alias("about"),
     )
 
@@ -166,14 +167,42 @@ def f04_skip_announce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT user_id % 8 AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1)
-    SELECT source, n, CASE WHEN source = 3 THEN 's3: failed' WHEN source = 5 THEN 's5: served from its fallback' END AS gap FROM s"""
+    """SELECT user_id AS source, count(*) AS n, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 's' || user_id || ': failed'
+        WHEN 'signup' THEN 's' || user_id || ': served from its fallback' END AS gap FROM events GROUP BY 1"""
 )
 def f05_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed sources are gaps; so are those that a fallback served."""
-    counted = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("source")).agg(F.count("*").alias("n"))
-    gap = F.when(F.col("source") == 3, "s3: failed").when(F.col("source") == 5, "s5: served from its fallback")
-    return counted.withColumn("gap", gap)
+    """A source is a gap if its last scan failed (an error) or a fallback served it (a signup)."""
+    last = F.max_by("event_type", F.struct("ts", "event_id")).alias("last")
+    scans = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n"), last)
+    said = lambda what: F.concat(F.lit("s"), "source", F.lit(what))
+    gap = F.when(F.col("last") == "error", said(": failed")).when(F.col("last") == "signup", said(": served from its fallback"))
+    return scans.select("source", "n", gap.alias("gap"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, nullif(user_id % 8, 3) AS source, ts AS dt FROM events),
+    t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dt DESC, event_id) AS rn, max(dt) OVER (PARTITION BY source) AS head FROM e),
+    p AS (SELECT *, row_number() OVER (ORDER BY rn, head DESC, source NULLS LAST) AS pick FROM t)
+    SELECT event_id, source, pick FROM p WHERE pick <= 150"""
+)
+def t01_null_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fair selection where an eighth of the rows has no source: they are a source of their own."""
+    source = F.nullif(F.col("user_id") % 8, F.lit(3))
+    found = table(spark, sf_dir, "events").select("event_id", source.alias("source"), F.col("ts").alias("at"))
+    return topn.fair_top(found, BUDGET, "source", "at", "event_id").select("event_id", "source", "pick")
+
+
+@query(
+    """WITH e AS (SELECT event_id, nullif(user_id % 8, 3) AS source, nullif(event_type, 'view') AS kind, ts FROM events),
+    seen AS (SELECT DISTINCT source, kind FROM e WHERE ts < TIMESTAMP '2024-01-01 06:00:00')
+    SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.source IS NOT DISTINCT FROM e.source AND seen.kind IS NOT DISTINCT FROM e.kind)"""
+)
+def j01_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first six hours didn't have; either part of the key may be null."""
+    kind = F.nullif("event_type", F.lit("view"))
+    found = table(spark, sf_dir, "events").select("event_id", F.nullif(F.col("user_id") % 8, F.lit(3)).alias("source"), kind.alias("kind"), "ts")
+    seen = found.where(F.col("ts") < F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")).select("source", "kind").distinct()
+    return dedupe.unseen(found, seen, ["source", "kind"]).select("event_id")
 
 
 @query(f"""WITH {_ITEMS_SQL} SELECT doc_id, key FROM items WHERE key NOT IN (SELECT key FROM items WHERE doc_id % 7 = 0)""")

@@ -172,10 +172,10 @@ def w12_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE b AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([10.0, 25.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le) GROUP BY event_type, le),
-    p AS (SELECT unnest([0.5, 0.95, 0.999]) AS phi),
+    p AS (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.999::DOUBLE]) AS phi),
     r AS (SELECT phi, event_type, le, n, lag(le, 1, 0.0) OVER w AS low, lag(n, 1, 0) OVER w AS before, phi * max(n) OVER (PARTITION BY phi, event_type) AS rank
           FROM b, p WINDOW w AS (PARTITION BY phi, event_type ORDER BY le))
-    SELECT event_type, phi::DOUBLE AS phi, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - before) / (n - before) END, 4) AS q
+    SELECT event_type, phi, CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - before) / (n - before)::DOUBLE END AS q
     FROM r WHERE before < rank AND rank <= n"""
 )
 def a06_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def a06_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = None
     for phi in (0.5, 0.95, 0.999):
         one = timeseries.histogram_quantile(buckets, ["event_type"], "le", "n", phi)
-        one = one.select("event_type", F.lit(phi).alias("phi"), F.round("quantile", 4).alias("q"))
+        one = one.select("event_type", F.lit(phi).alias("phi"), F.col("quantile").alias("q"))
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -10,13 +10,13 @@ from sparkreef.queries import query, table
 
 ROUTES = ("local", "openai", "https:/", "http:/")
 MACROS = {"base": "root ${host}", "host": "h1"}
-LICENSES = (("(?i)ring", "open"), ("(?i)gear", "restricted"), ("(?i)wid", "research"))
+LICENSES = (("(?i)by-nc|non-?commercial", "restricted"), ("(?i)general public license|gpl", "copyleft"), ("(?i)apache|mit license|bsd", "permissive"))
 
 
-@query(r"""SELECT doc_id, substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS key
+@query(r"""SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS key
            FROM documents""")
 def x01_norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.substring("text", 1, 200)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.col("text")).alias("key"))
 
 
 @query(r"""SELECT page_id, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT page_id,
@@ -83,15 +83,16 @@ def x16_image_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ref.alias("ref")).select("page_id", "ref.*")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'open' WHEN p_name LIKE '%gear%' THEN 'restricted'
-                 WHEN p_name LIKE '%wid%' THEN 'research' ELSE 'unknown' END AS license,
-                 CASE WHEN p_name LIKE '%blue%' OR p_name LIKE '%red%' THEN 'coloured' ELSE 'plain' END AS class FROM part""")
+@query(r"""WITH l AS (SELECT doc_id, regexp_extract(text, '[^\n]*[Ll]icen[sc]e[^\n]*') AS line FROM documents),
+    f AS (SELECT doc_id, line, CASE WHEN regexp_matches(line, '(?i)by-nc|non-?commercial') THEN 'restricted' WHEN regexp_matches(line, '(?i)general public license|gpl') THEN 'copyleft'
+          WHEN regexp_matches(line, '(?i)apache|mit license|bsd') THEN 'permissive' WHEN line = '' THEN 'none' ELSE 'unknown' END AS license FROM l)
+    SELECT doc_id, license, CASE WHEN license IN ('permissive', 'copyleft') THEN 'usable' WHEN license = 'none' THEN 'unmarked' ELSE 'review' END AS class FROM f""")
 def x17_license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        "p_partkey",
-        text.first_match(F.col("p_name"), LICENSES, "unknown").alias("license"),
-        text.first_match(F.col("p_name"), (("blue|red", "coloured"),), "plain").alias("class"),
-    )
+    """The license that a document's first license line names, by a ladder of patterns, and its class."""
+    line = F.regexp_extract("text", r"[^\n]*[Ll]icen[sc]e[^\n]*", 0)
+    found = text.first_match(line, (*LICENSES, ("^$", "none")), "unknown")
+    kind = text.first_match(F.col("license"), (("permissive|copyleft", "usable"), ("none", "unmarked")), "review")
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("license")).withColumn("class", kind)
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) > 4000 THEN 'long' END,

@@ -18,7 +18,7 @@ ITEM = "struct<title:string,link:string,date:string,about:string>"
 PARSED = f"struct<ok:boolean,error:string,items:array<{ITEM}>>"
 
 # Where a date and a description are looked for, in this order.
-DATE_TAGS = ("pubDate", "published", "updated", "date", "issued", "modified")
+DATE_TAGS = ("pubDate", "date", "published", "updated", "issued", "modified")
 ABOUT_TAGS = ("description", "summary", "encoded", "content")
 
 
@@ -83,43 +83,72 @@ def feed_items(feeds: DataFrame, source: str = "path") -> DataFrame:
     return rows.select("source", "place", "i.title", "i.link", dates.parse_date(F.col("i.date")).alias("at"), "i.about")
 
 
+_CATALOG = (
+    "catalogVersion string, vulnerabilities array<struct<cveID:string,vendorProject:string,product:string,vulnerabilityName:string,"
+    "dateAdded:string,dueDate:string,knownRansomwareCampaignUse:string,requiredAction:string>>"
+)
+
+
+def bodies_at(spark: SparkSession, path: str) -> DataFrame:
+    """(body) of each file, whole."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+
+
+def catalog_entries(bodies: DataFrame, body: str, most: int = 25) -> DataFrame:
+    """The ``most`` newest entries of each JSON catalog of exploited vulnerabilities, with its version, its
+    total and their rank."""
+    catalogs = bodies.select(F.from_json(body, _CATALOG).alias("c")).select("c.catalogVersion", F.size("c.vulnerabilities").alias("total"), F.col("c.vulnerabilities").alias("v"))
+    newest = F.array_sort("v", lambda x, y: F.when(x["dateAdded"] > y["dateAdded"], -1).when(x["dateAdded"] < y["dateAdded"], 1).when(x["cveID"] < y["cveID"], -1).when(x["cveID"] > y["cveID"], 1).otherwise(0))
+    rows = catalogs.select("catalogVersion", "total", F.posexplode(F.slice(newest, 1, most)).alias("place", "e"))
+    return rows.select("catalogVersion", "total", (F.col("place") + 1).alias("rank"), "e.*")
+
+
 def read_catalog(spark: SparkSession, path: str, most: int = 25) -> DataFrame:
-    """The newest entries of a JSON catalog of exploited vulnerabilities, and its version and size."""
-    entry = "cveID string, vendorProject string, product string, vulnerabilityName string, dateAdded string, dueDate string, knownRansomwareCampaignUse string, requiredAction string"
-    catalog = spark.read.schema(f"catalogVersion string, vulnerabilities array<struct<{entry.replace(' string', ':string')}>>").json(path, multiLine=True)
-    rows = catalog.select("catalogVersion", F.size("vulnerabilities").alias("total"), F.inline("vulnerabilities"))
-    return rows.orderBy(F.desc("dateAdded"), "cveID").limit(most)
+    return catalog_entries(bodies_at(spark, path), "body", most).drop("rank")
 
 
-def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, changed) of a change index without header; only JSON documents."""
-    rows = spark.read.schema("path string, changed string").csv(path)
+def change_lines(lines: DataFrame, line: str) -> DataFrame:
+    """(path, changed) of the lines of a change index; only JSON documents."""
+    rows = lines.select(F.from_csv(F.col(line), F.lit("path string, changed string")).alias("c")).select("c.*")
     return rows.where(F.col("path").endswith(".json")).select("path", dates.parse_date(F.col("changed")).alias("changed"))
 
 
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    return change_lines(spark.read.text(path), "value")
+
+
 _ADVISORY = (
     "document struct<title:string, notes:array<struct<category:string,text:string>>,"
     "references:array<struct<category:string,url:string>>, tracking:struct<id:string,current_release_date:string>>"
 )
 
 
-def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """(id, title, link, at, about) of advisory documents, a JSON file each."""
+def advisory_items(bodies: DataFrame, body: str, sites: dict[str, str] | None = None) -> DataFrame:
+    """(id, title, link, at, about) of advisory documents, a JSON body each; without a link of its own a
+    document is at the site that the beginning of its id names."""
+    rows = bodies.select(F.from_json(body, _ADVISORY).alias("r")).select("r.document")
     d = F.col("document")
 
     def pick(parts, category: str, name: str):
         return F.try_element_at(F.filter(parts, lambda x: x["category"] == category), F.lit(1))[name]
 
-    rows = spark.read.schema(_ADVISORY).json(path, multiLine=True)
+    own = d["tracking"]["id"]
+    site = F.lit(None).cast("string")
+    for begins, base in (sites or {}).items():
+        site = F.when(own.startswith(begins), F.concat(F.lit(base), own)).otherwise(site)
     return rows.select(
-        d["tracking"]["id"].alias("id"),
+        own.alias("id"),
         d["title"].alias("title"),
-        pick(d["references"], "self", "url").alias("link"),
+        F.coalesce(pick(d["references"], "self", "url"), site).alias("link"),
         dates.parse_date(d["tracking"]["current_release_date"]).alias("at"),
         pick(d["notes"], "summary", "text").alias("about"),
     )
 
 
+def read_advisories(spark: SparkSession, path: str) -> DataFrame:
+    return advisory_items(bodies_at(spark, path), "body")
+
+
 def collected(readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, str | None]]]:
     """The items of all readers that work, and each reader's error or None, in order."""
     union, states = None, []

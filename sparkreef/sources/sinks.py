@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,7 +38,8 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 def write_if_changed(df: DataFrame, path: str) -> bool:
     """Writes Parquet to ``path`` unless it holds the same rows already; says whether it wrote.
 
-    The new rows go beside the old ones first, so that a reader never meets half a table.
+    The new rows go beside the old ones first, so that a reader never meets half a table. Between
+    the two renames the table is only at ``.prev``; if the second one fails, it is put back.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -48,12 +50,65 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
     fresh, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + suffix) for suffix in (".incoming", ".prev"))
     df.write.mode("overwrite").parquet(fresh.toString())
     files.delete(old, True)
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(fresh, target)
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not files.rename(fresh, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"{path}.incoming can't be moved to its place")
     return True
 
 
+def promoted(df: DataFrame, path: str, problems: Callable[[DataFrame], DataFrame]) -> tuple[str, DataFrame | None]:
+    """Writes to quarantine, verifies what was written, and only then puts it in place.
+
+    ("registered", None), or ("refused", the problems): what fails stays at ``path`` + ``.quarantine``
+    and ``path`` as it was. ``problems`` maps the rows to those that are wrong, none if all is well.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    held, incoming, old, target = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in (".quarantine", ".incoming", ".prev", ""))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(held.toString())
+    written = spark.read.parquet(held.toString())
+    wrong = problems(written)
+    if not wrong.isEmpty():
+        return "refused", wrong
+    if not same_rows(df, written):
+        return "refused", written.limit(0)
+    files.delete(incoming, True)
+    files.delete(old, True)
+    had = files.exists(target)
+    if not files.rename(held, incoming) or had and not files.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(incoming, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"{path}.incoming can't be moved to its place")
+    return "registered", None
+
+
+def generated_states(fresh: DataFrame, there: DataFrame, path: str, body: str) -> DataFrame:
+    """(path, state) of generated files: written where nothing lies, else ok or STALE."""
+    lies = there.select(path, F.col(body).alias("_there"), F.lit(True).alias("_lies"))
+    state = F.when(F.col("_lies").isNull(), "written").when(F.col("_there").eqNullSafe(F.col(body)), "ok").otherwise("STALE")
+    return fresh.join(lies, path, "left").select(path, state.alias("state"))
+
+
+def dumped(rows: DataFrame, declared: Sequence[str], key: str) -> DataFrame:
+    """(key, line): each entry as JSON, its fields in the declared order, absent ones left out."""
+    return rows.select(key, F.to_json(F.struct(*declared)).alias("line"))
+
+
+def directory_sizes(files: DataFrame, path: str, size: str) -> DataFrame:
+    """(dir, size, files): what lies in each directory and below it."""
+    parts = F.split(path, "/")
+    dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    spread = files.where(F.contains(path, F.lit("/"))).select(F.explode(dirs).alias("dir"), F.col(size).alias("_size"))
+    return spread.groupBy("dir").agg(F.sum("_size").cast("long").alias("size"), F.count("*").alias("files"))
+
+
 def write_run(rows: DataFrame, path: str, watch: str = "watch") -> None:
     """Run artifacts as JSON, one folder per watch."""
     rows.write.mode("append").partitionBy(watch).json(path)
@@ -68,10 +123,11 @@ def upserted(current: DataFrame, wanted: DataFrame, key: str, value: str) -> Dat
 
 
 def report(rows: DataFrame, group: str, order: Sequence[str], line: Column, title: Column) -> DataFrame:
-    """(group, report): a Markdown list per group, in order. A group is one report, small by design."""
-    lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    told = F.array_join(F.transform(lines, lambda x: x["_line"]), "\n")
-    return rows.groupBy(group).agg(F.concat(F.max(title), F.lit("\n\n"), told).alias("report"))
+    """(group, place, line): a Markdown list per group, a row a line, the title at place 0."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    lines = rows.select(group, place.alias("place"), line.alias("line"))
+    titles = rows.groupBy(group).agg(F.max(title).alias("line")).select(group, F.lit(0).alias("place"), "line")
+    return titles.unionByName(lines)
 
 
 def lock_lines(files: DataFrame, mode: str, digest: str, path: str) -> DataFrame:
