@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` or the context names it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is taken.
+    Where neither does, a temporary folder on one machine (a local master, as in tests), and an
+    error on a cluster: what a machine-local folder holds there is lost with its executor.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read from there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -46,3 +56,21 @@ def text_hash(column: str = "text"):
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """``docs`` as one struct column, row, and ``columns`` beside it, whatever names ``docs`` has."""
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        key = columns[0]
+        if not len(key):
+            continue
+        if held and held[0][0][0] == key[-1]:  # one run that goes on
+            held.append(columns)
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in columns], strict=True)]
+        held = [[x[cut:] for x in columns]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]

@@ -2,21 +2,25 @@
 
 A recording becomes frames of twelve pitch classes. Filters that compare rectangles of the
 frames, all summed through one integral image, give two bits each, and sixteen of them one packed
-integer for every frame. Recordings with the same integers are one node. A landmark is a run of
-RUN integers in a row, DISTINCT of them different at least, so that silence or one held tone is
-none; recordings that share a landmark are linked, through the first of them, and the connected
-components are the classes. Every recording is then aligned with its class's first: equal integers
-vote for their offset in a histogram, and the bit errors over the overlap at the best offset tell
-how well the two agree.
+integer for every frame. Recordings with the same integers are one node. A landmark is two
+different integers, GAP frames apart; recordings that share one are candidates. A pair of
+candidates is aligned: equal integers vote for their offset in a histogram, and at the best offset
+the stretch of SPAN frames with the fewest bit errors is looked for. Where it differs in MOST_ERROR
+of its bits at most, the two are linked; the connected components are the classes.
+
+Under a landmark each recording first meets the first one and the one before it; then all that are
+not connected yet meet, so no candidates are left out. Recordings with a stretch in common, however
+many, are connected in the first pass; the second is left with those that share a landmark by
+chance. Unrelated melodies differ in a quarter of the bits or more on their best stretch, noisy and
+shifted copies in a tenth or less.
 
 A recording that can't be decoded (null, empty or broken bytes) or is too short has no frames and
-is a class of its own, without an alignment. Repeated rows are in one class. A null id sorts last.
-Links grow with the frames, not with the pairs of a class, and none is capped.
+is a class of its own, without an alignment; so is one whose overlap with any other is under SPAN
+frames. Repeated rows are in one class. Null ids name no class unless it has no other.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
 from collections.abc import Callable, Iterator
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import checkpointed
+from sparkreef.llm.common import checkpointed, whole_runs
 from sparkreef.llm.components import components
 
 RATE = 5512
@@ -40,12 +44,13 @@ STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: (kind, first pitch class, pitch classes, frames) by a rule: kinds, heights and widths take turns.
 FILTERS = tuple((i % 4, (i * 5) % 9, 2 + i % 3 if i % 4 else 3, WIDTH if i % 2 else WIDTH // 2) for i in range(16))
-RUN = 3
-DISTINCT = 3
-#: Beyond this share of differing bits two recordings don't align.
-MOST_ERROR = 0.35
-
-_LAST = (1 << 63) - 1
+#: Frames between the two integers of a landmark.
+GAP = 4
+#: Recordings are linked by a stretch of so many frames (2.2 seconds) that differs in no more than this share of its bits.
+SPAN = 48
+MOST_ERROR = 0.2
+#: Pairs go on in batches of about so many.
+PAIRS = 100_000
 
 
 def from_wave(data: bytes | None) -> tuple[np.ndarray, int] | None:
@@ -82,21 +87,28 @@ def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def pitch_classes() -> np.ndarray:
-    """(frequency bin, pitch class): 1 where a bin belongs to a class."""
+def pitch_bins() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins in use, by pitch class; where each class begins among them; the class)."""
     hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
     used = np.flatnonzero((hertz >= LOW) & (hertz <= HIGH))
-    table = np.zeros((len(hertz), 12))
-    table[used, np.round(12 * np.log2(hertz[used] / 440.0)).astype(int) % 12] = 1
-    return table
+    of = np.round(12 * np.log2(hertz[used] / 440.0)).astype(int) % 12
+    order = np.argsort(of, kind="stable")
+    classes, begin = np.unique(of[order], return_index=True)
+    return used[order], begin, classes
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
-    """(frame, pitch class), each frame of unit length or zero."""
+    """(frame, pitch class), each frame of unit length or zero.
+
+    Sums over bins instead of a matrix product: that one would start threads in every task.
+    """
     if len(samples) < FRAME:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::STEP] * np.hanning(FRAME)
-    found = np.abs(np.fft.rfft(frames)) ** 2 @ pitch_classes()
+    bins, begin, classes = pitch_bins()
+    heard = np.fft.rfft(frames)[:, bins]
+    found = np.zeros((len(frames), 12))
+    found[:, classes] = np.add.reduceat(heard.real**2 + heard.imag**2, begin, axis=1)
     size = np.sqrt((found**2).sum(1, keepdims=True))
     return np.where(size > 1e-6, found / np.maximum(size, 1e-12), 0.0)
 
@@ -131,16 +143,10 @@ def packed(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def landmarks(prints: np.ndarray) -> set[int]:
-    """Hashes of the runs of RUN integers that vary enough to tell recordings apart."""
-    if len(prints) < RUN:
-        return set()
-    runs = np.lib.stride_tricks.sliding_window_view(prints, RUN)
-    varied = 1 + (np.diff(np.sort(runs, 1), axis=1) != 0).sum(1) >= DISTINCT
-    return {
-        int.from_bytes(hashlib.blake2b(run.astype("<u4").tobytes(), digest_size=8).digest(), "little", signed=True)
-        for run in runs[varied]
-    }
+def landmarks(prints: np.ndarray) -> np.ndarray:
+    """64 bits for each two different integers that stand GAP frames apart, once each."""
+    one, two = prints[:-GAP].astype(np.uint64), prints[GAP:].astype(np.uint64)
+    return np.unique((one << np.uint64(32) | two)[one != two]).view(np.int64)
 
 
 def best_offset(one: np.ndarray, two: np.ndarray) -> int | None:
@@ -156,60 +162,113 @@ def best_offset(one: np.ndarray, two: np.ndarray) -> int | None:
     return int(votes.argmax()) - len(two)
 
 
-def bit_error(one: np.ndarray, two: np.ndarray, offset: int) -> float:
-    """The share of bits in which the overlap differs, with ``two`` shifted by ``offset``."""
+def bit_error(one: np.ndarray, two: np.ndarray, offset: int, span: int = SPAN) -> float | None:
+    """The least share of bits in which ``span`` frames in a row differ, with ``two`` shifted by
+    ``offset``; None where the overlap is shorter."""
     start, end = max(0, offset), min(len(one), len(two) + offset)
+    if end - start < span:
+        return None
     differing = np.bitwise_count(one[start:end] ^ two[start - offset : end - offset])
-    return float(differing.sum()) / (32 * max(1, end - start))
+    upto = np.concatenate([[0], np.cumsum(differing, dtype=np.int64)])
+    return float((upto[span:] - upto[:-span]).min()) / (32 * span)
 
 
 def fingerprint_media(
     media: DataFrame, id_col: str, media_col: str, decode: Callable[[object], tuple[np.ndarray, int] | None] = from_wave
 ) -> DataFrame:
     """(id, prints) for each row: the packed integers as an array of ints."""
-    source = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    source = media.select(F.col(id_col).alias("id"), F.xxhash64(media_col).alias("hash"), F.col(media_col).alias("media"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for value in batch.column(1).to_pylist():
-                sound = decode(value)
-                prints = packed(chroma(resampled(*sound))) if sound else np.zeros(0, np.uint32)
-                found.append(prints.view(np.int32))
+            found, known = [], {}  # equal media of a batch are decoded once
+            for hash_, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if hash_ not in known or known[hash_][0] != value:
+                    sound = decode(value)
+                    prints = packed(chroma(resampled(*sound))) if sound else np.zeros(0, np.uint32)
+                    known[hash_] = value, prints.view(np.int32)
+                found.append(known[hash_][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["id", "prints"])
 
     id_type = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(mark, f"id {id_type}, prints array<int>").withColumnRenamed("id", id_col)
 
 
-def landmark_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node (node, prints) and the first one with the same landmark."""
+def shared_landmarks(nodes: DataFrame) -> DataFrame:
+    """(mark, node): the landmarks of ``nodes`` (node, prints) that several have, in order."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, owners = [], []
-            for node, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = landmarks(np.array(prints, np.int32).view(np.uint32))
-                marks += own
-                owners += [node] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(owners, pa.int64())], ["mark", "node"])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None  # (mark, node) of the run in progress
+            marks = [landmarks(np.array(x, np.int32).view(np.uint32)) for x in batch.column(1).to_pylist()]
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in marks])
+            marks = np.concatenate([*marks, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(owners, pa.int64())], ["mark", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mark, node in whole_runs(batches):
+            same = mark[1:] == mark[:-1]
+            twin = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(mark) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(mark[twin]), pa.array(node[twin])], ["mark", "node"])
+
+    shape = "mark long, node long"
+    marked = nodes.select("node", "prints").mapInArrow(spread, shape)
+    return marked.repartition("mark").sortWithinPartitions("mark", "node").mapInArrow(shared, shape)
+
+
+def _pairs(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+
+def _met_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (mark, node) in order, each node with its mark's first one and the one before it."""
+    for mark, node in whole_runs(batches):
+        fresh = np.concatenate([[True], mark[1:] != mark[:-1]])[: len(mark)]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(mark)), 0))
+        rest = np.flatnonzero(~fresh)
+        yield _pairs(np.concatenate([node[first[rest]], node[rest - 1]]), np.concatenate([node[rest], node[rest]]))
+
+
+def _met_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (mark, node, root) in order, the pairs of a mark that no links connect yet."""
+    for mark, node, root in whole_runs(batches):
+        left, step, found, held = np.flatnonzero(mark[1:] == mark[:-1]), 1, [], 0
+        while len(left):
+            apart = left[root[left] != root[left + step]]
+            found.append((node[apart], node[apart + step]))
+            held += len(apart)
+            if held > PAIRS:
+                yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+                found, held = [], 0
+            step += 1
+            left = left[left + step < len(mark)]
+            left = left[mark[left + step] == mark[left]]
+        if held:
+            yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def aligned_pairs(pairs: DataFrame, nodes: DataFrame, span: int, most_error: float) -> DataFrame:
+    """(a, b, offset, bit_error): the pairs (a, b) of ``nodes`` (node, prints) that align."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, nodes_ = (c.to_numpy() for c in batch.columns)
-            if not len(marks):
-                continue
-            starts = np.concatenate([[first is None or first[0] != marks[0]], marks[1:] != marks[:-1]])
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(marks)), -1))
-            heads = np.where(at >= 0, nodes_[at], first[1] if first else 0)
-            first = (marks[-1], heads[-1])
-            other = heads != nodes_
-            yield pa.RecordBatch.from_arrays([pa.array(heads[other]), pa.array(nodes_[other])], ["a", "b"])
+            offsets, errors = [], []
+            for mine, other in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (x.values.to_numpy().view(np.uint32) for x in (mine, other))
+                offset = best_offset(one, two)
+                error = None if offset is None else bit_error(one, two, offset, span)
+                fits = error is not None and error <= most_error
+                offsets.append(offset if fits else None)
+                errors.append(error if fits else None)
+            told = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(offsets, pa.int64()), pa.array(errors, pa.float64())],
+                ["a", "b", "offset", "bit_error"],
+            )
+            yield told.filter(told.column(2).is_valid())
 
-    marked = nodes.select("node", "prints").mapInArrow(spread, "mark long, node long")
-    dealt = marked.repartition("mark").sortWithinPartitions("mark", "node")
-    return dealt.mapInArrow(linked, "a long, b long").distinct()
+    of = nodes.select("node", "prints")
+    told = pairs.join(of.withColumnsRenamed({"node": "a", "prints": "of_a"}), "a")
+    told = told.join(of.withColumnsRenamed({"node": "b", "prints": "of_b"}), "b")
+    return told.select("a", "b", "of_a", "of_b").mapInArrow(align, "a long, b long, offset long, bit_error double")
 
 
 def align_recordings(
@@ -217,54 +276,44 @@ def align_recordings(
     id_col: str,
     media_col: str,
     decode: Callable[[object], tuple[np.ndarray, int] | None] = from_wave,
+    span: int = SPAN,
     most_error: float = MOST_ERROR,
 ) -> DataFrame:
-    """(id, n_prints, class_id, n_links, offset, bit_error) for each row.
+    """(id, n_prints, class_id, partner_id, offset, bit_error) for each row.
 
-    class_id is the smallest id of the class; offset, in steps, shifts its prints onto the row's;
-    offset and bit_error are null where the two don't align. n_links counts the nodes, other than
-    its own, that a row's node is linked with directly.
+    class_id is the smallest id of the class. partner_id is the recording, other than its equals,
+    that the row aligns with best among those it was held against; offset, in steps, shifts the
+    partner's prints onto the row's. The three are null where none aligns.
     """
     prints = checkpointed(fingerprint_media(media, id_col, media_col, decode))
-    rows = prints.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("own"), "prints")
-    heard = rows.where(F.size("prints") > 0)
-    # Rows with the same prints are one node, named after the smallest of them.
-    nodes = checkpointed(heard.groupBy(F.sha2(F.to_json("prints"), 256).alias("same")).agg(
-        F.min("own").alias("node"), F.min("prints").alias("prints")
-    ))
-    links = checkpointed(landmark_links(nodes))
-    degrees = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    rows = prints.select(F.col(id_col).alias("id"), F.when(F.size("prints") > 0, F.xxhash64("prints")).alias("node"), "prints")
+    # Rows with the same prints are one node, named after their hash.
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("prints").alias("prints"))
+    nodes = checkpointed(nodes)
+    met = checkpointed(shared_landmarks(nodes))
+    pairs = checkpointed(met.mapInArrow(_met_first, "a long, b long").distinct())
+    links = checkpointed(aligned_pairs(pairs, nodes, span, most_error))
+    roots = components(links)
+    rooted = met.join(roots, "node", "left").select("mark", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("mark").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("mark")
+    rooted = rooted.join(split, "mark").repartition("mark").sortWithinPartitions("mark", "node")
+    rest = checkpointed(rooted.mapInArrow(_met_all, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = checkpointed(links.union(aligned_pairs(rest, nodes, span, most_error)))
+        roots = components(links)
+    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("partner"), "offset", "bit_error").union(
+        links.select("b", "a", -F.col("offset"), "bit_error")
     )
-    classes = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = nodes.select(F.col("node").alias("root"), F.col("prints").alias("head"))
-    named = classes.join(heads, "root").join(degrees, "node", "left").select(
-        "same", "root", "prints", "head", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, errors = [], []
-            for mine, head in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = (np.array(x, np.int32).view(np.uint32) for x in (mine, head))
-                offset = best_offset(one, two)
-                error = None if offset is None else bit_error(one, two, offset)
-                fits = error is not None and error <= most_error
-                offsets.append(offset if fits else None)
-                errors.append(error if fits else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), pa.array(offsets, pa.int64()), pa.array(errors, pa.float64())],
-                ["same", "root", "n_links", "offset", "bit_error"],
-            )
-
-    aligned = named.mapInArrow(align, "same string, root long, n_links long, offset long, bit_error double")
-    told = rows.withColumn("same", F.when(F.size("prints") > 0, F.sha2(F.to_json("prints"), 256)))
-    class_id = F.coalesce("root", "own")
-    return told.join(aligned, "same", "left").select(
+    partners = both.join(named.select(F.col("node").alias("partner"), F.col("least").alias("partner_id")), "partner")
+    best = partners.groupBy("node").agg(F.min(F.struct("bit_error", "partner_id", "offset")).alias("best"))
+    told = named.join(classes, "root").join(best, "node", "left").select("node", "class_id", "best")
+    return rows.join(told, "node", "left").select(
         F.col("id").alias(id_col),
         F.size("prints").cast("long").alias("n_prints"),
-        F.when(class_id != _LAST, class_id).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "offset",
-        "bit_error",
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("best.partner_id").alias("partner_id"),
+        F.col("best.offset").alias("offset"),
+        F.col("best.bit_error").alias("bit_error"),
     )

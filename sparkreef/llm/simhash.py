@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import boxed, checkpointed, text_hash
+from sparkreef.llm.common import boxed, checkpointed, text_hash, whole_runs
 from sparkreef.llm.components import components
 
 SEED = 42
@@ -286,24 +286,6 @@ def common_shingles(parts: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by the first one, cut where its value changes."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        key = columns[0]
-        if not len(key):
-            continue
-        if held and held[0][0][0] == key[-1]:  # one run that goes on
-            held.append(columns)
-            continue
-        cut = int(np.searchsorted(key, key[-1]))
-        yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in columns], strict=True)]
-        held = [[x[cut:] for x in columns]]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def may_reach(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets whose first common element stands at these places may be ``similarity`` alike.
 
