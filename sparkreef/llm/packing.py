@@ -60,7 +60,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
         self.words: dict[str, bytes] = {}
