@@ -9,7 +9,8 @@ several documents share; a second gathers, for those, the bytes of the windows t
 settles equal ones of a batch on the spot, and sorts these contexts by anchor.
 
 Among contexts of one anchor, equal ones are settled as they stream by: all but the first
-document's are repeated throughout. What remains, one context of each kind, is suffix-sorted, to
+document's are repeated throughout, and where the first document has one several times, what is
+found for it later holds at each of its places. What remains, one context of each kind, is suffix-sorted, to
 the right of the anchor and reversed to the left, by mergesort: two suffixes are compared by a
 binary search for their common extension over prefix polynomial hashes. Contexts whose extensions
 on both sides add up to a window are cut into windows, these are sorted in the same way, and runs
@@ -342,13 +343,19 @@ class _Block:
     """Kinds of contexts, of whole groups, until they are sorted together."""
 
     def __init__(self):
-        self.contexts, self.left, self.group, self.rows = [], [], [], []
+        self.contexts, self.left, self.group, self.docs = [], [], [], []
+        self.places: list[list[tuple[int, int]]] = []  # (rid, start) of each time the document has it
 
-    def add(self, group: int, row: tuple[int, int, int, int, bytes]) -> None:
-        self.rows.append(row)
+    def add(self, group: int, doc: int, rid: int, start: int, left: int, context: bytes) -> None:
+        self.docs.append(doc)
+        self.places.append([(rid, start)])
         self.group.append(group)
-        self.left.append(row[3])
-        self.contexts.append(row[4])
+        self.left.append(left)
+        self.contexts.append(context)
+
+    def again(self, rid: int, start: int) -> None:
+        """The document of the last kind has it at another place, too."""
+        self.places[-1].append((rid, start))
 
     def spans(self, length: int) -> Iterator[tuple[int, int, int, int]]:
         group = np.array(self.group)
@@ -359,11 +366,11 @@ class _Block:
         at = np.flatnonzero(several)
         if not len(at):
             return
-        doc = np.array([self.rows[i][0] for i in at], np.int64)
+        doc = np.array(self.docs, np.int64)[at]
         found, place = repeated_windows([self.contexts[i] for i in at], np.array(self.left)[at], group[at], doc, length)
         for i, p in zip(at[found].tolist(), place.tolist(), strict=True):
-            doc_, rid, start, _, _ = self.rows[i]
-            yield doc_, rid, start + p, start + p + length
+            for rid, start in self.places[i]:
+                yield self.docs[i], rid, start + p, start + p + length
 
 
 def joined_spans(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -395,14 +402,16 @@ def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             if head is not None and head[0] == key and head[1] == left and head[2] == context:
                 if doc > head[3]:
                     spans.append((doc, rid, start, start + len(context)))
+                else:
+                    block.again(rid, start)
                 continue
             if head is None or head[0] != key:
-                if len(block.rows) >= BLOCK:
+                if len(block.docs) >= BLOCK:
                     spans += block.spans(length)
                     block = _Block()
                 group += 1
             head = (key, left, context, doc)
-            block.add(group, (doc, rid, start, left, context))
+            block.add(group, doc, rid, start, left, context)
         yield batch_of(spans)
     yield batch_of(list(block.spans(length)))
 
