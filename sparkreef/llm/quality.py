@@ -1,11 +1,12 @@
 """Quality rules with thresholds that follow each language and source, in DataFrame functions alone.
 
 Every document gets whole-number measures. Their distribution per (language, source) is kept as a
-quantile sketch: counts of documents by value, at a fixed resolution, so a sketch has RESOLUTION + 1
-entries per measure at most and two of them merge by adding counts. Quartiles of the sketch set a
-fence for each measure; documents beyond a fence are dropped, by a join of the measures with the
-fences. A group of under ``least_group`` documents takes the merged sketch of its language, and
-that of all documents if the language is small too.
+quantile sketch: counts of documents by value, where values from EXACT on are known by their leading
+bits, so that a quartile is at most 1/512 below the true one and no value is too large. A sketch has
+some thousand entries per measure at most and two of them merge by adding counts. Quartiles of the
+sketch set a fence for each measure; documents whose measures, as they are, lie beyond a fence are
+dropped, by a join of the measures with the fences. A group of under ``least_group`` documents takes
+the merged sketch of its language, and that of all documents if the language is small too.
 
 A null or empty text has no words: all its counts are 0 and the base rules drop it. Null languages
 and sources are groups of their own. Repeated rows count as often as they occur.
@@ -23,8 +24,8 @@ from sparkreef.llm.common import checkpointed
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
-#: Measures are whole numbers from 0 to this; larger ones count as this.
-RESOLUTION = 1000
+#: Below this, sketches count each value; from it on, they know values by so many leading bits.
+EXACT, LEADING_BITS = 1024, 10
 #: The fence stands this many quartile ranges beyond the quartiles.
 REACH = 3.0
 #: (measure, least quartile range that counts, whether low values are fenced off too)
@@ -87,11 +88,10 @@ def base_failed() -> Column:
 
 
 def measures() -> dict[str, Column]:
-    """Whole numbers from 0 to RESOLUTION: shares in thousandths, mean word length in tenths."""
+    """Whole numbers: shares in thousandths, mean word length in tenths."""
 
     def share(part: str, whole: str, scale: int) -> Column:
-        value = F.floor(scale * F.col(part) / F.greatest(F.col(whole), F.lit(1)))
-        return F.least(value, F.lit(RESOLUTION)).cast("int")
+        return F.floor(scale * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long")
 
     return {
         "symbols": share("n_symbols", "word_chars", 1000),
@@ -101,9 +101,15 @@ def measures() -> dict[str, Column]:
     }
 
 
+def step(value: Column) -> Column:
+    """The least value that a sketch doesn't tell from this one."""
+    grain = F.pow(F.lit(2), F.greatest(F.length(F.bin(value)) - LEADING_BITS, F.lit(0))).cast("long")
+    return F.when(value < EXACT, value).otherwise(value - value % grain)
+
+
 def sketch(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, measure, value, n): the sketches of each group."""
-    values = F.array(*(F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in measures().items()))
+    values = F.array(*(F.struct(F.lit(name).alias("measure"), step(value).alias("value")) for name, value in measures().items()))
     return counts.select(*by, F.inline(values)).groupBy(*by, "measure", "value").agg(F.count("*").alias("n"))
 
 

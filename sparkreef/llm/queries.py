@@ -130,11 +130,12 @@ ORACLE_SQL: dict[str, str] = {
         based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
         measured AS (
             SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure,
-                   unnest([least(1000, 1000 * n_symbols // greatest(word_chars, 1)), least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)),
-                           least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), least(1000, 10 * word_chars // greatest(n_words, 1))]) AS value
+                   unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
+                           1000 * n_repeat_words // greatest(n_words, 1), 10 * word_chars // greatest(n_words, 1)]) AS value
             FROM based),
         grouped AS (
-            SELECT grouping(lang, source) AS level, lang, source, measure, count(*) AS n, list_sort(list(value)) AS v
+            SELECT grouping(lang, source) AS level, lang, source, measure, count(*) AS n,
+                   list_sort(list(value - value % (2 ** greatest(length(bin(value)) - 10, 0))::BIGINT)) AS v
             FROM measured WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
         fenced AS (
             SELECT level, lang, source, measure, n, v[(n + 3) // 4] AS q1, v[(3 * n + 3) // 4] AS q3,
