@@ -3,12 +3,15 @@
 Documents are first aggregated by membership pattern, the set of sources that hold them. A small
 network then routes each pattern's words to its sources' quotas: a first pass over a pattern is
 free, each repetition costs more than the one before, so the cheapest flow repeats as little as the
-quotas allow. Only patterns and quotas come to the driver, a row each; documents stay in Spark.
+quotas allow. A source that overlaps no other needs no network, as its flow is its quota, so only
+patterns of several sources, and the sources in them, come to the driver, a row each; quotas and all
+other flows are found in Spark, whatever the number of sources.
 
 Within a pattern, documents stand in a line by a seeded hash, each as long as its words, and the
 flow takes a stretch of the line, once around or more. A document's place in the line is its
-bucket's offset plus its place in the bucket: the hash's first 16 bits make the buckets, so no task
-sees more than 1/65536 of a pattern's documents or 65536 sums.
+bucket's offset plus its place in the bucket: the hash's first 16 bits make the buckets, whose
+offsets are summed in two levels of 8 bits, so no task sees more than 1/65536 of a pattern's
+documents or 256 of its sums.
 
 A null or empty text has size 0 and takes part without weight. Null is a source of its own. A
 document without sources is never taken. Equal rows stand next to each other. Runs agree, since
@@ -17,7 +20,6 @@ nothing but rows and the seed decides.
 
 from __future__ import annotations
 
-import json
 from collections import deque
 from collections.abc import Sequence
 
@@ -31,11 +33,12 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 17
-#: With more membership patterns the mix is refused.
+#: With more patterns of several sources the mix is refused: their network would outgrow the driver.
 MOST_PATTERNS = 20_000
 
-#: A pattern's documents are lined up in this many buckets.
+#: A pattern's documents are lined up in 2 ** BUCKET_BITS buckets, these in 2 ** HALL_BITS halls.
 BUCKET_BITS = 16
+HALL_BITS = 8
 
 
 def word_count(text_col: str = "text"):
@@ -43,35 +46,49 @@ def word_count(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def source_weights(sources: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """``sources`` (source, ...) with weight: they go round in code point order, null last.
+
+    Sources are sorted by ranges, and each range's first place is what the ranges before it hold, so
+    no task sees them all; the driver gets a count for each range.
+    """
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    place, starts = 0, []
+    for r in sorted(ranged.groupBy("range").count().collect()):
+        starts += [F.lit(r["range"]), F.lit(place)]
+        place += r["count"]
+    if not starts:
+        return sources.withColumn("weight", F.lit(0.0))
+    own = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    at = own + F.create_map(*starts)[F.col("range")]
+    return ranged.withColumn("weight", F.array(*map(F.lit, map(float, weights)))[(at % len(weights)).cast("int")]).drop("range")
+
+
 def source_targets(
-    sizes: dict[str | None, int],
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST_REPEATS,
-    total: int | None = None,
-) -> dict[str | None, float]:
-    """Quotas by weight: ``share`` of ``total`` together, none above ``most`` times its source.
+    sources: DataFrame, total: int | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS
+) -> DataFrame:
+    """``sources`` (source, size) with target: ``share`` of ``total`` together, by weight, none above
+    ``most`` times its source.
 
     ``total`` is what all documents hold, by default all sizes together; it is less than these where
-    sources overlap.
-
-    Weights go round the sources in code point order, null last; what a source can't take is
-    reshared by weight among the others.
+    sources overlap. What a source can't take is reshared by weight among the others: each round
+    finds the words a unit of weight gets with the sources full so far, until no more are full.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, targets, open_ = share * (sum(sizes.values()) if total is None else total), {}, list(order)
-    while open_:
-        weights_left = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / weights_left > most * sizes[s]]
-        if not above:
-            targets |= {s: left * weight[s] / weights_left for s in open_}
+    weighed = checkpointed(source_weights(sources.select("source", "size"), weights).withColumn("full", F.col("size") * float(most)))
+    level, full = 0.0, -1
+    while True:
+        above = F.col("full") < F.col("weight") * level
+        r = weighed.agg(
+            F.sum("size").alias("size"),
+            F.sum(F.when(above, F.col("full")).otherwise(0.0)).alias("taken"),
+            F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("weight"),
+            F.sum(above.cast("long")).alias("n"),
+        ).first()
+        if not r["weight"] or r["n"] == full:
             break
-        for s in above:
-            targets[s] = float(most * sizes[s])
-        left -= sum(targets[s] for s in above)
-        open_ = [s for s in open_ if s not in targets]
-    return targets
+        full, level = r["n"], (share * (r["size"] if total is None else total) - r["taken"]) / r["weight"]
+    return weighed.withColumn("target", F.least("full", F.col("weight") * level)).drop("full", "weight")
 
 
 class Network:
@@ -162,6 +179,51 @@ def route(
     return routed
 
 
+def flows(totals: DataFrame, weights: Sequence[float], share: float, most: int, most_patterns: int) -> DataFrame:
+    """(pattern, pattern_size, flow, parts, quotas) for each of ``totals`` (pattern, sources, size):
+    the words to take in all and for each source, and the sources' sizes and targets."""
+    spark = totals.sparkSession
+    held = totals.where(F.size("sources") > 0)
+    by_source = held.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    total = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    targets = source_targets(by_source, total, weights, share, most)
+    targets = checkpointed(targets.withColumn("pattern", F.to_json(F.array("source").alias("sources"))))
+    quota = F.struct("source", F.col("source_size").alias("size"), "target")
+    flow = F.least(F.bround("target").cast("long"), F.col("size") * most)
+    singles = totals.join(targets.withColumnRenamed("size", "source_size"), "pattern").select(
+        "pattern", "source", "source_size", "target", F.col("size").alias("pattern_size"), flow.alias("flow"),
+        F.array(F.struct("source", flow.alias("words"))).alias("parts"), F.array(quota).alias("quotas"),
+    )
+    names = ["pattern", "pattern_size", "flow", "parts", "quotas"]
+    shape = (
+        "pattern string, pattern_size long, flow long, parts array<struct<source:string,words:long>>,"
+        "quotas array<struct<source:string,size:long,target:double>>"
+    )
+    nothing = totals.where(F.size("sources") == 0).select(
+        "pattern", F.col("size").alias("pattern_size"), F.lit(0).cast("long").alias("flow"),
+        F.array().cast("array<struct<source:string,words:long>>").alias("parts"),
+        F.array().cast("array<struct<source:string,size:long,target:double>>").alias("quotas"),
+    )
+    several = totals.where(F.size("sources") > 1).limit(most_patterns + 1).collect()
+    if not several:
+        return singles.select(*names).union(nothing)
+    if len(several) > most_patterns:
+        raise ValueError(f"over {most_patterns} patterns of several sources: the network would outgrow the driver")
+    # The sources in them, each with the pattern of its own documents if it has any.
+    involved = spark.createDataFrame([(s,) for s in {s for r in several for s in r["sources"]}], "source string")
+    involved = involved.select(F.to_json(F.array("source").alias("sources")).alias("pattern"))
+    quotas = {r["source"]: (r["size"], r["target"]) for r in targets.join(involved, "pattern", "left_semi").collect()}
+    alone = singles.join(involved, "pattern", "left_semi").select("pattern", "source", "pattern_size").collect()
+    patterns = {tuple(r["sources"]): (r["pattern"], r["size"]) for r in several}
+    patterns |= {(r["source"],): (r["pattern"], r["pattern_size"]) for r in alone}
+    routed = route({p: n for p, (_, n) in patterns.items()}, {s: t for s, (_, t) in quotas.items()}, most)
+    plan = []
+    for p, (name, size) in patterns.items():
+        parts = list(routed[p].items())
+        plan.append((name, size, sum(n for _, n in parts), parts, [(s, *quotas[s]) for s in p]))
+    return singles.join(involved, "pattern", "left_anti").select(*names).union(nothing).union(spark.createDataFrame(plan, shape))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -178,7 +240,6 @@ def mix_sources(
     ``sources_col`` is an array of the sources that hold a document; rid is its text's hash;
     ``quotas`` are its sources with their sizes and targets; ``routes`` names, for each time the document is taken, the source it is taken for.
     """
-    spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("id"),
         text_hash(text_col).alias("rid"),
@@ -191,35 +252,22 @@ def mix_sources(
         .withColumn("line", line)
         .withColumn("bucket", F.shiftrightunsigned("line", 64 - BUCKET_BITS))
     )
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()
-    if len(totals) > most_patterns:
-        raise ValueError(f"over {most_patterns} membership patterns: the network would outgrow the driver")
-    patterns = {tuple(json.loads(r["pattern"])): r["size"] for r in totals}
-    sizes: dict[str | None, int] = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    targets = source_targets(sizes, weights, share, most, sum(n for p, n in patterns.items() if p))
-    routed = route({p: n for p, n in patterns.items() if p}, targets, most)
-    plan = []
-    for r in totals:
-        p = tuple(json.loads(r["pattern"]))
-        parts = list(routed.get(p, {}).items())
-        plan.append((r["pattern"], r["size"], sum(n for _, n in parts), parts, [(s, sizes[s], targets[s]) for s in p]))
-    shape = (
-        "pattern string, pattern_size long, flow long, parts array<struct<source:string,words:long>>,"
-        "quotas array<struct<source:string,size:long,target:double>>"
-    )
-    planned = F.broadcast(spark.createDataFrame(plan, shape))  # a row per pattern, most_patterns at most
-
-    by_bucket = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("held"))
-    offsets = buckets.select("pattern", "bucket", F.coalesce(F.sum("held").over(by_bucket), F.lit(0)).alias("offset"))
+    totals = checkpointed(sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")))
+    planned = flows(totals, weights, share, most, most_patterns)
+
+    hall = F.shiftright("bucket", BUCKET_BITS - HALL_BITS)
+    buckets = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("held")).withColumn("hall", hall)
+    before_hall = F.sum("held").over(W.partitionBy("pattern").orderBy("hall").rowsBetween(W.unboundedPreceding, -1))
+    halls = buckets.groupBy("pattern", "hall").agg(F.sum("held").alias("held")).select("pattern", "hall", before_hall.alias("begin"))
+    in_hall = F.sum("held").over(W.partitionBy("pattern", "hall").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    offset = F.coalesce("begin", F.lit(0)) + F.coalesce("inside", F.lit(0))
+    offsets = buckets.select("pattern", "hall", "bucket", in_hall.alias("inside")).join(halls, ["pattern", "hall"])
+    # Plans join buckets, not documents, so that a hot pattern's rows never meet in one task.
+    offsets = offsets.select("pattern", "bucket", offset.alias("offset")).join(planned, "pattern")
     in_bucket = W.partitionBy("pattern", "bucket").orderBy("line", "id", "rid", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sized.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
         .join(offsets, ["pattern", "bucket"])
-        .join(planned, "pattern", "left")
         .withColumn("middle", F.col("offset") + F.col("before") + F.col("size") / 2)
     )
     # A document is taken on a round if its middle lies on the stretch that the flow takes.
