@@ -67,6 +67,22 @@ def test_bitmaps_round_trip():
     assert [i for i, k in enumerate(keep) if not k] == [0, 3, 10]
 
 
+def test_tokens_of_special_strings_in_texts(spark):
+    """A text may hold the vocabulary's special strings, alone or within words; ids are the plain encoding's."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = ["<|endoftext|>", "a <|startoftext|> b", "abc<|endoftext|>def<|endoftext|>.", "<|endoftext|", "x<|endoftext|>,<|ENDOFTEXT|>", "  <|endoftext|>\t\n<|startoftext|><|endoftext|> "]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "ab", " ", "é", ".", "|>", "<|", "\n", "İ", "7"]) for _ in range(30)) for _ in range(300)]
+    docs = list(enumerate(texts))
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), path("word_bpe_49k.json"))
+    rows = [tuple(r) for r in rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()]
+    assert any(49407 in tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    assert brute.pieces(docs, rows, lambda t: tokenizer.encode(t, add_special_tokens=False).ids) is None
+
+
 def test_dedup_lines_keeps_columns_and_rows(spark):
     rows = [(1, "a line that is long\nown one", "x"), (2, "A LINE that is long \nown", "y"), (3, None, "z")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _keep string"))
@@ -82,6 +98,41 @@ def test_crowded_anchors_take_the_exact_other_way(spark, odd_docs, crowd):
     assert found == brute.substrings(docs)
 
 
+@pytest.mark.parametrize("crowd", [2, 1 << 15])
+def test_passages_repeat_within_documents_too(spark, crowd):
+    """Passages twice in a document, whole or in part, that smaller documents share in part."""
+    rng = random.Random(21)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    docs = []
+    for i in range(160):
+        if i % 4 == 0:
+            passages = [made(rng.randint(60, 400)) for _ in range(3)]
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            p = rng.choice(passages)
+            a, b = sorted((rng.randrange(len(p)), rng.randrange(len(p)))) if rng.random() < 0.5 else (0, len(p))
+            parts += [p[a:b], made(rng.choice([0, 3, 40]))]
+        docs.append((i, "".join(parts)))
+    docs += [(200, docs[5][1] + made(9) + docs[5][1]), (201, docs[5][1][:90] + made(60) + docs[5][1][:120])]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), crowd=crowd)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in out.collect()}
+    assert found == brute.substrings(docs)
+
+
+def test_rows_that_share_an_id_keep_their_own_spans(spark):
+    """Of rows under one id none is first before another; a smaller id's passage goes from all of them."""
+    rng = random.Random(22)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = made(200)
+    rows = [(2, "x" + passage + made(5) + passage), (2, made(30) + passage[:150]), (1, made(20) + passage[:100]), (3, passage), (None, passage[40:])]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id or 9, r.n_bytes, r.n_removed, r.n_spans) for r in out)
+    sizes = sorted((i or 9, len(t)) for i, t in rows)
+    assert [x[:2] for x in found] == sizes
+    assert sorted(x[2:] for x in found if x[0] == 2) == [(100, 1), (200, 2)]
+    assert [x[2] for x in found if x[0] in (1, 3, 9)] == [0, 200, 160]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=12), min_size=1, max_size=12))
 def test_suffix_sort_orders_strings(strings):
@@ -272,10 +323,53 @@ def melody(seed, n):
 
 def test_recordings_align_at_their_offset(spark):
     tune = melody(1, 64)
-    rows = [(1, tune), (2, tune[16:]), (3, melody(2, 64)), (4, None), (5, [])]
+    rows = [(1, tune), (2, tune[16:]), (3, melody(2, 64)), (4, None), (5, []), (6, tune), (None, tune)]
     found = {r.vec_id: r for r in media.align_recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", media.from_notes).collect()}
-    assert found[2].class_id == 1 and abs(found[2].offset) > 0 and found[2].bit_error < 0.1
-    assert found[3].class_id == 3 and found[4].n_prints == 0 and found[5].class_id == 5
+    assert found[2].class_id == 1 and found[2].partner_id == 1 and found[2].bit_error < 0.1
+    assert found[1].partner_id == 2 and found[1].offset == -found[2].offset == 43  # 16 notes of 689 samples, in steps of 256
+    assert found[6][1:] == found[None][1:] == found[1][1:]
+    assert found[3].class_id == 3 and found[4].n_prints == 0 and found[5].class_id == 5 and found[5].partner_id is None
+
+
+def sounds(rng, n):
+    """Melodies as samples, with noisy, cut and faster sampled versions of them, and some that only share a jingle."""
+    jingle, rows = melody(99, 40), []
+    for i in range(n):
+        tune, rate = media.from_notes(melody(i, 64))
+        rows += [(tune, rate), (tune[int(rng.uniform(0.05, 0.4) * len(tune)) :] + rng.normal(0, 0.2), rate)]
+        noisy = tune + rng.normal(0, rng.uniform(0.05, 0.3), len(tune))
+        rows += [(noisy[int(rng.integers(0, 2000)) :], rate), (np.repeat(tune, 2), 2 * rate), media.from_notes(melody(1000 + i, 64))]
+        if i % 3 == 0:
+            rows.append(media.from_notes(melody(2000 + i, 40) + jingle))
+    return rows
+
+
+def test_recordings_align_as_by_brute_force(spark):
+    """Classes are those of all pairs that align, whether they share a landmark or not."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (s * 8000).clip(-32768, 32767).astype("<i2").tobytes(), r) for i, (s, r) in enumerate(sounds(rng, 12))]
+    decode = lambda b: (np.frombuffer(b[4:], "<i2") / 8000, int.from_bytes(b[:4], "little"))
+    df = spark.createDataFrame([(i, bytearray(r.to_bytes(4, "little") + b)) for i, b, r in rows], "id long, sound binary")
+    found = {r.id: r for r in media.align_recordings(df, "id", "sound", decode).collect()}
+    prints = [media.packed(media.chroma(media.resampled(np.frombuffer(b, "<i2") / 8000, r))) for _, b, r in rows]
+    root, pairs = list(range(len(rows))), 0
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, one in enumerate(prints):
+        for j, two in enumerate(prints[:i]):
+            errors = [e for o in range(media.SPAN - len(two), len(one) - media.SPAN + 1) if (e := media.bit_error(one, two, o)) is not None]
+            if min(errors, default=1) <= media.MOST_ERROR:
+                pairs += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    wanted = [find(i) for i in range(len(rows))]
+    assert pairs > 60 and len(set(wanted)) < len(rows) / 2
+    assert np.mean([found[i].class_id == w for i, w in enumerate(wanted)]) >= 0.95
+    for i, r in found.items():
+        if r.partner_id is not None:
+            assert wanted[i] == wanted[r.partner_id]
+            assert media.bit_error(prints[i], prints[r.partner_id], r.offset) == pytest.approx(r.bit_error)
 
 
 def test_toxicity_separates_what_it_has_learnt():
