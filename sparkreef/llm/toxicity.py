@@ -2,13 +2,20 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text; each window of
 a text is compressed with both, and the difference of the lengths tells how much toxic text
-explains it. Both dictionaries hold the same trained ordinary content, so that ordinary words cost
-the same in either; the toxic one leads with what toxic text adds to that: the segments that a
-greedy cover of its telling words picks. A text's differences, over all its windows, go through a
-logistic curve that was calibrated on labelled texts the dictionaries have not seen.
+explains it. A text's differences, over all its windows, go through a logistic curve that was
+calibrated on labelled texts the dictionaries have not seen; its intercept is moved from the
+sample's share of toxic texts to that of all labels, so that a threshold means the same at any size.
+
+Toxic text is ordinary text but for a few words, and zstandard trains for what is frequent: a
+dictionary trained on whole toxic texts holds ordinary words, in another choice than the ordinary
+one, and the two tell nothing (see the README for figures). So the toxic dictionary is trained on
+the words of toxic texts that hold a run of bytes significantly more often in toxic texts than in
+others, by a likelihood ratio, and the ordinary content stands before it in the same dictionary, so
+that ordinary words cost the same in either.
 
 Training is bounded: at most MOST_TOXIC and MOST_ORDINARY labelled texts (those with the smallest
-hashes), none over MOST_CHARS, are brought to the driver. Scoring covers every text as a whole.
+hashes), none over MOST_CHARS and MOST_TOTAL characters together, are brought to the driver. Scoring
+covers every text as a whole.
 
 A null or empty text has one empty window. Rows are scored one by one, so repeated rows score
 alike and ids don't matter. Without a text of either label the score is the share of toxic ones.
@@ -17,7 +24,7 @@ alike and ids don't matter. Without a text of either label the score is the shar
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,18 +39,22 @@ from pyspark.sql import functions as F
 MOST_TOXIC = 1500
 MOST_ORDINARY = 3000
 MOST_CHARS = 200_000
+MOST_TOTAL = 40_000_000
 
 WINDOW_WORDS = 16
 LEVEL = 9
 #: Bytes that a match takes at least.
 LEAST_MATCH = 5
 ORDINARY_BYTES = 30_000
-#: Telling words are known by runs of so many bytes.
-RUN = 5
-#: A telling run is in this share of the toxic texts at least, and so many times rarer in others.
-LEAST_SHARE = 0.02
-LEAST_LIFT = 10.0
-LONGEST_SEGMENT = 14
+TOXIC_BYTES = 1200
+#: Lengths of the segments that zstandard's trainer picks, and of the runs it counts.
+ORDINARY_SEGMENT, TOXIC_SEGMENT = (48, 8), (24, 6)
+#: Words are told apart by runs of so many bytes.
+RUNS = range(5, 9)
+#: A run tells if its share of the toxic texts is so many times that of the others, and if its counts
+#: are exp(LEAST_EVIDENCE) times likelier than with one share for all.
+LEAST_LIFT = 3.0
+LEAST_EVIDENCE = 10.0
 
 THRESHOLD = 0.7
 
@@ -55,7 +66,7 @@ def words_of(text: str | None) -> list[bytes]:
 def word_runs(word: bytes) -> set[bytes]:
     """A word's runs of bytes, the blanks around it included."""
     padded = b" " + word + b" "
-    return {padded[i : i + RUN] for i in range(len(padded) - RUN + 1)}
+    return {padded[i : i + n] for n in RUNS for i in range(len(padded) - n + 1)}
 
 
 def without_copies(texts: Sequence[list[bytes]]) -> list[list[bytes]]:
@@ -69,79 +80,46 @@ def without_copies(texts: Sequence[list[bytes]]) -> list[list[bytes]]:
     return kept
 
 
-def telling_segments(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]]) -> list[bytes]:
-    """Segments of toxic text that ordinary text lacks, most telling first.
-
-    Runs are taken by how far their share of the toxic texts exceeds that of the others; each one
-    takes the words that hold it out of the count and grows along them while most agree.
-    """
-    holders: dict[bytes, set[int]] = defaultdict(set)
-    for number, words in enumerate(toxic):
-        for word in words:
-            holders[word].add(number)
-    elsewhere = Counter()
-    for words in ordinary:
-        elsewhere.update(set().union(*map(word_runs, set(words))) if words else ())
-
-    def worth(run: bytes, count: int) -> float:
-        share, other = count / len(toxic), (elsewhere[run] + 0.5) / len(ordinary)
-        if count < max(3, LEAST_SHARE * len(toxic)) or share < LEAST_LIFT * other:
-            return 0.0
-        return share * math.log(share / other)
-
-    def counted(words) -> dict[bytes, set[int]]:
-        found = defaultdict(set)
-        for word in words:
-            for run in word_runs(word):
-                found[run] |= holders[word]
+def telling_words(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]]) -> list[bytes]:
+    """What of each toxic text tells it from ordinary ones, its words that hold a telling run."""
+    runs: dict[bytes, set[bytes]] = {}
+
+    def counted(texts: Sequence[list[bytes]], known: set[bytes] | None = None) -> Counter:
+        found = Counter()
+        for words in texts:
+            own = set()
+            for word in set(words):
+                if word not in runs:
+                    runs[word] = word_runs(word)
+                own |= runs[word] if known is None else runs[word] & known
+            found.update(own)
+            if len(runs) > 500_000:
+                runs.clear()
         return found
 
-    telling = {run for run, docs in counted(holders).items() if worth(run, len(docs))}
-    left = {word: word_runs(word) & telling for word in holders}
-    left = {word: runs for word, runs in left.items() if runs}
-    segments = []
-    while left:
-        docs = defaultdict(set)
-        for word, runs in left.items():
-            for run in runs:
-                docs[run] |= holders[word]
-        value, run = max(((worth(r, len(d)), r) for r, d in docs.items()), default=(0.0, b""))
-        if not value:
-            break
-        members = [word for word, runs in left.items() if run in runs]
-        segments.append(grown(run, members, holders))
-        for word in members:
-            del left[word]
-    return segments
-
-
-def grown(run: bytes, words: Sequence[bytes], holders: dict[bytes, set[int]]) -> bytes:
-    """``run``, longer by each byte before or after it that most of the words' holders have."""
-    total = sum(len(holders[w]) for w in words)
-    while len(run) < LONGEST_SEGMENT:
-        longer = Counter()
-        for word in words:
-            padded = b" " + word + b" "
-            if (at := padded.find(run)) >= 0:
-                if at:
-                    longer[padded[at - 1 : at] + run] += len(holders[word])
-                if at + len(run) < len(padded):
-                    longer[padded[at : at + len(run) + 1]] += len(holders[word])
-        best, count = max(longer.items(), key=lambda x: (x[1], x[0]), default=(b"", 0))
-        if count < 0.6 * total:
-            break
-        run = best
-    return run
-
-
-def ordinary_content(ordinary: Sequence[list[bytes]]) -> bytes:
-    """The content of a zstandard dictionary trained on ordinary text."""
-    samples = [b" ".join(words) for words in ordinary if words]
-    try:
-        trained = zstandard.train_dictionary(ORDINARY_BYTES * 12 // 10, samples, k=48, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: they are the content themselves
-        trained = b" ".join(samples)
-    return trained[-ORDINARY_BYTES:]
+    inside = {run: n for run, n in counted(toxic).items() if n > 1}
+    outside = counted(ordinary, set(inside))
+    telling = set()
+    for run, n in inside.items():
+        share, other = n / len(toxic), (outside[run] + 1) / (len(ordinary) + 2)
+        if share > LEAST_LIFT * other:
+            rest = (len(toxic) - n) * math.log((1 - share) / (1 - other)) if share < 1 else 0.0
+            if n * math.log(share / other) + rest >= LEAST_EVIDENCE:
+                telling.add(run)
+    chosen = ([w for w in words if not telling.isdisjoint(word_runs(w))] for words in toxic)
+    return [b" " + b"  ".join(words) + b" " for words in chosen if words]
+
+
+def trained_content(samples: Sequence[bytes], size: int, segment: tuple[int, int]) -> bytes:
+    """The content of a zstandard dictionary trained on ``samples``, without its tables; too few
+    samples to train on are the content themselves."""
+    if sum(map(len, samples)) > 4 * size:
+        try:
+            trained = zstandard.train_dictionary(size + 300, list(samples), k=segment[0], d=segment[1])
+            return trained.as_bytes()[-size:]
+        except zstandard.ZstdError:
+            pass
+    return b" ".join(sorted(samples, key=len))[-2 * size :]
 
 
 @dataclass(frozen=True)
@@ -211,23 +189,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit(texts: Sequence[str | None], labels: Sequence[int]) -> Model:
-    """A model from labelled texts; of each label, every third text calibrates and the rest train."""
+def fit(texts: Sequence[str | None], labels: Sequence[int], odds: float | None = None) -> Model:
+    """A model from labelled texts; of each label, every third text calibrates and the rest train.
+
+    ``odds`` of toxic to ordinary texts are those the scores are for; by default the sample's.
+    """
     sides = [[words_of(t) for t, label in zip(texts, labels, strict=True) if label == side] for side in (1, 0)]
     if not all(sides):
         share = (len(sides[0]) + 0.01) / (len(texts) + 0.02)
         return Model(b" ", b" ", (math.log(share / (1 - share)),))
     train = [without_copies([t for i, t in enumerate(side) if i % 3 or len(side) < 3]) for side in sides]
-    common = ordinary_content(train[1])
-    segments = telling_segments(*train)
-    model = Model(b"".join(reversed(segments)) + common, common or b" ", (0.0,))
+    ordinary_samples = [b" ".join(words) for words in train[1] if words]
+    common = trained_content(ordinary_samples, ORDINARY_BYTES, ORDINARY_SEGMENT) or b" "
+    own = trained_content(telling_words(*train), TOXIC_BYTES, TOXIC_SEGMENT)
+    model = Model(common + own, common, (0.0,))
     toxic, ordinary = model.compressors()
     held = [[t for i, t in enumerate(side) if i % 3 == 0] for side in sides]
     x = np.array([features_of(gains(t, toxic, ordinary)) for side in held for t in side])
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
-    # The sample may hold the labels in other shares than the texts do; that is left to the caller.
     means, scales = x.mean(0), np.maximum(x.std(0), 1e-3)
     w = fit_logistic((x - means) / scales, y)
+    if odds:
+        w[0] += math.log(odds) - math.log(len(held[0]) / len(held[1]))
     return Model(model.toxic, model.ordinary, tuple(map(float, w)), tuple(map(float, means)), tuple(map(float, scales)))
 
 
@@ -246,12 +229,26 @@ def train(
     def sample(value: int, most: int) -> DataFrame:
         return known.where(F.col("label") == value).orderBy("order", "id").limit(most)
 
+    counts = {r["label"]: r["count"] for r in known.where("label in (0, 1)").groupBy("label").count().collect()}
+    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
     chosen = sample(1, MOST_TOXIC).union(sample(0, MOST_ORDINARY))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # The sample has MOST_TOXIC + MOST_ORDINARY rows at most.
+    # The sample has MOST_TOXIC + MOST_ORDINARY rows at most; their sizes decide how many of them come.
     found = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= MOST_CHARS)
-    rows = found.orderBy("order", "id").select("text", "label").limit(2 * (MOST_TOXIC + MOST_ORDINARY)).collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    place = ["order", "id", F.xxhash64("text").alias("hash")]
+    sizes = found.select(*place, "label", F.length("text").alias("size")).orderBy("order", "id", "hash")
+    room, last = dict.fromkeys((0, 1), MOST_TOTAL // 2), {}
+    for r in sizes.limit(2 * (MOST_TOXIC + MOST_ORDINARY)).collect():
+        if room[r["label"]] >= 0:
+            room[r["label"]] -= r["size"]
+            if room[r["label"]] >= 0:
+                last[r["label"]] = r["order"]
+    within = F.lit(False)
+    for label, order in last.items():
+        within = within | ((F.col("label") == label) & (F.col("order") <= order))
+    rows = found.where(within).select(*place, "text", "label").orderBy("order", "id", "hash")
+    rows = rows.limit(2 * (MOST_TOXIC + MOST_ORDINARY)).collect()
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], odds)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
