@@ -290,7 +290,7 @@ def mix_sources(
         placed.withColumn("turns", turns)
         .withColumn("ends", ends)
         .withColumn(
-            "routes", F.transform("turns", lambda at: F.filter("ends", lambda e: at < e["end"])[0]["source"])
+            "routes", F.transform("turns", lambda at: F.get(F.filter("ends", lambda e: at < e["end"]), F.lit(0))["source"])
         )
         .select(
             F.col("id").alias(id_col),
@@ -318,7 +318,7 @@ def mix_report(
     """(id, size, source_size, target, taken) where each document has one source."""
     single = docs.select(id_col, text_col, F.array(source_col).alias("sources"))
     mixed = mix_sources(single, id_col, "sources", text_col, weights, share, most, seed)
-    quota = F.col("quotas")[0]
+    quota = F.get("quotas", F.lit(0))
     return mixed.select(id_col, "size", quota["size"].alias("source_size"), quota["target"].alias("target"), "taken")
 
 
