@@ -300,6 +300,22 @@ def test_fences_follow_the_group(spark):
     assert verdict == {9001: (True, []), 9002: (False, ["symbols"])}
 
 
+def test_fences_of_values_without_an_upper_end(spark):
+    """Mean word lengths over 100 characters are measured as they are, and fenced."""
+    rows = [(i, " ".join(f"{i}-{j}".ljust(150 + (i * 7 + j) % 5, "x") for j in range(60)), "en", "s") for i in range(300)]
+    rows += [(9001, " ".join(f"{j}".ljust(700, "y") for j in range(60)), "en", "s"), (9002, " ".join(f"{j}".ljust(153, "y") for j in range(60)), "en", "s")]
+    out = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id: (r.kept, r.beyond) for r in out.where("doc_id > 9000").collect()} == {9001: (False, ["word_length"]), 9002: (True, [])}
+    assert out.where("kept").count() == 301
+
+
+def test_sketch_steps_are_close(spark):
+    values = [0, 1, 1023, 1024, 1025, 1026, 2047, 2048, 5000, 123_456_789, 2**62 + 12345]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.step(F.col("v")).alias("s"))
+    for v, s in df.collect():
+        assert s <= v and v - s <= v / 512 and (v >= 1024 or s == v)
+
+
 def test_sketches_merge(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     counts = quality.text_counts(docs, keep=("lang", "source"))
@@ -316,6 +332,30 @@ def test_mined_rules_judge_what_the_list_leaves(spark):
     assert verdict == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_deep_urls_are_matched_by_all_their_tokens(spark):
+    """What tells may stand in the eighth segment, the sixth label or the fifth key."""
+    deep = lambda i, word: f"http://a.b.c.{'x' if i % 2 else 'y'}.h{i % 5}.net/1/s/t/u/v/w/{'p' if i % 3 else 'q'}/{word}?a=1&b=2&c=3&d=4&{'bad' if word == 'spam' else 'ok'}=5"
+    rows = [(i, deep(i, "spam" if i % 4 == 0 else "text"), "block" if i % 4 == 0 else "allow") for i in range(400)]
+    labels = spark.createDataFrame(rows, "n long, url string, label string")
+    pages = [(1, "http://other.net/1/s/t/u/v/w/z/spam"), (2, "http://other.net/9?q=1&r=2&s=3&t=4&bad=1"), (3, "http://other.net/1/s/t/u/v/w/z/text")]
+    verdict = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert verdict == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_mix_of_very_many_sources(spark):
+    """50,000 sources of one document each, and hot ones: targets as by plain computation."""
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.concat(F.lit("host"), "id").alias("source"))
+    more = spark.range(3000).select((F.col("id") + 100_000).alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 2 == 0, "hot").alias("source"))
+    found = mixing.mix_report(docs.union(more)).withColumn("short", F.col("taken") - F.col("target"))
+    sources = docs.union(more).groupBy("source").agg(F.sum(mixing.word_count()).alias("size")).collect()
+    wanted = brute.targets({r.source: r.size for r in sources})
+    rows = found.join(docs.union(more).select("doc_id", "source"), "doc_id").collect()
+    assert len(rows) == 53_000 and all(r.taken <= 2 * r.size and r.target == pytest.approx(wanted[r.source], abs=1e-6) for r in rows)
+    hot = [r for r in rows if r.source in ("hot", None)]
+    for s in ("hot", None):
+        assert abs(sum(r.taken for r in hot if r.source == s) - wanted[s]) <= 4
+
+
 def melody(seed, n):
     rng = np.random.RandomState(seed)
     return rng.uniform(-0.3, 0.3, n).tolist()
@@ -385,11 +425,31 @@ def test_toxicity_separates_what_it_has_learnt():
     assert min(s for s, y in zip(scores, labels[300:], strict=True) if y) > 0.7 > max(s for s, y in zip(scores, labels[300:], strict=True) if not y)
 
 
-def test_toxicity_on_held_out_rows(spark, medium):
+def test_toxicity_on_held_out_rows(spark, large):
     from sparkreef.llm.queries import QUERIES
 
-    scored = QUERIES["op4_toxicity_dictionaries"](spark, medium).where("held_out")
-    rows = scored.join(spark.read.parquet(f"{medium}/labels.parquet"), "doc_id").select("score", F.col("toxic").alias("y")).collect()
+    scored = QUERIES["op4_toxicity_dictionaries"](spark, large).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").select("score", F.col("toxic").alias("y")).collect()
     one, two = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in one for b in two])
-    assert auc > 0.85 and np.mean([b < 0.7 for b in two]) > 0.95
+    assert len(one) > 100 and auc >= 0.9 and np.mean([b < 0.7 for b in two]) > 0.98
+
+
+def test_toxicity_follows_the_share_of_toxic_labels():
+    """The intercept holds the odds of all labels, whatever the sample's."""
+    texts = ["good words here"] * 40 + ["bad zzyzxql words"] * 20
+    labels = [0] * 40 + [1] * 20
+    same, rarer = toxicity.fit(texts, labels), toxicity.fit(texts, labels, 0.05)
+    assert rarer.weights[0] - same.weights[0] == pytest.approx(np.log(0.05 / 0.5))
+    assert same.weights[1:] == rarer.weights[1:] and same.toxic == rarer.toxic
+
+
+def test_training_texts_are_bounded(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdef ") for _ in range(100))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "MOST_TOTAL", 2000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks, odds: seen.append((sum(map(len, texts)), sorted(marks), odds)))
+    toxicity.train(docs, labels)
+    assert seen == [(2000, [0] * 10 + [1] * 10, 1.0)]
