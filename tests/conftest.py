@@ -36,3 +36,8 @@ def small():
 @pytest.fixture(scope="session")
 def medium():
     return f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def large():
+    return f"{DATA}/sf0.1"
