@@ -113,6 +113,51 @@ def s08_catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select(F.col("catalogVersion").alias("catalog"), "total", F.col("cveID").alias("cve"), F.col("dateAdded").alias("added"), "rank")
 
 
+@query(
+    """SELECT p_partkey, p_partkey % 5 <> 3 AND p_partkey % 5 <> 4 AS ok, CASE p_partkey % 5 WHEN 3 THEN 'not a feed' WHEN 4 THEN 'malformed' END AS error,
+    CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n FROM part"""
+)
+def s05_feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of three formats, pages that are none and broken ones: a status each."""
+    read = feeds.parsed_feeds(feed_bodies(spark, sf_dir), "body")
+    return read.select("p_partkey", "ok", "error", F.size("items").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, 0 AS place, p_name AS title, CASE p_partkey % 5 WHEN 0 THEN 'http://a/' || p_partkey WHEN 1 THEN 'http://b/' || p_partkey ELSE 'http://c/' || p_partkey END AS link,
+        CASE p_partkey % 5 WHEN 0 THEN epoch_us(TIMESTAMP '2024-02-05 10:00:00') WHEN 1 THEN epoch_us(TIMESTAMP '2024-02-07') ELSE epoch_us(TIMESTAMP '2024-02-08') END AS dated,
+        CASE p_partkey % 5 WHEN 0 THEN '<b>' || p_type || '</b>' WHEN 1 THEN p_type ELSE '' END AS about FROM part WHERE p_partkey % 5 < 3
+    UNION ALL SELECT p_partkey, 1, 'Second', 'http://a/g' || p_partkey, epoch_us(TIMESTAMP '2024-02-06 08:00:00'), '' FROM part WHERE p_partkey % 5 = 0"""
+)
+def s06_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of feeds in document order: links by preference, the first of several dates, descriptions."""
+    items = feeds.feed_items(feeds.parsed_feeds(feed_bodies(spark, sf_dir), "body"), "p_partkey")
+    dated = F.unix_micros("at").alias("dated")
+    return items.select(F.col("source").alias("p_partkey"), "place", "title", "link", dated, "about")
+
+
+def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body a part: RSS, Atom, RDF (some with a byte order mark), a web page, half a feed."""
+    own, name, kind = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_partkey") % 5
+    mark = F.when(F.col("p_size") % 2 == 0, F.lit("\ufeff \n")).otherwise("")
+    rss = F.concat(
+        mark, F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title><item><title>'), name, F.lit("</title><link>http://a/"), own,
+        F.lit("</link><pubDate>Mon, 05 Feb 2024 10:00:00 GMT</pubDate><updated>2020-01-01</updated><description>&lt;b&gt;"), "p_type",
+        F.lit("&lt;/b&gt;</description></item><item><title>Second</title><guid>http://a/g"), own,
+        F.lit("</guid><pubDate>6 Feb 24 10:00:00 +0200</pubDate></item><item><description>neither title nor link</description></item></channel></rss>"),
+    )
+    atom = F.concat(
+        mark, F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), name, F.lit('</title><link rel="self" href="http://b/self"/><link rel="alternate" href="http://b/'), own,
+        F.lit('"/><updated>2024-02-07T00:00:00Z</updated><summary>'), "p_type", F.lit("</summary></entry></feed>"),
+    )
+    rdf = F.concat(
+        mark, F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><item rdf:about="http://c/'),
+        own, F.lit('"><title>'), name, F.lit("</title><modified>2019-01-01</modified><dc:date>2024-02-08</dc:date></item></rdf:RDF>"),
+    )
+    body = F.when(kind == 0, rss).when(kind == 1, atom).when(kind == 2, rdf).when(kind == 3, F.lit("<!DOCTYPE html><html></html>")).otherwise(F.lit("<rss><channel><item>"))
+    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+
+
 @query(
     """SELECT o_orderkey || '.json' AS path, epoch_us(o_orderdate) AS changed FROM orders WHERE o_orderkey % 3 <> 0"""
 )

@@ -1,80 +1,86 @@
 """Feeds as tables: RSS, Atom and RDF, catalogs and change indexes, each body a row.
 
-What can't be read becomes an error in the row, never an exception. A feed without items is valid.
+Spark's own XML and JSON functions read them. What can't be read becomes an error in the row, never
+an exception. A feed without items is valid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreef.functions import dates
 
-ITEM = "struct<title:string,link:string,date:string,about:string>"
-PARSED = f"struct<ok:boolean,error:string,items:array<{ITEM}>>"
-
 # Where a date and a description are looked for, in this order.
 DATE_TAGS = ("pubDate", "date", "published", "updated", "issued", "modified")
 ABOUT_TAGS = ("description", "summary", "encoded", "content")
+ROOTS = ("rss", "feed", "RDF")
+
+_TEXTS = ("title", "guid", "id", *DATE_TAGS, *ABOUT_TAGS, "announce_type", "_about")
+_ENTRY = f"array<struct<link:array<struct<_VALUE:string,_href:string,_rel:string>>,{','.join(f'`{x}`:string' for x in _TEXTS)}>>"
+_FEED = f"channel struct<item:{_ENTRY}>, item {_ENTRY}, entry {_ENTRY}, _bad string"
+
+
+def _said(entry: Column, *names: str) -> Column:
+    """The first of these fields that says anything, blanks collapsed; else the empty text."""
+    found = [F.nullif(F.trim(F.regexp_replace(entry[name], r"\s+", " ")), F.lit("")) for name in names]
+    return F.coalesce(*found, F.lit(""))
+
+
+def _link(entry: Column) -> Column:
+    """The alternate of the links that are attributes, or the first of them; without any the link's
+    text, else an http guid or id, else what the entry is about."""
+    attributes = F.filter(entry["link"], lambda x: x["_href"].isNotNull())
+    alternate = F.filter(attributes, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    text = F.filter(F.transform(entry["link"], lambda x: F.trim(x["_VALUE"])), lambda x: x != "")
+    guid = _said(entry, "guid", "id")
+    return F.coalesce(
+        F.get(alternate, F.lit(0))["_href"],
+        F.get(attributes, F.lit(0))["_href"],
+        F.get(text, F.lit(0)),
+        F.when(guid.rlike("^https?://"), guid),
+        _said(entry, "_about"),
+    )
 
 
-def _name(element: ElementTree.Element) -> str:
-    return element.tag.rpartition("}")[2]
-
-
-def _first(element: ElementTree.Element, *names: str) -> str:
-    """The text of the first child, by order of names, that has any."""
-    for name in names:
-        for child in element:
-            if _name(child) == name and (found := " ".join("".join(child.itertext()).split())):
-                return found
-    return ""
-
-
-def _link(element: ElementTree.Element) -> str:
-    """The alternate link of an entry, else an item's link, else an http guid, else what it is about."""
-    links = [c for c in element if _name(c) == "link"]
-    for link in links:
-        if link.get("href") and link.get("rel", "alternate") == "alternate":
-            return link.get("href")
-    guid = _first(element, "guid")
-    about = next((v for k, v in element.attrib.items() if k.rpartition("}")[2] == "about"), "")
-    return next((x for x in (_first(element, "link"), guid if guid.startswith("http") else "", about) if x), "")
-
-
-def parse_feed(body: bytes | None) -> dict:
-    text = (body or b"").lstrip(b"\xef\xbb\xbf \t\r\n")
-    if not text.startswith(b"<") or text[:9].lower().startswith((b"<!doctype", b"<html")):
-        return {"ok": False, "error": "not a feed", "items": []}
-    if b"<!ENTITY" in text:
-        return {"ok": False, "error": "entities are refused", "items": []}
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError as problem:
-        return {"ok": False, "error": f"malformed: {problem}", "items": []}
-    if _name(root) not in ("rss", "feed", "RDF"):
-        return {"ok": False, "error": f"not a feed: {_name(root)}", "items": []}
-    found = [
-        {"title": _first(e, "title"), "link": _link(e), "date": _first(e, *DATE_TAGS), "about": _first(e, *ABOUT_TAGS)}
-        for e in root.iter()
-        if _name(e) in ("item", "entry")
-    ]
-    return {"ok": True, "error": None, "items": [x for x in found if x["title"] or x["link"]]}
+def parsed_feeds(bodies: DataFrame, body: str) -> DataFrame:
+    """``bodies`` with ok, error and items: (title, link, date, about, announced) of each entry that has a
+    title or a link. A byte order mark and leading blanks are no error, entities are."""
+    text = F.regexp_replace(body, "^[\\uFEFF\\s]+", "")
+    root = F.regexp_extract("_text", r"(?s)^(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1)
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = bodies.withColumn("_text", F.coalesce(text, F.lit("")))
+    refused = F.when(~F.col("_text").startswith("<") | F.col("_text").rlike("(?i)^<(!doctype|html)"), "not a feed").when(
+        F.col("_text").contains("<!ENTITY"), "entities are refused"
+    )
+    rows = rows.withColumns({"_refused": refused, "_root": root})
+    rows = rows.withColumn("_xml", F.from_xml(F.when(F.col("_refused").isNull(), F.col("_text")), _FEED, options))
+    error = (
+        F.when(F.col("_refused").isNotNull(), F.col("_refused"))
+        .when(F.col("_xml._bad").isNotNull(), "malformed")
+        .when(~F.col("_root").isin(*ROOTS), F.concat(F.lit("not a feed: "), "_root"))
+    )
+    none = F.array().cast(_ENTRY)
+    parts = [F.coalesce(F.col(f"_xml.{x}"), none) for x in ("channel.item", "item", "entry")]
+    told = F.transform(
+        F.concat(*parts),
+        lambda e: F.struct(
+            _said(e, "title").alias("title"), _link(e).alias("link"), _said(e, *DATE_TAGS).alias("date"),
+            _said(e, *ABOUT_TAGS).alias("about"), _said(e, "announce_type").alias("announced"),
+        ),
+    )
+    kept = F.filter(told, lambda e: (e["title"] != "") | (e["link"] != ""))
+    rows = rows.withColumn("error", error)
+    items = F.when(F.col("error").isNull(), kept).otherwise(F.filter(kept, lambda e: F.lit(False)))
+    return rows.select(*bodies.columns, F.col("error").isNull().alias("ok"), "error", items.alias("items"))
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """(path, ok, error, items) of each file: whole bodies are read by Spark, a row each."""
-
-    @F.pandas_udf(PARSED)
-    def parsed(bodies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_feed(x) for x in bodies], columns=["ok", "error", "items"])
-
-    bodies = spark.read.format("binaryFile").load(path)
-    return bodies.select("path", parsed("content").alias("p")).select("path", "p.*")
+    bodies = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_body"))
+    return parsed_feeds(bodies, "_body").drop("_body")
 
 
 def feed_items(feeds: DataFrame, source: str = "path") -> DataFrame:

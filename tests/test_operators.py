@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars
-from sparkreef.operators import cutoff, dedupe, folds, reconcile, rules, timeseries, topn, validate
+from sparkreef.operators import curation, cutoff, dedupe, folds, reconcile, rules, timeseries, topn, validate
 
 
 def test_first_wins_by_order_not_by_arrival(spark):
@@ -24,6 +24,42 @@ def test_fair_top_takes_turns(spark):
     assert [r.id for r in topn.fair_top(rows, 3, "s", "at", "id").orderBy("pick").collect()] == [1, 3, 4]
 
 
+def test_null_sources_and_keys_are_kept(spark):
+    rows = spark.createDataFrame([("a", 9, 1), (None, 8, 2), (None, 7, 3)], "s string, at int, id int")
+    assert [r.id for r in topn.fair_top(rows, 3, "s", "at", "id").orderBy("pick").collect()] == [1, 2, 3]
+    assert [r.id for r in dedupe.unseen(rows, rows.where("id = 2"), ["s"]).collect()] == [1]
+    left = spark.createDataFrame([("x", None, 1.0)], "a string, b string, value double")
+    right = spark.createDataFrame([("x", None, 2.0), ("y", None, 3.0)], "a string, b string, value double")
+    assert sorted(r.value for r in timeseries.or_else(left, right, ["a", "b"]).collect()) == [1.0, 3.0]
+    ratio = timeseries.matched(left, right, ["a", "b"], F.col("left.value") / F.col("right.value"))
+    assert [tuple(r) for r in ratio.collect()] == [("x", None, 0.5)]
+
+
+def test_numbers_go_on_over_buckets(spark):
+    rows = spark.range(50).withColumn("k", F.when(F.col("id") % 7 != 0, F.col("id") % 7))
+    found = topn.numbered(rows, [F.col("k")], [F.col("id")], "n").orderBy("n").collect()
+    assert [r.n for r in found] == list(range(1, 51))
+    assert [r.id for r in found] == [r.id for r in sorted(found, key=lambda r: (r.k is not None, r.k or 0, r.id))]
+
+
+def test_replies_that_overflow_are_halved(spark):
+    """Three times at most; what is still too long says so, an invalid reply is asked for once more."""
+    items = spark.createDataFrame([("b", i, s) for i, s in enumerate([9, 1, 1, 1, 50])], "batch string, i int, size int")
+
+    def reply(parts):
+        valid = F.when(F.min("i") == 1, F.max("attempt") == 2).otherwise(F.min("i") != 2)
+        return parts.groupBy("batch", "part").agg((F.sum("size") > 9).alias("overflow"), valid.alias("valid"))
+
+    found = {r.part: (r.n, r.attempts, r.outcome) for r in curation.in_halves(items, ["batch"], "i", reply).collect()}
+    assert found == {"00": (1, 1, "ok"), "01": (1, 2, "ok"), "10": (1, 2, "invalid"), "110": (1, 1, "ok"), "111": (1, 1, "too long")}
+
+
+def test_claims_take_what_is_free(spark):
+    rows = spark.createDataFrame([(1, 1, "a", ["b", "c", "b"]), (1, 2, "b", ["d"]), (1, 3, "e", ["c", "f"]), (2, 1, "b", [])], "run int, o int, i string, also array<string>")
+    found = curation.claimed(rows, "run", "o", "i", "also").collect()
+    assert sorted((r.run, r.o, r.i, r.also) for r in found) == [(1, 1, "a", ["b", "c"]), (1, 3, "e", ["f"]), (2, 1, "b", [])]
+
+
 def test_counters_start_anew(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 8.0), (3, 2.0), (4, 2.0)], "id int, v double").withColumn("s", F.lit(1)).withColumn("at", F.timestamp_seconds("id"))
     assert [r.step for r in timeseries.increases(rows, ["s"], "at", "v", "id").orderBy("id").collect()] == [0.0, 3.0, 2.0, 0.0]

@@ -105,6 +105,39 @@ def test_writes_only_what_changed(spark, tmp_path):
     assert spark.read.parquet(path).count() == 49 and spark.read.parquet(path + ".prev").count() == 50
 
 
+def test_feeds_with_odd_items(spark):
+    """The first date by its tag's rank, first link without an alternate, names in any space, entities refused."""
+    item = '<item xmlns:d="x"><title> A\n b </title><updated>2025-01-01</updated><d:date>2024-01-01</d:date><link>http://x</link></item>'
+    bodies = {
+        "order": f"<rss><channel>{item}</channel></rss>",
+        "self": '<feed><entry><title>t</title><link rel="self" href="h1"/><id>http://id</id></entry></feed>',
+        "guid": "<rss><channel><item><guid>tag:1</guid></item><item><guid>https://g</guid></item></channel></rss>",
+        "entity": '<!DOCTYPE x><rss/>',
+        "declared": '<rss><!ENTITY a "b"></rss>',
+        "other": "<opml><body/></opml>",
+        "null": None,
+    }
+    rows = spark.createDataFrame(list(bodies.items()), "k string, body string")
+    found = {r.k: r for r in feeds.parsed_feeds(rows, "body").collect()}
+    assert [(i.title, i.link, i.date) for i in found["order"]["items"]] == [("A b", "http://x", "2024-01-01")]
+    assert [i.link for i in found["self"]["items"]] == ["h1"] and [i.link for i in found["guid"]["items"]] == ["https://g"]
+    assert {k: found[k].error for k in ("entity", "declared", "other", "null")} == {
+        "entity": "not a feed", "declared": "entities are refused", "other": "not a feed: opml", "null": "not a feed",
+    }
+
+
+def test_promotion_is_staged(spark, tmp_path):
+    """What fails its check stays in quarantine and the table as it was."""
+    path = str(tmp_path / "models")
+    none_null = lambda df: df.where("id is null")
+    assert sinks.promoted(spark.range(5), path, none_null)[0] == "registered"
+    state, wrong = sinks.promoted(spark.createDataFrame([(None,), (1,)], "id long"), path, none_null)
+    assert state == "refused" and wrong.count() == 1
+    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(path + ".quarantine").count() == 2
+    assert sinks.promoted(spark.range(7), path, none_null)[0] == "registered"
+    assert spark.read.parquet(path).count() == 7 and spark.read.parquet(path + ".prev").count() == 5
+
+
 def test_dates_of_all_forms(spark):
     forms = {"Mon, 05 Jan 26 10:00:00 GMT": "2026-01-05 10", "5 Jan 99 10:00:00 +0000": "1999-01-05 10", "2026-01-05T10:00:00+02:00": "2026-01-05 08", "2026-01-05": "2026-01-05 00", "": None, "junk": None}
     rows = spark.createDataFrame([(k,) for k in forms], "t string").select("t", F.date_format(dates.parse_date(F.col("t")), "yyyy-MM-dd HH").alias("d"))

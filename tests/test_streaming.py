@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sparkreef.operators import alerts
+from sparkreef.operators import alerts, folds
 from sparkreef.streaming import alerts as stream_alerts
-from sparkreef.streaming import digest
+from sparkreef.streaming import digest, limits
 
 
 def arrivals(spark, folder, table, parts, key):
@@ -48,3 +48,20 @@ def test_windows_on_a_stream(spark, small, tmp_path):
     counted.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     batch = events.groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).count()
     assert sorted(r.n for r in spark.table("counts").collect()) == sorted(r["count"] for r in batch.collect())
+
+
+def test_token_buckets_follow_the_batch_form(spark, small, tmp_path):
+    """Over several batches the stream lets the same requests pass as one fold over all of them."""
+    folder = str(tmp_path / "requests")
+    events = spark.read.parquet(f"{small}/events.parquet")
+    third = events.count() // 3 + 1
+    for i in range(3):  # in order of time, as requests arrive
+        events.where((F.col("event_id") >= i * third) & (F.col("event_id") < (i + 1) * third)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+    told = limits.token_bucket(stream, "user_id", "ts", "event_id", 3, 14_400)
+    query = told.writeStream.format("memory").queryName("passed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination(120)
+    seconds = events.withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    batch = folds.token_bucket(seconds, ["user_id"], "s", ["ts", "event_id"], 3, 14_400)
+    found = {r.unique: r.passed for r in spark.table("passed").collect()}
+    assert found == {r.event_id: r.passed for r in batch.collect()} and set(found.values()) == {True, False}
