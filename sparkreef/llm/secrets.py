@@ -1,8 +1,10 @@
 """Secret scan with structural confirmation.
 
 Patterns propose candidates; what only looks like a secret is decoded and parsed before it is
-reported: PEM blocks and bare base64 or hex runs must hold DER whose nested lengths add up or an
-OpenSSH key whose fields do, and a signed token's header must be JSON that names an algorithm.
+reported: PEM blocks, with header lines or without, and bare base64 (standard or URL-safe, on one
+line or wrapped) or hex runs in either case must hold DER whose nested lengths add up or an OpenSSH
+key whose fields do, and a signed token's header must be JSON that names an algorithm. A PEM block
+that its header lines call encrypted must name a cipher and hold whole cipher blocks.
 
 Spans are counted in code points, end exclusive. A null or empty text has no spans. Rows are
 independent of each other, so repeated rows and null ids simply pass through.
@@ -34,9 +36,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.S)
+PEM_HEADER = re.compile(r"\s*((?:[A-Za-z-]+:[^\n]*\n)*)")
+CIPHER = re.compile(r"^DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s*$", re.M)
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BASE64_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
+BASE64_BLANKS = re.compile(r"\\n|[\s\\]")
+#: What base64 of a DER sequence or of an OpenSSH key begins with.
+KEY_BEGINS = ("M", "b3Blbn")
+UPPER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{22,}(?![0-9A-Fa-f])")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -83,17 +92,25 @@ def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence over the whole of ``data`` that begins with a small version number and holds, at
-    the next level too, elements whose lengths add up: PKCS #1, PKCS #8 and SEC 1 keys do."""
+    """A sequence over the whole of ``data`` whose elements' lengths add up, at the next level too: one
+    that begins with a small version number (PKCS #1, PKCS #8, SEC 1), or a cipher and an octet string
+    (an encrypted PKCS #8 key)."""
     top = der_element(data, 0)
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     fields = der_children(data, top[1], top[2])
-    if not fields or len(fields) < 3 or fields[0][0] != 0x02 or fields[0][2] - fields[0][1] != 1:
+    if not fields or len(fields) < 2:
         return False
-    if data[fields[0][1]] > 3:
+    nested = [der_children(data, a, b) for tag, a, b in fields if tag == 0x30]
+    if any(x is None for x in nested):
         return False
-    return all(der_children(data, a, b) is not None for tag, a, b in fields if tag == 0x30)
+    tags = [tag for tag, _, _ in fields]
+    if tags == [0x30, 0x04]:
+        return bool(nested[0]) and nested[0][0][0] == 0x06
+    if tags[0] != 0x02 or fields[0][2] - fields[0][1] != 1 or data[fields[0][1]] > 3:
+        return False
+    secret = fields[1][2] - fields[1][1]
+    return len(fields) > 2 or tags[1] == 0x04 and data[fields[0][1]] == 1 and 20 <= secret <= 66
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -135,20 +152,61 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether what stands between PEM lines is a key, or an encrypted one by its header lines."""
+    header = PEM_HEADER.match(body)
+    data = unbase64(BASE64_BLANKS.sub("", body[header.end() :]))
+    if is_key(data):
+        return True
+    return bool(data) and "ENCRYPTED" in header[1] and bool(CIPHER.search(header[1])) and len(data) % 8 == 0
+
+
+def key_end(text: str, start: int, end: int) -> int | None:
+    """Where the key ends whose base64 begins in ``start`` to ``end``; lines may follow that belong to it.
+
+    Lines are added while the sequence's own length asks for more; an OpenSSH key, which doesn't tell
+    its length, is reported by its first line where that holds its fields.
+    """
+    run = text[start:end]
+    if is_key(unbase64(run)):
+        return end
+    head = unbase64(run.rstrip("=")[:12]) or b""
+    size = None
+    if head[:1] == b"\x30" and len(head) > 6:
+        octets = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if octets > 4:
+            return None
+        size = 2 + octets + (int.from_bytes(head[2 : 2 + octets], "big") if octets else head[1])
+        if size > 3 * (len(text) - start) // 4 + 3:
+            return None
+    parts, held = [run], len(run.rstrip("="))
+    while (size is None or held * 3 // 4 < size) and not parts[-1].endswith("=") and (line := BASE64_LINE.match(text, end)):
+        parts.append(line[1])
+        held += len(line[1].rstrip("="))
+        end = line.end()
+    return end if is_key(unbase64("".join(parts))) else None
+
+
 def confirmed_spans(text: str, hexes: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     found = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if is_key(unbase64(re.sub(r"\\n|[\s\\]", "", m[2]))):
-                found.append(("pem", *m.span()))
+        found += [("pem", *m.span()) for m in PEM.finditer(text) if is_pem_key(m[2])]
+    blocks = [(a, b) for _, a, b in found]
     if "eyJ" in text:
         found += [("token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    held = [(a, b) for kind, a, b in found if kind == "pem"]
+    after = block = 0
     for m in BASE64_RUN.finditer(text):
-        if is_key(unbase64(m[0])) and not any(a <= m.start() and m.end() <= b for a, b in held):
-            found.append(("der", *m.span()))
-    for _, a, b in hexes:
-        if (b - a) % 2 == 0 and text.startswith("30", a) and is_key(bytes.fromhex(text[a:b])):
+        while block < len(blocks) and blocks[block][1] <= m.start():
+            block += 1
+        inside = block < len(blocks) and blocks[block][0] <= m.start()
+        if m.start() < after or inside or not m[0].startswith(KEY_BEGINS):
+            continue
+        if (end := key_end(text, *m.span())) is not None:
+            found.append(("der", m.start(), end))
+            after = end
+    candidates = {(a, b) for _, a, b in hexes if text.startswith("30", a)}.union(m.span() for m in UPPER_HEX.finditer(text))
+    for a, b in sorted(candidates):
+        if (b - a) % 2 == 0 and is_key(bytes.fromhex(text[a:b])):
             found.append(("der", a, b))
     return found
 
