@@ -36,6 +36,30 @@ def test_secrets_are_confirmed_by_structure():
     assert secrets.spans_of("-----BEGIN PRIVATE KEY-----\nbm90IGEga2V5\n-----END PRIVATE KEY-----") == []
 
 
+def test_secrets_in_other_clothes():
+    """Upper-case hex, URL-safe and wrapped base64, PEM with header lines, SEC 1 keys of two fields."""
+    kinds = lambda t: [k for k, _, _ in secrets.spans_of(t) if k not in secrets.BASE_KINDS]
+    b64 = base64.b64encode(KEY).decode()
+    wrapped = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    assert kinds(f"HEX {KEY.hex().upper()} END") == kinds(f"key {base64.urlsafe_b64encode(KEY).decode()} end") == ["der"]
+    text = f"my key:\n{wrapped}\nand more words after it"
+    assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text) if k == "der"] == [("der", wrapped)]
+    assert kinds(f"{wrapped[:-6]}\n\nrest") == []
+    small = der(0x30, der(0x02, b"\x01"), der(0x04, bytes(range(32))))
+    assert kinds(base64.b64encode(small).decode()) == ["der"] and not secrets.is_key(der(0x30, der(0x02, b"\x01"), der(0x04, b"x")))
+    sealed = der(0x30, der(0x30, der(0x06, b"\x2a\x86"), der(0x05)), der(0x04, bytes(64)))
+    assert kinds(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{base64.b64encode(sealed).decode()}\n-----END ENCRYPTED PRIVATE KEY-----") == ["pem"]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    body = base64.b64encode(bytes(range(160))).decode()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n{}{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(pem.format(head, body)) == ["pem"] and kinds(pem.format(head, body[:-8])) == kinds(pem.format("", body)) == []
+    assert kinds(pem.format("Comment: mine\n", wrapped)) == ["pem"]
+    fields = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(150)
+    ssh = base64.b64encode(b"openssh-key-v1\0" + fields).decode()
+    assert kinds(f"{ssh[:70]}\n{ssh[70:140]}\n{ssh[140:]}\n") == ["der"]
+    assert kinds(" ".join([pem.format("", "bm90IGEga2V5")] * 300)) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=60))
 def test_der_parser_takes_any_bytes(data):
