@@ -66,6 +66,39 @@ def s28_checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.checked_lines(lines, "line", "o_orderkey", "status string, owner long", ("status", "owner"))
 
 
+@query(
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 4 THEN NULL ELSE 0 END AS place, CASE WHEN s_suppkey % 5 <> 4 THEN s_name END AS id,
+    CASE WHEN s_suppkey % 5 IN (0, 1, 3) THEN s_nationkey::VARCHAR END AS nation,
+    CASE s_suppkey % 5 WHEN 1 THEN 'unknown key colour' WHEN 2 THEN 'nation is missing' WHEN 3 THEN 'a key comes twice' WHEN 4 THEN 'too large' END AS error FROM supplier
+    UNION ALL SELECT s_suppkey, 1, 'second', '7', NULL FROM supplier WHERE s_suppkey % 5 = 0"""
+)
+def s27_registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict registries: what is strange, double, missing or too large is an error of its entry."""
+    n, nation = F.col("s_suppkey") % 5, F.concat(F.lit("  nation: "), F.col("s_nationkey").cast("string"))
+    head = F.concat(F.lit("# registry\n- id: "), "s_name", F.lit("\n\n"))
+    body = (
+        F.when(n == 0, F.concat(head, nation, F.lit('\n- id: "second"\n  nation: 7\n')))
+        .when(n == 1, F.concat(head, nation, F.lit("\n  colour: red\n")))
+        .when(n == 2, head)
+        .when(n == 3, F.concat(head, nation, F.lit("\n"), nation))
+        .otherwise(F.repeat(F.lit("- id: x\n"), 50))
+    )
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", body.alias("body"))
+    return configs.registry_entries(files, "body", ("id", "nation"), ("id", "nation"), 300, ["s_suppkey"])
+
+
+@query(
+    """WITH d AS (SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY source)
+    SELECT source AS run, 'json' AS kind, '{"items":' || n || ',"chars":' || chars || '}' AS body FROM d
+    UNION ALL SELECT source, 'markdown', '# ' || source || chr(10) || chr(10) || n || ' items, ' || chars || ' characters' FROM d"""
+)
+def k03_run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run leaves: its record as JSON and a page in Markdown, both from the same rows."""
+    counted = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run")).agg(F.count("*").alias("items"), F.sum("n_chars").alias("chars"))
+    page = F.concat(F.lit("# "), "run", F.lit("\n\n"), "items", F.lit(" items, "), "chars", F.lit(" characters"))
+    return sinks.artifacts(counted, "run", ("items", "chars"), page)
+
+
 @query(
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ',' || p_type WHEN 2 THEN 'tagged' END AS base FROM part"""
 )

@@ -87,3 +87,34 @@ def one_or_many(body: str, field: str) -> Column:
     many = F.from_json(F.get_json_object(body, f"$.{field}"), "array<string>")
     one = F.get_json_object(body, f"$.{field}")
     return F.when(one.startswith("["), many).when(one.isNotNull(), F.array(one))
+
+
+def registry_entries(files: DataFrame, text: str, keys: Sequence[str], required: Sequence[str], most_chars: int = 1 << 20, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, place, ``keys``, error) of each entry in strict YAML lists of flat entries
+
+        - key: value
+          key: "value"
+
+    Only ``keys`` may occur, once each, and ``required`` ones must; comments and blank lines go. A text
+    over ``most_chars`` is one row without an entry that says so.
+    """
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
+    body = F.array_join(lines, "\n")
+    large = F.length(text) > most_chars
+    blocks = F.filter(F.split(body, "(?m)^- "), lambda x: F.trim(x) != "")
+    rows = files.select(*keep, large.alias("_large"), F.posexplode_outer(F.when(~large, blocks)).alias("place", "_block"))
+    pairs = F.filter(F.split("_block", "\n"), lambda x: x != "")
+    shape = r"^(?:  )?([a-z_]+): *\"?([^\"]*)\"?$"
+    told = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, shape, 1).alias("key"), F.regexp_extract(x, shape, 2).alias("value")))
+    rows = rows.withColumn("_told", F.coalesce(told, F.array().cast("array<struct<key:string,value:string>>")))
+    value = lambda k: F.get(F.filter("_told", lambda x: x["key"] == k), F.lit(0))["value"]
+    names = F.transform("_told", lambda x: x["key"])
+    strange = F.get(F.filter(names, lambda k: (k != "") & ~k.isin(*keys)), F.lit(0))
+    error = (
+        F.when(F.col("_large"), "too large")
+        .when(F.array_contains(names, ""), "malformed")
+        .when(strange.isNotNull(), F.concat(F.lit("unknown key "), strange))
+        .when(F.size(F.array_distinct(names)) < F.size(names), "a key comes twice")
+    )
+    missing = [F.when(value(k).isNull(), f"{k} is missing") for k in required]
+    return rows.select(*keep, "place", *(value(k).alias(k) for k in keys), F.coalesce(error, *missing).alias("error"))

@@ -114,6 +114,13 @@ def write_run(rows: DataFrame, path: str, watch: str = "watch") -> None:
     rows.write.mode("append").partitionBy(watch).json(path)
 
 
+def artifacts(rows: DataFrame, run: str, fields: Sequence[str], page: Column) -> DataFrame:
+    """(run, kind, body): a JSON record and a Markdown page of each run, to be written by ``write_run``."""
+    record = F.struct(F.lit("json").alias("kind"), F.to_json(F.struct(*fields)).alias("body"))
+    shown = F.struct(F.lit("markdown").alias("kind"), page.alias("body"))
+    return rows.select(run, F.inline(F.array(record, shown)))
+
+
 def upserted(current: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): what is wanted replaces what is there, null removes, the rest stays."""
     new = wanted.select(key, F.col(value).alias("_new"), F.lit(True).alias("_told"))
