@@ -8,8 +8,8 @@ so the ranges are cut by arithmetic), sorted within each range by hash, document
 streamed: whatever follows the first document of a hash is dropped. The result is one compressed
 bitmap of kept lines for each document that loses any.
 
-A null text counts as one empty line. Keys shorter than ``least`` code points are never dropped. A
-null id sorts after all others. Rows that share an id count as one document when it comes to who
+A null text counts as one empty line. Keys shorter than ``least`` code points are never dropped. All
+null ids count as one, the largest long there is. Rows that share an id count as one document when it comes to who
 holds a line; a bitmap belongs to an (id, text) pair, so repeated rows lose the same lines and
 rows with one id and different texts don't mix.
 """

@@ -343,6 +343,8 @@ def near_copies(
 ) -> DataFrame:
     """(id, rid, component_id) for each row: documents whose shingle sets are ``similarity`` alike.
 
+    All null ids count as one, the largest long there is; texts tell rows under one id apart.
+
     A node is a distinct shingle set, named after its hash whatever ids hold it, and component_id
     is the least name of a component's nodes; it is no id.
 
