@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkreef.operators.lineage import checkpointed
+
 
 def enum_text(values: Column, shown: int = 6) -> Column:
     """``['a', 'b', …]``: the first values of an array, quoted, and whether there are more."""
@@ -21,7 +23,8 @@ def in_halves(items: DataFrame, batch: Sequence[str], order: str, reply: Callabl
     ``reply`` answers parts: of rows (batch, part, attempt, the items' columns) it makes a row per
     part with the columns overflow and valid. An overflowing part of several items is halved, the
     first half the smaller one, up to ``most_depth`` times; an invalid reply is repaired once. part
-    names the halves taken, 0 or 1 each. Levels follow each other, parts of a level are one job's rows.
+    names the halves taken, 0 or 1 each. Levels follow each other, parts of a level are one job's
+    rows; what a level leaves is written to the checkpoint folder, so that plans don't grow.
     """
     keys = [*batch, "part"]
     left = items.withColumns({"part": F.lit(""), "attempt": F.lit(1)})
@@ -37,14 +40,14 @@ def in_halves(items: DataFrame, batch: Sequence[str], order: str, reply: Callabl
         split = over & (F.col("n") > 1) & F.lit(depth < most_depth)
         outcome = F.when(over, "too long").when(F.col("valid") | F.coalesce("valid2", F.lit(False)), "ok").otherwise("invalid")
         attempts = F.when(F.col("valid2").isNull(), 1).otherwise(2)
-        told = told.withColumns({"split": split, "attempts": attempts, "outcome": outcome})
+        told = checkpointed(told.withColumns({"split": split, "attempts": attempts, "outcome": outcome}))
         ended = told.where("not split").select(*keys, "n", "attempts", "outcome")
         done = ended if done is None else done.unionByName(ended)
         if depth < most_depth:
             place = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
             going = left.join(told.where("split").select(*keys, "n"), keys).withColumn("_place", place)
             half = F.when(F.col("_place") < F.floor(F.col("n") / 2), "0").otherwise("1")
-            left = going.withColumn("part", F.concat("part", half)).drop("n", "_place")
+            left = checkpointed(going.withColumn("part", F.concat("part", half)).drop("n", "_place"))
     return done
 
 

@@ -89,7 +89,7 @@ def x16_image_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, license, CASE WHEN license IN ('permissive', 'copyleft') THEN 'usable' WHEN license = 'none' THEN 'unmarked' ELSE 'review' END AS class FROM f""")
 def x17_license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license that a document's first license line names, by a ladder of patterns, and its class."""
-    line = F.regexp_extract("text", r"[^\n]*[Ll]icen[sc]e[^\n]*", 0)
+    line = F.coalesce(F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike("[Ll]icen[sc]e")), F.lit(0)), F.lit(""))
     found = text.first_match(line, (*LICENSES, ("^$", "none")), "unknown")
     kind = text.first_match(F.col("license"), (("permissive|copyleft", "usable"), ("none", "unmarked")), "review")
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("license")).withColumn("class", kind)
