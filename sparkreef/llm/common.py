@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreef.operators.lineage import checkpointed, shared_folder
+
+__all__ = ["BATCH_BYTES", "BLANKS", "boxed", "checkpointed", "partitions", "shared_folder", "table", "text_hash", "whole_runs"]
+
 #: ASCII white space, as the contracts of the queries define it.
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -24,26 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` or the context names it.
-
-    Where neither does, a temporary folder on one machine (a local master, as in tests), and an
-    error on a cluster: what a machine-local folder holds there is lost with its executor.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="checkpoint-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
