@@ -17,19 +17,32 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
+#: All null ids count as one, the largest there is.
+LAST = (1 << 63) - 1
+
+
+def place(i):
+    return LAST if i is None else i
+
+
 def lines(docs):
     """op1 over [(id, text)]: {id: (n_lines, n_dropped, sha)}; ids are unique."""
+    return {i: x for (i, _), x in zip(docs, line_rows(docs), strict=True)}
+
+
+def line_rows(docs):
+    """op1 over [(id, text)], a result a row; rows that share an id are one document."""
     key = lambda line: line.strip(BLANK).translate(LOWER)
     holders = defaultdict(set)
     for i, t in docs:
         for line in (t or "").split("\n"):
             if len(key(line)) >= 10:
-                holders[key(line)].add(i)
-    out = {}
+                holders[key(line)].add(place(i))
+    out = []
     for i, t in docs:
         parts = (t or "").split("\n")
-        kept = [x for x in parts if len(key(x)) < 10 or min(holders[key(x)]) == i]
-        out[i] = (len(parts), len(parts) - len(kept), sha("\n".join(kept)))
+        kept = [x for x in parts if len(key(x)) < 10 or min(holders[key(x)]) == place(i)]
+        out.append((len(parts), len(parts) - len(kept), sha("\n".join(kept))))
     return out
 
 
@@ -54,21 +67,26 @@ def counts(text):
 
 def substrings(docs, length=50):
     """op5 over [(id, text)]: {id: (n_bytes, n_removed, n_spans, sha)}; ids are unique."""
+    return {i: x for (i, _), x in zip(docs, substring_rows(docs, length), strict=True)}
+
+
+def substring_rows(docs, length=50):
+    """op5 over [(id, text)], a result a row; rows that share an id are one document."""
     first = {}
     for i, t in docs:
         raw = (t or "").encode()
         for p in range(len(raw) - length + 1):
             s = raw[p : p + length]
-            first[s] = min(first.get(s, i), i)
-    out = {}
+            first[s] = min(first.get(s, LAST), place(i))
+    out = []
     for i, t in docs:
         raw = (t or "").encode()
         gone = np.zeros(len(raw) + 2, bool)
         for p in range(len(raw) - length + 1):
-            if first[raw[p : p + length]] < i:
+            if first[raw[p : p + length]] < place(i):
                 gone[p + 1 : p + 1 + length] = True
         kept = bytes(b for b, g in zip(raw, gone[1:], strict=False) if not g)
-        out[i] = (len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), sha(kept))
+        out.append((len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), sha(kept)))
     return out
 
 

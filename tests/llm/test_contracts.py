@@ -1,6 +1,7 @@
 """The queries' results against the plain computation of their contracts."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -112,6 +113,23 @@ def test_secrets(spark, folder):
     assert keyed(rows) == {i: brute.secrets(t) for i, t in docs_of(spark, folder)}
 
 
+ROWS = {
+    "op1_line_dedup": (("n_lines", "n_dropped", "kept_sha256"), brute.line_rows),
+    "op2_quality_fences": (("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), lambda docs: [brute.counts(t) for _, t in docs]),
+    "op5_suffix_dedup": (("n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.substring_rows),
+    "op10_secret_scan": (("n_assign", "n_access", "n_hex", "base_sha256"), lambda docs: [brute.secrets(t) for _, t in docs]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROWS))
+def test_values_of_repeated_rows(spark, repeated, name):
+    """Null ids, repeated rows and ids that different texts share, row by row."""
+    columns, wanted = ROWS[name]
+    docs = docs_of(spark, repeated)
+    found = Counter(rows_of(spark, name, repeated, "doc_id", *columns))
+    assert found == Counter((i, *x) for (i, _), x in zip(docs, wanted(docs), strict=True))
+
+
 TABLE = {"op7_url_rules": "pages", "op8_chroma_alignment": "embeddings"}
 
 
