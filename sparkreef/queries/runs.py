@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.operators import curation, folds
+from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
+from sparkreef.sources import sinks
+from sparkreef.streaming import digest
 
 BATCH = 40
 CEILING = 60_000
@@ -177,3 +182,36 @@ def r09_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("steps"), last.alias("last"), F.max("event_id").alias("at"))
     ended = F.col("last").isin("purchase", "error")
     return told.select("run", "steps", "last", ended.alias("ended"), F.when(ended, F.col("at")).alias("ended_at"))
+
+
+@query("""SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
+def k01_atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is replaced as a whole: what readers find is one version or the other, here the second."""
+    path = f"{shared_folder(spark)}/k01-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders")
+    for rows in (orders, orders.where("o_orderstatus <> 'P'")):
+        sinks.write_if_changed(rows.groupBy("o_custkey").agg(F.count("*").alias("n")), path)
+    return spark.read.parquet(path)
+
+
+def digest_runs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The folders of output and state after two runs over documents that arrive as a stream."""
+    folder = f"{shared_folder(spark)}/digest-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    for run in range(2):  # the second one starts anew and finds all it meets in the state
+        arrived = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
+        keyed = arrived.select("doc_id", F.md5("text").alias("key"))
+        digest.run_digest(keyed, "key", "doc_id", f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint-{run}", first=run).awaitTermination()
+    return f"{folder}/out", f"{folder}/state"
+
+
+@query("""SELECT min(doc_id) AS doc_id, md5(text) AS key FROM documents GROUP BY text""")
+def r10_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output goes before state, so a run that is started again adds nothing and loses nothing."""
+    return spark.read.parquet(digest_runs(spark, sf_dir)[0]).select("doc_id", "key")
+
+
+@query("""SELECT DISTINCT md5(text) AS key FROM documents""")
+def k04_state_after_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run leaves as state are the keys of what it has written."""
+    return spark.read.parquet(digest_runs(spark, sf_dir)[1]).select("key")

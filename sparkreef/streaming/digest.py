@@ -18,14 +18,16 @@ def _there(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def run_digest(items: DataFrame, key: str, order: str, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def run_digest(items: DataFrame, key: str, order: str, out: str, state: str, checkpoint: str, first: int = 0) -> StreamingQuery:
     """Starts a run over all that has arrived: the first item of each key that no run before has had.
 
-    ``items`` is a streaming frame; ``out`` and ``state`` get a folder per batch.
+    ``items`` is a streaming frame; ``out`` and ``state`` get a folder per batch. Batches are numbered
+    from ``first``, for a run that starts anew, with a checkpoint of its own, beside a state that is there.
     """
     spark = items.sparkSession
 
-    def batch(rows: DataFrame, number: int) -> None:
+    def batch(rows: DataFrame, n: int) -> None:
+        number = first + n
         fresh = dedupe.first_wins(rows, [key], [order])
         if _there(spark, state):
             seen = spark.read.parquet(state).where(F.col("batch") < number)
