@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text; each window of
 a text is compressed with both, and the difference of the lengths tells how much toxic text
 explains it. A text's differences, over all its windows, go through a logistic curve that was
-calibrated on labelled texts the dictionaries have not seen; its intercept is moved from the
-sample's share of toxic texts to that of all labels, so that a threshold means the same at any size.
+calibrated on labelled texts the dictionaries have not seen. Scores are for ODDS of toxic to
+ordinary texts, whatever the sample's, so that a threshold asks for the same evidence at any size of
+the tables and any share of toxic labels.
 
 Toxic text is ordinary text but for a few words, and zstandard trains for what is frequent: a
 dictionary trained on whole toxic texts holds ordinary words, in another choice than the ordinary
@@ -24,7 +25,6 @@ alike and ids don't matter. Without a text of either label the score is the shar
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,17 +39,17 @@ from pyspark.sql import functions as F
 MOST_TOXIC = 1500
 MOST_ORDINARY = 3000
 MOST_CHARS = 200_000
-MOST_TOTAL = 40_000_000
+MOST_TOTAL = 24_000_000
 
 WINDOW_WORDS = 16
 LEVEL = 9
 #: Bytes that a match takes at least.
 LEAST_MATCH = 5
 ORDINARY_BYTES = 30_000
-TOXIC_BYTES = 1200
+TOXIC_BYTES = 900
 #: Lengths of the segments that zstandard's trainer picks, and of the runs it counts.
-ORDINARY_SEGMENT, TOXIC_SEGMENT = (48, 8), (24, 6)
-#: Words are told apart by runs of so many bytes.
+ORDINARY_SEGMENT, TOXIC_SEGMENT = (48, 8), (32, 6)
+#: Words are told apart by runs of so many bytes, eight at most, as a run is a 64-bit number.
 RUNS = range(5, 9)
 #: A run tells if its share of the toxic texts is so many times that of the others, and if its counts
 #: are exp(LEAST_EVIDENCE) times likelier than with one share for all.
@@ -57,16 +57,26 @@ LEAST_LIFT = 3.0
 LEAST_EVIDENCE = 10.0
 
 THRESHOLD = 0.7
+#: Toxic texts to ordinary ones that scores are for.
+ODDS = 0.5
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def word_runs(word: bytes) -> set[bytes]:
-    """A word's runs of bytes, the blanks around it included."""
-    padded = b" " + word + b" "
-    return {padded[i : i + n] for n in RUNS for i in range(len(padded) - n + 1)}
+def word_runs(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, word): the runs of ``n`` bytes of each word, the blanks around it included, as numbers."""
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    places = len(data) - n + 1
+    if not words or places <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    runs = np.zeros(places, np.uint64)
+    for k in range(n):
+        runs = runs << np.uint64(8) | data[k : k + places]
+    blanks = np.cumsum(data == 32)
+    inside = blanks[n - 2 : n - 2 + places] == blanks[:places]  # no blank but at the ends
+    return runs[inside], blanks[:places][inside] - 1
 
 
 def without_copies(texts: Sequence[list[bytes]]) -> list[list[bytes]]:
@@ -82,32 +92,22 @@ def without_copies(texts: Sequence[list[bytes]]) -> list[list[bytes]]:
 
 def telling_words(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]]) -> list[bytes]:
     """What of each toxic text tells it from ordinary ones, its words that hold a telling run."""
-    runs: dict[bytes, set[bytes]] = {}
-
-    def counted(texts: Sequence[list[bytes]], known: set[bytes] | None = None) -> Counter:
-        found = Counter()
-        for words in texts:
-            own = set()
-            for word in set(words):
-                if word not in runs:
-                    runs[word] = word_runs(word)
-                own |= runs[word] if known is None else runs[word] & known
-            found.update(own)
-            if len(runs) > 500_000:
-                runs.clear()
-        return found
-
-    inside = {run: n for run, n in counted(toxic).items() if n > 1}
-    outside = counted(ordinary, set(inside))
-    telling = set()
-    for run, n in inside.items():
-        share, other = n / len(toxic), (outside[run] + 1) / (len(ordinary) + 2)
-        if share > LEAST_LIFT * other:
-            rest = (len(toxic) - n) * math.log((1 - share) / (1 - other)) if share < 1 else 0.0
-            if n * math.log(share / other) + rest >= LEAST_EVIDENCE:
-                telling.add(run)
-    chosen = ([w for w in words if not telling.isdisjoint(word_runs(w))] for words in toxic)
-    return [b" " + b"  ".join(words) + b" " for words in chosen if words]
+    chosen: list[set[int]] = [set() for _ in toxic]
+    for n in RUNS:
+        found = [word_runs(words, n) for words in toxic]
+        runs, held = np.unique(np.concatenate([np.unique(r) for r, _ in found]), return_counts=True)
+        runs, held = runs[held > 1], held[held > 1]
+        outside = np.zeros(len(runs), np.int64)
+        for words in ordinary:
+            own = np.unique(word_runs(words, n)[0])
+            outside[np.searchsorted(runs, own[np.isin(own, runs, assume_unique=True)])] += 1
+        share, other = held / len(toxic), (outside + 1) / (len(ordinary) + 2)
+        rest = (len(toxic) - held) * np.log(np.maximum(1 - share, 1e-300) / (1 - other))
+        evidence = held * np.log(share / other) + np.where(share < 1, rest, 0.0)
+        telling = runs[(share > LEAST_LIFT * other) & (evidence >= LEAST_EVIDENCE)]
+        for of, (own, word) in zip(chosen, found, strict=True):
+            of.update(word[np.isin(own, telling)].tolist())
+    return [b" " + b"  ".join(words[i] for i in sorted(of)) + b" " for words, of in zip(toxic, chosen, strict=True) if of]
 
 
 def trained_content(samples: Sequence[bytes], size: int, segment: tuple[int, int]) -> bytes:
@@ -189,11 +189,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit(texts: Sequence[str | None], labels: Sequence[int], odds: float | None = None) -> Model:
-    """A model from labelled texts; of each label, every third text calibrates and the rest train.
-
-    ``odds`` of toxic to ordinary texts are those the scores are for; by default the sample's.
-    """
+def fit(texts: Sequence[str | None], labels: Sequence[int], odds: float = ODDS) -> Model:
+    """A model from labelled texts; of each label, every third text calibrates and the rest train."""
     sides = [[words_of(t) for t, label in zip(texts, labels, strict=True) if label == side] for side in (1, 0)]
     if not all(sides):
         share = (len(sides[0]) + 0.01) / (len(texts) + 0.02)
@@ -209,8 +206,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], odds: float | None =
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
     means, scales = x.mean(0), np.maximum(x.std(0), 1e-3)
     w = fit_logistic((x - means) / scales, y)
-    if odds:
-        w[0] += math.log(odds) - math.log(len(held[0]) / len(held[1]))
+    w[0] += math.log(odds) - math.log(len(held[0]) / len(held[1]))
     return Model(model.toxic, model.ordinary, tuple(map(float, w)), tuple(map(float, means)), tuple(map(float, scales)))
 
 
@@ -229,8 +225,6 @@ def train(
     def sample(value: int, most: int) -> DataFrame:
         return known.where(F.col("label") == value).orderBy("order", "id").limit(most)
 
-    counts = {r["label"]: r["count"] for r in known.where("label in (0, 1)").groupBy("label").count().collect()}
-    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
     chosen = sample(1, MOST_TOXIC).union(sample(0, MOST_ORDINARY))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The sample has MOST_TOXIC + MOST_ORDINARY rows at most; their sizes decide how many of them come.
@@ -248,7 +242,7 @@ def train(
         within = within | ((F.col("label") == label) & (F.col("order") <= order))
     rows = found.where(within).select(*place, "text", "label").orderBy("order", "id", "hash")
     rows = rows.limit(2 * (MOST_TOXIC + MOST_ORDINARY)).collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows], odds)
+    return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -456,16 +456,18 @@ def test_toxicity_on_held_out_rows(spark, large):
     rows = scored.join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").select("score", F.col("toxic").alias("y")).collect()
     one, two = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in one for b in two])
-    assert len(one) > 100 and auc >= 0.9 and np.mean([b < 0.7 for b in two]) > 0.98
+    assert len(one) > 100 and auc >= 0.9 and np.mean([b < 0.7 for b in two]) > 0.96 and np.mean([a >= 0.7 for a in one]) > 0.65
 
 
-def test_toxicity_follows_the_share_of_toxic_labels():
-    """The intercept holds the odds of all labels, whatever the sample's."""
-    texts = ["good words here"] * 40 + ["bad zzyzxql words"] * 20
-    labels = [0] * 40 + [1] * 20
-    same, rarer = toxicity.fit(texts, labels), toxicity.fit(texts, labels, 0.05)
-    assert rarer.weights[0] - same.weights[0] == pytest.approx(np.log(0.05 / 0.5))
-    assert same.weights[1:] == rarer.weights[1:] and same.toxic == rarer.toxic
+def test_toxicity_scores_are_for_fixed_odds():
+    """Texts that say nothing score alike, whatever the sample's share of toxic ones."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["some", "plain", "words", "and", "more"]) for _ in range(30))
+    for n in (30, 90, 270):
+        model = toxicity.fit([text() for _ in range(n + 90)], [1] * n + [0] * 90)
+        pair = model.compressors()
+        scores = model.score(np.array([toxicity.features_of(toxicity.gains(toxicity.words_of(text()), *pair)) for _ in range(40)]))
+        assert abs(np.median(scores) - toxicity.ODDS / (1 + toxicity.ODDS)) < 0.12
 
 
 def test_training_texts_are_bounded(spark, monkeypatch):
@@ -474,6 +476,6 @@ def test_training_texts_are_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     seen = []
     monkeypatch.setattr(toxicity, "MOST_TOTAL", 2000)
-    monkeypatch.setattr(toxicity, "fit", lambda texts, marks, odds: seen.append((sum(map(len, texts)), sorted(marks), odds)))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: seen.append((sum(map(len, texts)), sorted(marks))))
     toxicity.train(docs, labels)
-    assert seen == [(2000, [0] * 10 + [1] * 10, 1.0)]
+    assert seen == [(2000, [0] * 10 + [1] * 10)]
