@@ -21,8 +21,8 @@ Anchors that over ``crowd`` documents share would make one group too large for a
 their windows travel one by one instead, each as a context that is equal to others or not, and
 stream by. That path is as exact.
 
-Texts are UTF-8 bytes, null is empty, and matches don't cross documents. A null id sorts last. Rows
-that share an id are one document when it comes to who is first, and keep their own spans.
+Texts are UTF-8 bytes, null is empty, and matches don't cross documents. All null ids count as one,
+the largest long there is. Rows that share an id are one document when it comes to who is first, and keep their own spans.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkreef.llm.common import text_hash
+from sparkreef.llm.common import BATCH_BYTES, text_hash
 
 LENGTH = 50
 GRAM = 16
@@ -245,13 +247,27 @@ def anchor_keys(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(16)).view(np.int64)
 
 
+def packed_text(text: str) -> Column:
+    """A column's texts, compressed each by itself, as they are shuffled. A function of one column, not
+    of rows, so that Spark sees the exchange after it as the same one in each pass."""
+
+    @F.pandas_udf("binary")
+    def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressor = zstandard.ZstdCompressor(level=1)
+        for texts in parts:
+            yield pd.Series([compressor.compress((x or "").encode()) for x in texts], dtype=object)
+
+    return packed(text)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(hash, doc): each anchor hash of a document once, from (id, doc, rid, text, copied)."""
+    """(hash, doc): each anchor hash of a document once, from (id, doc, rid, packed, copied)."""
+    unpacked = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc, text, copied in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+        for doc, packed, copied in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
             if not copied:
-                found = np.unique(anchor_keys(anchors(np.frombuffer((text or "").encode(), np.uint8), length, gram)[1]))
+                found = np.unique(anchor_keys(anchors(np.frombuffer(unpacked(packed), np.uint8), length, gram)[1]))
                 hashes.append(found)
                 docs.append(np.full(len(found), doc))
         yield pa.RecordBatch.from_arrays(
@@ -294,28 +310,46 @@ def _shared_rows(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.R
         yield told(hashes, docs)
 
 
-_CONTEXT = pa.schema(
-    [("key", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("left", pa.int32()), ("context", pa.binary())]
-)
+#: place is a row's number under its document and where the context starts in its text; number is the
+#: anchor's place in the context or, where that is settled and its bytes stay behind, the context's size.
+_CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("number", pa.int32()), ("context", pa.binary())])
+_START_BITS = 40
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of the shared anchors, from (id, doc, rid, text, copied, shared): a window each where
+    """Contexts of the shared anchors, from (id, doc, rid, packed, copied, shared): a window each where
     crowded. Of equal contexts in a batch the first document's goes on; the others are settled, so
     their bytes stay behind and they are dealt out by document."""
+    unpacked = zstandard.ZstdDecompressor().decompress
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        owners: dict[tuple, int] = {}
+        for key, doc, _, _, left, context in rows:
+            kind = (key, left, context)
+            if owners.setdefault(kind, doc) > doc:
+                owners[kind] = doc
+        columns = [[] for _ in _CONTEXT]
+        for key, doc, rid, start, left, context in rows:
+            late = owners[key, left, context] < doc
+            place = rid << _START_BITS | start
+            row = (doc * 0x9E3779B1 % _LAST, doc, place, len(context), None) if late else (key, doc, place, left, context)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
+
     for batch in batches:
-        rows, owners = [], {}
-        docs, rids, texts, copies, lists = (batch.column(i) for i in range(1, 6))
+        rows, held = [], 0
+        docs, rids, blobs, copies, lists = (batch.column(i) for i in range(1, 6))
         shared = lists.flatten()
         known, crowd = shared.field(0).to_numpy(), shared.field(1).to_numpy(zero_copy_only=False)
         ends = np.cumsum([len(x) for x in lists]).tolist()
         begin = 0
-        for doc, rid, text, copied, end in zip(docs.to_pylist(), rids.to_pylist(), texts.to_pylist(), copies.to_pylist(), ends, strict=True):
+        for doc, rid, packed, copied, end in zip(docs.to_pylist(), rids.to_pylist(), blobs.to_pylist(), copies.to_pylist(), ends, strict=True):
             mine, many = known[begin:end], crowd[begin:end]
             begin = end
             if copied:
                 continue
-            raw = (text or "").encode()
+            raw = unpacked(packed)
             places, hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
             hashes = anchor_keys(hashes)
             plain, crowded = np.isin(hashes, mine[~many]), np.isin(hashes, mine[many])
@@ -326,17 +360,11 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
                     window = raw[start : start + length]
                     key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
                     rows.append((key, doc, rid, start, 0, window))
-        for key, doc, _, _, left, context in rows:
-            kind = (key, left, context)
-            if owners.setdefault(kind, doc) > doc:
-                owners[kind] = doc
-        columns = [[] for _ in _CONTEXT]
-        for key, doc, rid, start, left, context in rows:
-            late = owners[key, left, context] < doc
-            row = (doc * 0x9E3779B1 % _LAST if late else key, doc, rid, start, len(context), left, None if late else context)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
+            held += len(raw)
+            if held > BATCH_BYTES:
+                yield told(rows)
+                rows, held = [], 0
+        yield told(rows)
 
 
 class _Block:
@@ -395,9 +423,10 @@ def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
 
     for batch in batches:
         spans = []
-        for key, doc, rid, start, size, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, doc, place, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rid, start = place >> _START_BITS, place & (1 << _START_BITS) - 1
             if context is None:
-                spans.append((doc, rid, start, start + size))
+                spans.append((doc, rid, start, start + left))
                 continue
             if head is not None and head[0] == key and head[1] == left and head[2] == context:
                 if doc > head[3]:
@@ -432,9 +461,9 @@ def repeated_spans(
     gram: int = GRAM,
     crowd: int = CROWD,
 ) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` as id, doc, rid, text and copied; spans by doc).
+    """(``docs`` as id, doc, rid, packed and copied; spans by doc).
 
-    copied tells whole texts that a smaller document has. The second has an array of (rid, start,
+    packed is the compressed text; copied tells whole texts that a smaller document has. The second has an array of (rid, start,
     end) for each other document with repeated bytes, unmerged. Texts are dealt out by document
     once; each pass reads all columns of the first frame, so that Spark takes that exchange again.
     """
@@ -445,10 +474,11 @@ def repeated_spans(
         F.col(text_col).alias("text"),
     )
     copied = F.coalesce(F.array_contains("copies", F.col("rid")), F.lit(False)).alias("copied")
-    dealt = own.repartition("doc").join(copied_texts(own), "doc", "left").select("id", "doc", "rid", "text", copied)
+    packed = own.select("id", "doc", "rid", packed_text("text").alias("packed"))
+    dealt = packed.repartition("doc").join(copied_texts(own), "doc", "left").select("id", "doc", "rid", "packed", copied)
     # From here on a row is known by its document and the place of its text among those under the id.
     place = F.dense_rank().over(W.partitionBy("doc").orderBy("rid")).cast("long")
-    dealt = dealt.select("id", "doc", place.alias("rid"), "text", "copied")
+    dealt = dealt.select("id", "doc", place.alias("rid"), "packed", "copied")
     rows = dealt.mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long")
     shared = (
         rows.repartition("hash")
@@ -460,15 +490,15 @@ def repeated_spans(
     )
     contexts = (
         dealt.join(shared, "doc")
-        .select("id", "doc", "rid", "text", "copied", "shared")
+        .select("id", "doc", "rid", "packed", "copied", "shared")
         .mapInArrow(
             lambda b: _context_rows(b, length, gram),
-            "key long, doc long, rid long, start long, size int, left int, context binary",
+            "key long, doc long, place long, number int, context binary",
         )
     )
     spans = (
         contexts.repartition("key")
-        .sortWithinPartitions("key", "left", "context", "doc")
+        .sortWithinPartitions("key", "number", "context", "doc")
         .mapInArrow(lambda b: _span_rows(b, length), "doc long, rid long, start long, end long")
         .repartition("doc")
         .groupBy("doc")
@@ -501,13 +531,14 @@ def dedup_substrings(
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row; kept are the bytes that remain."""
     dealt, spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
-    marked = dealt.join(spans, "doc", "left").select("id", "doc", "rid", "text", "copied", "spans")
+    marked = dealt.join(spans, "doc", "left").select("id", "doc", "rid", "packed", "copied", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, counts, kept = [], [], [], []
-            for rid, text, copied, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                raw = (text or "").encode()
+            for rid, packed, copied, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                raw = unpacked(packed)
                 runs = removed_runs(found, rid)
                 if copied:
                     runs = [(0, len(raw))] if len(raw) >= length else []
