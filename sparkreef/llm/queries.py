@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import line_dedup, media, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from sparkreef.llm import conversations, line_dedup, media, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from sparkreef.llm.common import table
 
 
@@ -84,6 +84,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    mended = conversations.repair_all(conversations.damage(turns), turns)
+    return mended.withColumn("repaired_sha256", F.sha2(F.array_join("repaired", "\n").cast("binary"), 256)).drop("repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_fences": op2_quality_fences,
@@ -95,8 +101,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma_alignment": op8_chroma_alignment,
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
+
+def _conversation_sql() -> str:
+    """Turn by turn, the four states as strings: the cost in twelve digits, then the audit."""
+
+    def after(state: str, cost: str, edits: str) -> str:
+        return f"lpad((left({state}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || {edits}"
+
+    def said(state: str, role: str, inserted: str = "") -> str:
+        own = f"left(r.role, 1) = '{role}'"
+        extra = 2 if inserted else 0
+        letter = f"'{inserted}' || CASE WHEN {own} THEN 'K' ELSE '{'R' if role == 'u' else 'S'}' END"
+        return after(state, f"r.kept + CASE WHEN {own} THEN {extra} ELSE {extra + 2} END", letter)
+
+    def gone(state: str) -> str:
+        return after(state, "3", "'D'")
+
+    opened = after("f.s0", "r.kept + CASE WHEN left(r.role, 1) = 's' THEN 0 ELSE 100000000000 END", "'K'")
+    never = "'100000000000'"
+    return rf"""
+        WITH RECURSIVE damaged AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295::BIGINT, list_reduce(
+                       list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+                       lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                           lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END), 4294967295::BIGINT)) % 20 AS fault
+            FROM conversations),
+        rows_left AS (
+            SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM damaged WHERE fault <> 0)),
+        ids AS (SELECT conv_id, row_number() OVER () AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
+        marked AS (
+            SELECT id, turn, role, text,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last_character,
+                   row_number() OVER (PARTITION BY id, role, text ORDER BY turn NULLS FIRST) AS said
+            FROM rows_left JOIN ids ON rows_left.conv_id IS NOT DISTINCT FROM ids.conv_id),
+        faults AS (
+            SELECT *, CASE WHEN last_character = '' THEN 3 WHEN said > 1 THEN 2 WHEN last_character NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault
+            FROM marked),
+        numbered AS (
+            SELECT *, CASE WHEN fault >= 2 THEN 100000000000 ELSE fault END AS kept,
+                   row_number() OVER w AS pos,
+                   lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+            FROM faults WINDOW w AS (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, fault)),
+        fold AS (
+            SELECT id, 0::BIGINT AS pos, '000000000000' AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM ids
+            UNION ALL
+            SELECT f.id, r.pos, {gone("f.s0")}, least({gone("f.s1")}, {opened}),
+                   least({gone("f.s2")}, {said("f.s0", "u")}, {said("f.s1", "u")}, {said("f.s3", "u")}, {said("f.s2", "u", "J")}),
+                   least({gone("f.s3")}, {said("f.s2", "a")}, {said("f.s0", "a", "I")}, {said("f.s1", "a", "I")}, {said("f.s3", "a", "I")})
+            FROM fold f JOIN numbered r ON r.id = f.id AND r.pos = f.pos + 1),
+        best AS (
+            SELECT id, substr(least(s0, s3, {after("s2", "2", "'J'")}, {after("s1", "4", "'IJ'")}), 13) AS edits,
+                   left(least(s0, s3, {after("s2", "2", "'J'")}, {after("s1", "4", "'IJ'")}), 12)::BIGINT AS cost
+            FROM (SELECT id, unnest(max_by({{'s0': s0, 's1': s1, 's2': s2, 's3': s3}}, pos)) FROM fold GROUP BY id)),
+        counted AS (
+            SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+                   count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (illegal) AS illegal
+            FROM numbered GROUP BY id),
+        tokens AS (
+            SELECT id, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (SELECT id, regexp_extract_all(edits, '[IJ]*[DKRS]|[IJ]+$') AS t FROM best)),
+        lines AS (
+            SELECT id, pos, 0 AS part, CASE left(token, 1) WHEN 'I' THEN 'user:' WHEN 'J' THEN 'assistant:' END AS line FROM tokens
+            UNION ALL SELECT id, pos, 1, CASE substr(token, 2, 1) WHEN 'I' THEN 'user:' WHEN 'J' THEN 'assistant:' END FROM tokens
+            UNION ALL SELECT tokens.id, tokens.pos, 2, CASE right(token, 1) WHEN 'K' THEN role WHEN 'R' THEN 'user' WHEN 'S' THEN 'assistant' END || ':' || text
+                      FROM tokens JOIN numbered ON numbered.id = tokens.id AND numbered.pos = tokens.pos),
+        texts AS (SELECT id, string_agg(line, chr(10) ORDER BY pos, part) AS repaired FROM lines GROUP BY id)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, translate(edits, 'JS', 'IR') AS audit,
+               sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM ids JOIN best USING (id) LEFT JOIN counted USING (id) LEFT JOIN texts USING (id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH lines AS (
@@ -153,4 +232,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept
         FROM based""",
+    "op11_conversation_repair": _conversation_sql(),
 }
