@@ -169,14 +169,12 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def repair_all(turns: DataFrame, ids: DataFrame) -> DataFrame:
-    """``repair_conversations`` with a row for each conv_id of ``ids``, zeros and empty where no turn is left."""
+def with_every(mended: DataFrame, ids: DataFrame, **without: Column) -> DataFrame:
+    """``mended`` with a row for each conv_id of ``ids``; where no turn is left, ``without`` or else zero and empty."""
     every = ids.select(F.col("conv_id").alias("every_id")).distinct()
-    mended = repair_conversations(turns)
-    zeros = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-    return every.join(mended, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").select(
-        F.col("every_id").alias("conv_id"),
-        *(F.when(F.col("cost").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in zeros),
-        F.coalesce("audit", F.lit("")).alias("audit"),
-        F.coalesce("repaired", F.array().cast("array<string>")).alias("repaired"),
+    none = {"bigint": F.lit(0).cast("long"), "string": F.lit(""), "array<string>": F.array().cast("array<string>")}
+    columns = [(name, without.get(name, none.get(kind))) for name, kind in mended.dtypes if name != "conv_id"]
+    joined = every.join(mended.withColumn("turns_left", F.lit(True)), F.col("every_id").eqNullSafe(F.col("conv_id")), "left")
+    return joined.select(
+        F.col("every_id").alias("conv_id"), *(F.when(F.col("turns_left"), F.col(name)).otherwise(value).alias(name) for name, value in columns)
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import conversations, line_dedup, media, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from sparkreef.llm import conversations, line_dedup, media, mixing, packing, phrases, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from sparkreef.llm.common import table
 
 
@@ -86,8 +86,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    mended = conversations.repair_all(conversations.damage(turns), turns)
-    return mended.withColumn("repaired_sha256", F.sha2(F.array_join("repaired", "\n").cast("binary"), 256)).drop("repaired")
+    mended = conversations.repair_conversations(conversations.damage(turns))
+    hashed = mended.withColumn("repaired_sha256", F.sha2(F.array_join("repaired", "\n").cast("binary"), 256)).drop("repaired")
+    return conversations.with_every(hashed, turns, repaired_sha256=F.sha2(F.lit("").cast("binary"), 256))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_pivots": op9_simhash_pivots,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrase_mining": op12_phrase_mining,
 }
 
 
@@ -233,4 +239,30 @@ ORACLE_SQL: dict[str, str] = {
                NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept
         FROM based""",
     "op11_conversation_repair": _conversation_sql(),
+    "op12_phrase_mining": r"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+        grams AS (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM places),
+        counted AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS v, count(*) AS f
+            FROM grams WHERE i + k - 1 <= len(w) GROUP BY lang, k, phrase HAVING count(*) >= 100),
+        totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+        cuts AS (
+            SELECT lang, phrase, v, k, f, cut, array_to_string(v[1:cut], ' ') AS lp, array_to_string(v[cut + 1:k], ' ') AS rp
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted WHERE k > 1)),
+        scored AS (
+            SELECT c.lang, c.phrase, c.k, c.f AS a, lf.f AS l, rf.f AS r, n,
+                   (1000::HUGEINT * c.f * n // (lf.f::HUGEINT * rf.f))::BIGINT AS score, cut
+            FROM cuts c JOIN counted lf ON lf.lang = c.lang AND lf.phrase = c.lp JOIN counted rf ON rf.lang = c.lang AND rf.phrase = c.rp
+            JOIN totals ON totals.lang = c.lang),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        kept AS (
+            SELECT * FROM weakest s
+            WHERE NOT EXISTS (SELECT 1 FROM counted o WHERE o.lang = s.lang AND o.k > s.k AND o.f >= s.a
+                                AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }

@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+CONV_SCHEMA = "conv_id long, turn long, role string, text string"
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -56,6 +57,7 @@ def empty(spark, tmp_path_factory):
     written(spark, folder, [], "doc_id long, quality int, toxic int", "labels")
     written(spark, folder, [], "page_id long, url string, html string", "pages")
     written(spark, folder, [], "vec_id long, embedding array<float>, label int", "embeddings")
+    written(spark, folder, [], CONV_SCHEMA, "conversations")
     return str(folder)
 
 
@@ -70,4 +72,6 @@ def repeated(spark, odd_docs, tmp_path_factory):
     written(spark, folder, [(None, None, None), (5, 1, None), (7, 1, 1), (9, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int", "labels")
     written(spark, folder, [(None, "http://c.com/de/x", None, "h")] * 3, "page_id long, url string, html string, host string", "pages")
     written(spark, folder, [(1, [0.5] * 64, 0)] * 3 + [(None, [0.5] * 64, 0), (2, [None] * 4, 1)], "vec_id long, embedding array<float>, label int", "embeddings")
+    turns = [(c, t, r, x) for c in (1, 2, None) for t, r, x in [(0, "user", "Hi."), (None, None, None), (1, "assistant", "No"), (1, "assistant", "No")]]
+    written(spark, folder, [(*r, "f", 1, 2) for r in turns], f"{CONV_SCHEMA}, fault string, pos int, cost long", "conversations")
     return str(folder)

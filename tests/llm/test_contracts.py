@@ -130,7 +130,7 @@ def test_values_of_repeated_rows(spark, repeated, name):
     assert found == Counter((i, *x) for (i, _), x in zip(docs, wanted(docs), strict=True))
 
 
-TABLE = {"op7_url_rules": "pages", "op8_chroma_alignment": "embeddings"}
+TABLE = {"op13_main_text": "pages", "op7_url_rules": "pages", "op8_chroma_alignment": "embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -145,6 +145,10 @@ def test_repeated_rows_and_null_ids(spark, repeated, name):
     n = spark.read.parquet(f"{repeated}/{TABLE.get(name, 'documents')}.parquet").count()
     if name == "op3_best_fit_packing":
         assert sum(r.start == 0 for r in rows) == n
+    elif name == "op11_conversation_repair":
+        assert sorted(r.conv_id or 0 for r in rows) == [0, 1, 2]
+    elif name == "op12_phrase_mining":
+        assert len({(r.lang, r.phrase) for r in rows}) == len(rows) > 0
     else:
         assert len(rows) == n
     if name != "op3_best_fit_packing":  # which task packs a row may differ from run to run

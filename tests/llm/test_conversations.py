@@ -100,7 +100,7 @@ def test_odd_conversations(spark, tmp_path):
     frame.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     expected = wanted(rows)
     far = expected.pop(1000)
-    mended = found(conversations.repair_all(conversations.damage(frame), frame))
+    mended = found(conversations.with_every(conversations.repair_conversations(conversations.damage(frame)), frame))
     assert mended.pop(1000)[1:] == far[1:]  # its gaps don't fit a long
     assert mended == expected
     hashed = found(QUERIES["op11_conversation_repair"](spark, str(tmp_path)))
@@ -123,7 +123,7 @@ def test_edges(spark, audit, rows):
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert conversations.repair_all(conversations.damage(none), none).collect() == []
+    assert conversations.with_every(conversations.repair_conversations(none), none).collect() == []
 
 
 def test_one_shuffle_in_the_jvm(spark, small):
