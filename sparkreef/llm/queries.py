@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreef.llm import conversations, line_dedup, media, mixing, packing, phrases, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from sparkreef.llm import conversations, html_text, line_dedup, media, mixing, packing, phrases, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from sparkreef.llm.common import table
 
 
@@ -95,6 +95,12 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_text.extract_text(pages.select("page_id", "url", "html"), html_text.train(pages))
+    return texts.select("row.page_id", "row.url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_fences": op2_quality_fences,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_main_text": op13_main_text,
 }
 
 
