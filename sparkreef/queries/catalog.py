@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars
-from sparkreef.operators import alerts, folds, reconcile, retention, rules, topn, validate
+from sparkreef.operators import alerts, folds, intervals, reconcile, retention, rules, topn, validate
 from sparkreef.queries import query, table
 from sparkreef.sources import sinks
 
@@ -207,14 +207,36 @@ def j16_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconciled(want, live.select("k", "up"), "k", F.col("desired.up") == F.col("live.up"))
 
 
-_RANGES = (((">=", "10"), ("<", "20")), ((">=", "30"), ("<", "35.5")))
-
-
-@query("""SELECT p_partkey, (p_size >= 10 AND p_size < 20) OR (p_size >= 30 AND (p_size < 35 OR (p_size = 35 AND p_partkey % 10 < 5))) AS affected FROM part""")
+@query("""WITH own AS (SELECT p_partkey, p_brand AS product, p_size * 100 + p_partkey % 10 AS v FROM part),
+    told AS (SELECT s_suppkey, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_nationkey % 5) AS product, s_suppkey % 7 AS form, (s_nationkey + 5) * 100 AS lo, (s_nationkey + 15) * 100 + 5 AS hi FROM supplier)
+    SELECT p_partkey, s_suppkey FROM own JOIN told USING (product) WHERE CASE form
+        WHEN 0 THEN v >= lo AND v < hi WHEN 1 THEN v BETWEEN lo AND hi WHEN 2 THEN v < lo OR v >= hi WHEN 3 THEN v IN (lo, lo + 2, hi)
+        WHEN 4 THEN v >= lo AND v < lo + 200 OR v >= hi AND v < hi + 300 WHEN 5 THEN v > hi AND v <> hi + 100 ELSE false END""")
 def j17_version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components against the ranges of an advisory."""
-    own = scalars.version(F.concat_ws(".", "p_size", F.col("p_partkey") % 10))
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.in_range(own, _RANGES).alias("affected"))
+    """Components against a table of advisories, each with a range of versions as people write them."""
+    components = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("product"), F.concat_ws(".", "p_size", F.col("p_partkey") % 10).alias("version"))
+    number = lambda c: F.col(c).cast("string")
+    told = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 5).cast("int"), (1 + F.col("s_nationkey") % 5).cast("int")).alias("product"),
+        (F.col("s_suppkey") % 7).alias("form"),
+        (F.col("s_nationkey") + 5).alias("lo"),
+        (F.col("s_nationkey") + 15).alias("hi"),
+    )
+    lo, hi, later = number("lo"), F.concat(number("hi"), F.lit(".5")), F.concat((F.col("hi") + 1).cast("string"), F.lit(".5"))
+    written = [
+        F.concat(F.lit(">= "), lo, F.lit(", < "), hi),
+        F.concat(F.lit("v"), lo, F.lit(".0 - v"), hi),
+        F.concat(F.lit("< "), lo, F.lit(" || >="), hi),
+        F.concat(lo, F.lit(", "), lo, F.lit(".2, "), hi),
+        F.concat(F.lit(">= "), lo, F.lit(" < "), (F.col("lo") + 2).cast("string"), F.lit(", >="), hi, F.lit(" < "), (F.col("hi") + 3).cast("string"), F.lit(".5")),
+        F.concat(F.lit("> "), hi, F.lit(" and != "), later),
+    ]
+    text = F.lit("all but a few")
+    for form, said in enumerate(written):
+        text = F.when(F.col("form") == form, said).otherwise(text)
+    met = intervals.affected(components, told.select("s_suppkey", "product", text.alias("affects")), "product", "version", "affects")
+    return met.select("p_partkey", "s_suppkey")
 
 
 @query("""SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)""")
