@@ -524,9 +524,14 @@ def examples(sample: list[str], made: int = MADE_PAGES, seed: int = SEED) -> lis
 
 
 def sampled(pages: DataFrame, most: int = SAMPLE) -> list[str]:
-    """The html of the pages with the least hashes, at most ``most``, none over MOST_CHARS."""
-    rows = pages.select("html").where(f"length(html) <= {MOST_CHARS}").withColumn("h", F.xxhash64("html"))
-    return [r.html for r in rows.orderBy("h", "html").limit(most).select("html").collect()]
+    """The html of the pages with the least hashes, at most ``most`` different ones, none over MOST_CHARS.
+
+    The hashes are found first, so that tasks send the driver nothing but the pages it takes.
+    """
+    rows = pages.select("html", F.xxhash64("html").alias("h")).where(f"length(html) <= {MOST_CHARS}")
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    taken = rows.where(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("html").alias("html"))
+    return [r.html for r in taken.orderBy("h").collect()]
 
 
 def train(pages: DataFrame, most: int = SAMPLE, made: int = MADE_PAGES) -> Network:
