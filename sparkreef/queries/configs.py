@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars, text
 from sparkreef.operators import reconcile
+from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
-from sparkreef.sources import configs, feeds, sinks
+from sparkreef.sources import bodies, configs, feeds, sinks
 
 
 @query(
@@ -223,17 +227,26 @@ def s10_advisory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s_suppkey AS source, s_suppkey % 5 <> 0 AS ok, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 3 ELSE 0 END AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'not a JSON object' END AS error FROM supplier"""
+    """SELECT s_nationkey AS source, s_nationkey % 5 <> 0 AS ok, CASE WHEN s_nationkey % 5 <> 0 THEN count(*) ELSE 0 END AS n,
+    CASE WHEN s_nationkey % 5 = 0 THEN 'not a feed' END AS error FROM supplier GROUP BY 1"""
 )
 def s13_isolated_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source is read by itself: one that can't be is an error in its row, the others go on."""
-    n = (F.col("s_suppkey") % 3).cast("int")
-    items = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("id")))).otherwise(F.array().cast("array<struct<id:int>>"))
-    body = F.when(F.col("s_suppkey") % 5 == 0, "<html>").otherwise(F.to_json(F.struct(items.alias("items"))))
-    bodies = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), body.alias("body"))
-    read = configs.state_or_fresh(bodies, "body", "items array<struct<id:int>>", {"items": F.array().cast("array<struct<id:int>>")})
-    error = F.when(~F.col("readable"), "not a JSON object")
-    return read.select("source", F.col("readable").alias("ok"), F.size("items").cast("long").alias("n"), error.alias("error"))
+    """Every source is a partition of its own: a feed of each nation's suppliers, of which some are pages instead.
+
+    Spark writes the bodies to a shared folder, from where the source reads them, a file each.
+    """
+    item = F.concat(F.lit("<item><title>"), "s_name", F.lit("</title><guid>"), "s_suppkey", F.lit("</guid></item>"))
+    told = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    feed = F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>"))
+    body = F.when(F.col("s_nationkey") % 5 == 0, "<!DOCTYPE html><html></html>").otherwise(feed)
+    path = f"{shared_folder(spark)}/s13-{uuid.uuid4().hex}"
+    told.select("s_nationkey", body.alias("body")).write.partitionBy("s_nationkey").text(path)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), "s_nationkey").collect()  # one a nation
+    spark.dataSource.register(bodies.Bodies)
+    named = json.dumps({str(r.s_nationkey): r.uri for r in files})
+    read = spark.read.format("bodies").option("sources", named).load()
+    scanned = feeds.parsed_feeds(read.select(F.col("source").cast("int").alias("source"), "body"), "body")
+    return scanned.select("source", "ok", F.size("items").cast("long").alias("n"), "error")
 
 
 @query(

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from sparkreef.operators import curation, folds
 from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
-from sparkreef.sources import sinks
-from sparkreef.streaming import digest
+from sparkreef.sources import manifests
+from sparkreef.streaming import digest, progress
 
 BATCH = 40
 CEILING = 60_000
@@ -172,16 +172,16 @@ def r07_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT user_id AS run, event_id, event_type FROM events)
+    """WITH e AS (SELECT user_id * 10 + event_id // 700 % 10 AS run, event_id, event_type FROM events),
+    c AS (SELECT *, coalesce(max((event_type IN ('purchase', 'error'))::INT) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e)
     SELECT run, count(*) AS steps, arg_max(event_type, event_id) AS last, arg_max(event_type, event_id) IN ('purchase', 'error') AS ended,
-           CASE WHEN arg_max(event_type, event_id) IN ('purchase', 'error') THEN max(event_id) END AS ended_at FROM e GROUP BY run"""
+           CASE WHEN arg_max(event_type, event_id) IN ('purchase', 'error') THEN max(event_id) END AS ended_at FROM c WHERE done = 0 GROUP BY run"""
 )
 def r09_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's log is only appended to; its state is the last entry, and some states are final."""
-    last = F.max_by("event_type", "event_id")
-    told = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("steps"), last.alias("last"), F.max("event_id").alias("at"))
-    ended = F.col("last").isin("purchase", "error")
-    return told.select("run", "steps", "last", ended.alias("ended"), F.when(ended, F.col("at")).alias("ended_at"))
+    """A run's log is only appended to; its state is its first final entry, else its last, as replayed from the log."""
+    run = F.col("user_id") * 10 + F.floor(F.col("event_id") / 700) % 10
+    entries = table(spark, sf_dir, "events").select(run.cast("long").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
+    return progress.states(entries, final=("purchase", "error"))
 
 
 @query("""SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
@@ -190,8 +190,21 @@ def k01_atomic_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/k01-{uuid.uuid4().hex}"
     orders = table(spark, sf_dir, "orders")
     for rows in (orders, orders.where("o_orderstatus <> 'P'")):
-        sinks.write_if_changed(rows.groupBy("o_custkey").agg(F.count("*").alias("n")), path)
-    return spark.read.parquet(path)
+        manifests.replace_if_changed(rows.groupBy("o_custkey").agg(F.count("*").alias("n")), path)
+    return manifests.read(spark, path)
+
+
+@query("""SELECT o_custkey, max(o_orderdate)::DATE AS newest, sum(o_totalprice)::DECIMAL(38,2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING max(o_orderkey) > 0""")
+def k13_staged_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fails its checks stays in quarantine: the table is the last version that passed, not the last written."""
+    path = f"{shared_folder(spark)}/k13-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").withColumn("price", F.col("o_totalprice").cast("decimal(18,2)"))
+    totals = [F.max("o_orderdate").cast("date").alias("newest"), F.sum("price").cast("decimal(38,2)").alias("total")]
+    good = orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(*totals)
+    broken = orders.groupBy("o_custkey").agg(F.lit(None).cast("date").alias("newest"), totals[1])
+    for rows in (broken, good, broken):
+        manifests.promote(rows, path, lambda written: written.where("newest is null or total is null"))
+    return manifests.read(spark, path)
 
 
 def digest_runs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -214,4 +227,4 @@ def r10_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT DISTINCT md5(text) AS key FROM documents""")
 def k04_state_after_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run leaves as state are the keys of what it has written."""
-    return spark.read.parquet(digest_runs(spark, sf_dir)[1]).select("key")
+    return spark.read.parquet(f"{digest_runs(spark, sf_dir)[1]}/keys").select("key")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How often macros within macros are looked up. A fixed value.
 MACRO_PASSES = 3
 
 
@@ -15,12 +16,63 @@ def texts_at(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+_LINES = "struct<section:string,id:string,field:string,macros:array<struct<key:string,value:string>>,told:array<struct<id:string,field:string,line:string>>>"
+
+
+def _unquoted(value: Column) -> Column:
+    value = F.trim(value)
+    quoted = (F.length(value) > 1) & F.substring(value, 1, 1).isin("'", '"') & (F.substring(value, 1, 1) == F.substring(value, -1, 1))
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def _noted(state: Column, line: Column) -> Column:
+    """One more line: how far it is indented tells what it belongs to.
+
+    At the margin a section begins; under models, two blanks in, a model does, and four in, one of its
+    fields; what is further in goes on with that field. Under macros each line is a macro.
+    """
+    body = F.trim(line)
+    depth = F.length(line) - F.length(F.ltrim(line))
+    name, rest = _unquoted(F.substring_index(body, ":", 1)), F.trim(F.regexp_replace(body, "^[^:]*:", ""))
+    within = F.when(depth == 0, 0).when(state["section"] == "macros", 1).when(state["section"] != "models", 9).when(depth <= 2, 2).when(depth <= 4, 3).otherwise(4)
+    opens = F.when(rest.isin("", "|", "|-", ">", ">-"), F.lit(None).cast("string")).otherwise(rest)
+    macro = F.struct(name.alias("key"), _unquoted(rest).alias("value"))
+    field = F.struct(state["id"].alias("id"), name.alias("field"), opens.alias("line"))
+    more = F.struct(state["id"].alias("id"), state["field"].alias("field"), body.alias("line"))
+    model = F.struct(name.alias("id"), F.lit("").alias("field"), F.lit(None).cast("string").alias("line"))
+    nothing = F.lit(None).cast("string")
+    changed = F.struct(
+        F.when(within == 0, name).otherwise(state["section"]).alias("section"),
+        F.when(within == 0, nothing).when(within == 2, name).otherwise(state["id"]).alias("id"),
+        F.when(within.isin(0, 2), nothing).when(within == 3, name).otherwise(state["field"]).alias("field"),
+        F.when(within == 1, F.array_append(state["macros"], macro)).otherwise(state["macros"]).alias("macros"),
+        F.when(within == 2, F.array_append(state["told"], model))
+        .when((within == 3) & state["id"].isNotNull(), F.array_append(state["told"], field))
+        .when((within == 4) & state["field"].isNotNull(), F.array_append(state["told"], more))
+        .otherwise(state["told"])
+        .alias("told"),
+    )
+    return F.when((body == "") | body.startswith("#"), state).otherwise(changed.cast(_LINES))
+
+
+def _listed(lines: Column) -> Column:
+    """The values of a list, in brackets or a dash each."""
+    inline = F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~x.startswith("-")), " "), r"^\s*\[|\]\s*$", "")
+    dashed = F.transform(F.filter(lines, lambda x: x.startswith("-")), lambda x: _unquoted(F.substring(x, F.lit(2), F.length(x))))
+    return F.filter(F.concat(F.transform(F.split(inline, ","), _unquoted), dashed), lambda x: x != "")
+
+
 def expanded(command: Column, macros: Column) -> Column:
-    """``${name}`` replaced by a map's values, three times over; unknown names stay."""
+    """``${name}`` replaced by what the last macro of that name says, and again what that brings; unknown names stay."""
     for _ in range(MACRO_PASSES):
-        command = F.aggregate(
-            F.map_entries(macros), command, lambda c, m: F.replace(c, F.concat(F.lit("${"), m["key"], F.lit("}")), m["value"])
-        )
+        named = F.array_distinct(F.regexp_extract_all(command, F.lit(r"\$\{([^${}]+)\}"), F.lit(1)))
+
+        def put(text: Column, name: Column) -> Column:
+            said = F.try_element_at(F.filter(macros, lambda m: m["key"] == name), F.lit(-1))["value"]
+            spot = F.concat(F.lit("${"), name, F.lit("}"))
+            return F.replace(text, spot, F.coalesce(said, spot))
+
+        command = F.aggregate(named, command, put)
     return command
 
 
@@ -36,32 +88,34 @@ def model_entries(configs: DataFrame, text: str, flags: Sequence[str], keep: Seq
             cmd: |
               words, ${name} stands for a macro
 
-    ``flags`` that a command has are kept with their values, of ``-m`` the last part of the path.
+    Texts are read line by line, by indentation; lines may end in CR LF, quotes may be single or left out,
+    lists may have a dash a line. Of macros, models' fields and flags given twice the last, the last and
+    the first count; a model without a command has an empty one. ``flags`` that a command has are kept
+    with the word that follows, of ``-m`` the last part of the path. A null text has no models.
     """
-    section = lambda name: F.regexp_extract(text, rf"(?ms)^{name}:\n(.*?)(?=^\S|\z)", 1)
-    pairs = F.regexp_extract_all(section("macros"), F.lit(r'(?m)^\s+"[\w-]+":\s*".*"\s*$'), F.lit(0))
-    part = lambda x, n: F.regexp_extract(x, r'"([\w-]+)":\s*"(.*)"', n)
-    macros = F.map_from_entries(F.transform(pairs, lambda x: F.struct(part(x, 1), part(x, 2))))
-    blocks = F.regexp_extract_all(section("models"), F.lit(r'(?m)^  "[^"]+":\n(?:(?:    .*|\s*)\n)+'), F.lit(0))
-    rows = configs.select(*keep, macros.alias("_macros"), F.explode(blocks).alias("_block"))
-    own = lambda pattern: F.regexp_extract("_block", pattern, 1)
-    lines = F.split(own(r"(?m)^    cmd: \|\n((?:^      .*\n?)+)"), "\n")
-    command = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
-    rows = rows.select(
-        *keep,
-        own(r'^  "([^"]+)"').alias("id"),
-        F.coalesce(F.nullif(own(r'name:\s*"([^"]+)"'), F.lit("")), own(r'^  "([^"]+)"')).alias("name"),
-        F.transform(
-            F.regexp_extract_all(own(r"aliases:\s*\[(.*?)\]"), F.lit('"[^"]+"'), F.lit(0)), lambda x: F.replace(x, F.lit('"'), F.lit(""))
-        ).alias("aliases"),
-        expanded(command, F.col("_macros")).alias("command"),
-    )
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("section"), none.alias("id"), none.alias("field"), F.array().alias("macros"), F.array().alias("told")).cast(_LINES)
+    lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
+    read = configs.select(*keep, F.aggregate(lines, start, _noted).alias("_read"))
+    ids = F.array_distinct(F.transform("_read.told", lambda t: t["id"]))
+    rows = read.select(*keep, "_read", F.explode(ids).alias("id"))
+    own = F.filter("_read.told", lambda t: t["id"] == F.col("id"))
+
+    def field(name: str) -> Column:
+        return F.filter(F.transform(F.filter("_own", lambda t: t["field"] == name), lambda t: t["line"]), lambda x: x.isNotNull())
+
+    rows = rows.withColumn("_own", own)
+    rows = rows.withColumns({"_aliases": field("aliases"), "_name": F.try_element_at(field("name"), F.lit(-1)), "_cmd": F.array_join(field("cmd"), " ")})
+    rows = rows.withColumn("command", expanded(F.col("_cmd"), F.col("_read.macros")))
+    words = F.split("command", r"\s+")
     found = []
     for flag in flags:
-        value = F.nullif(F.regexp_extract("command", rf"(?:^|\s){flag}\s+(\S+)", 1), F.lit(""))
+        at = F.array_position(words, flag)
+        value = F.when(at > 0, F.get(words, at.cast("int")))
         found.append(F.struct(F.lit(flag).alias("key"), (F.substring_index(value, "/", -1) if flag == "-m" else value).alias("value")))
     told = F.map_from_entries(F.filter(F.array(*found), lambda x: x["value"].isNotNull()))
-    return rows.withColumn("flags", told)
+    name = F.coalesce(F.nullif(_unquoted(F.col("_name")), F.lit("")), F.col("id"))
+    return rows.select(*keep, "id", name.alias("name"), _listed(F.col("_aliases")).alias("aliases"), "command", told.alias("flags"))
 
 
 def state_or_fresh(bodies: DataFrame, body: str, schema: str, fresh: dict[str, Column]) -> DataFrame:

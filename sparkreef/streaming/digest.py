@@ -6,16 +6,12 @@ writes the same files again and loses nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkreef.operators import dedupe
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+from sparkreef.streaming import seen
 
 
 def run_digest(items: DataFrame, key: str, order: str, out: str, state: str, checkpoint: str, first: int = 0) -> StreamingQuery:
@@ -23,18 +19,16 @@ def run_digest(items: DataFrame, key: str, order: str, out: str, state: str, che
 
     ``items`` is a streaming frame; ``out`` and ``state`` get a folder per batch. Batches are numbered
     from ``first``, for a run that starts anew, with a checkpoint of its own, beside a state that is there.
+    The state is kept by ``seen``: a batch reads only the keys that its filters can't rule out.
     """
     spark = items.sparkSession
 
     def batch(rows: DataFrame, n: int) -> None:
         number = first + n
         fresh = dedupe.first_wins(rows, [key], [order])
-        if _there(spark, state):
-            seen = spark.read.parquet(state).where(F.col("batch") < number)
-            fresh = dedupe.unseen(fresh, seen, [key])
+        fresh = seen.unseen(fresh, key, state, before=number)
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        written = spark.read.parquet(f"{out}/batch={number}")
-        written.select(key).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        seen.add(spark.read.parquet(f"{out}/batch={number}"), key, state, number)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
