@@ -261,105 +261,105 @@ def packed_text(text: str) -> Column:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(hash, doc): each anchor hash of a document once, from (id, doc, rid, packed, copied)."""
+    """(hash, doc, salt): each anchor hash of a text once, from (id, doc, salt, rid, packed, settled)."""
     unpacked = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc, packed, copied in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
-            if not copied:
+        hashes, docs, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for doc, salt, packed, settled in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5)), strict=True):
+            if not settled:
                 found = np.unique(anchor_keys(anchors(np.frombuffer(unpacked(packed), np.uint8), length, gram)[1]))
                 hashes.append(found)
                 docs.append(np.full(len(found), doc))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs))], ["hash", "doc"]
-        )
+                salts.append(np.full(len(found), salt, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs, salts)], ["hash", "doc", "salt"])
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """Of (hash, doc) sorted by both: the rows of hashes that several documents have, and whether
-    over ``crowd`` do. Rows wait for their hash's verdict, ``crowd`` of them at most."""
-    names = ["hash", "doc", "crowded"]
-    hashes, docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Of (hash, doc, salt) in order: the rows of hashes that several documents have, and whether
+    over ``crowd`` texts do. Rows wait for their hash's verdict, ``crowd`` of them at most."""
+    names = ["hash", "doc", "salt", "crowded"]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     crowded = None  # the hash that is known to be
 
-    def told(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    def told(columns: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, docs, _ = columns
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         ends = np.concatenate([starts[1:], [len(hashes)]])
         known = hashes[starts] == crowded if crowded is not None else np.zeros(len(starts), bool)
         several = (docs[starts] != docs[ends - 1]) | known
         many = (ends - starts > crowd) | known
         keep = np.repeat(several, ends - starts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hashes[keep]), pa.array(docs[keep]), pa.array(np.repeat(many, ends - starts)[keep])], names
-        )
+        return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(np.repeat(many, ends - starts)[keep])], names)
 
     for batch in batches:
-        hashes = np.concatenate([hashes, batch.column(0).to_numpy()])
-        docs = np.concatenate([docs, batch.column(1).to_numpy()])
-        if not len(hashes):
+        held = [np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(held)]
+        if not len(held[0]):
             continue
-        whole = int(np.searchsorted(hashes, hashes[-1]))
+        whole = int(np.searchsorted(held[0], held[0][-1]))
         if whole:
-            yield told(hashes[:whole], docs[:whole])
-            hashes, docs = hashes[whole:], docs[whole:]
-        if len(hashes) > crowd:
-            crowded = hashes[0]
-            yield told(hashes, docs)
-            hashes, docs = hashes[:0], docs[:0]
-    if len(hashes):
-        yield told(hashes, docs)
+            yield told([c[:whole] for c in held])
+            held = [c[whole:] for c in held]
+        if len(held[0]) > crowd:
+            crowded = held[0][0]
+            yield told(held)
+            held = [c[:0] for c in held]
+    if len(held[0]):
+        yield told(held)
 
 
-#: place is a row's number under its document and where the context starts in its text; number is the
+#: place is a text's number under its document and salt and where the context starts in its text; number is the
 #: anchor's place in the context or, where that is settled and its bytes stay behind, the context's size.
-_CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("number", pa.int32()), ("context", pa.binary())])
+_CONTEXT = pa.schema(
+    [("key", pa.int64()), ("doc", pa.int64()), ("salt", pa.int32()), ("place", pa.int64()), ("number", pa.int32()), ("context", pa.binary())]
+)
 _START_BITS = 40
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of the shared anchors, from (id, doc, rid, packed, copied, shared): a window each where
+    """Contexts of the shared anchors, from (id, doc, salt, rid, packed, settled, shared): a window each where
     crowded. Of equal contexts in a batch the first document's goes on; the others are settled, so
-    their bytes stay behind and they are dealt out by document."""
+    their bytes stay behind and they are dealt out by document and salt."""
     unpacked = zstandard.ZstdDecompressor().decompress
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         owners: dict[tuple, int] = {}
-        for key, doc, _, _, left, context in rows:
+        for key, doc, _, _, _, left, context in rows:
             kind = (key, left, context)
             if owners.setdefault(kind, doc) > doc:
                 owners[kind] = doc
         columns = [[] for _ in _CONTEXT]
-        for key, doc, rid, start, left, context in rows:
+        for key, doc, salt, rid, start, left, context in rows:
             late = owners[key, left, context] < doc
             place = rid << _START_BITS | start
-            row = (doc * 0x9E3779B1 % _LAST, doc, place, len(context), None) if late else (key, doc, place, left, context)
+            own = (doc * 0x9E3779B1 + salt * 0x85EBCA77) % _LAST
+            row = (own, doc, salt, place, len(context), None) if late else (key, doc, salt, place, left, context)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
 
     for batch in batches:
         rows, held = [], 0
-        docs, rids, blobs, copies, lists = (batch.column(i) for i in range(1, 6))
+        docs, salts, rids, blobs, settled, lists = (batch.column(i) for i in range(1, 7))
         shared = lists.flatten()
         known, crowd = shared.field(0).to_numpy(), shared.field(1).to_numpy(zero_copy_only=False)
         ends = np.cumsum([len(x) for x in lists]).tolist()
         begin = 0
-        for doc, rid, packed, copied, end in zip(docs.to_pylist(), rids.to_pylist(), blobs.to_pylist(), copies.to_pylist(), ends, strict=True):
+        for doc, salt, rid, packed, done, end in zip(*(c.to_pylist() for c in (docs, salts, rids, blobs, settled)), ends, strict=True):
             mine, many = known[begin:end], crowd[begin:end]
             begin = end
-            if copied:
+            if done:
                 continue
             raw = unpacked(packed)
             places, hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
             hashes = anchor_keys(hashes)
             plain, crowded = np.isin(hashes, mine[~many]), np.isin(hashes, mine[many])
             for key, place, a, b in zip(*(x[plain].tolist() for x in (hashes, places, first, last)), strict=True):
-                rows.append((key, doc, rid, a, place - a, raw[a : b + length]))
+                rows.append((key, doc, salt, rid, a, place - a, raw[a : b + length]))
             for a, b in zip(first[crowded].tolist(), last[crowded].tolist(), strict=True):
                 for start in range(a, b + 1):
                     window = raw[start : start + length]
                     key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, doc, rid, start, 0, window))
+                    rows.append((key, doc, salt, rid, start, 0, window))
             held += len(raw)
             if held > BATCH_BYTES:
                 yield told(rows)
@@ -372,20 +372,20 @@ class _Block:
 
     def __init__(self):
         self.contexts, self.left, self.group, self.docs = [], [], [], []
-        self.places: list[list[tuple[int, int]]] = []  # (rid, start) of each time the document has it
+        self.places: list[list[tuple[int, int, int]]] = []  # (salt, rid, start) of each time the document has it
 
-    def add(self, group: int, doc: int, rid: int, start: int, left: int, context: bytes) -> None:
+    def add(self, group: int, doc: int, salt: int, rid: int, start: int, left: int, context: bytes) -> None:
         self.docs.append(doc)
-        self.places.append([(rid, start)])
+        self.places.append([(salt, rid, start)])
         self.group.append(group)
         self.left.append(left)
         self.contexts.append(context)
 
-    def again(self, rid: int, start: int) -> None:
+    def again(self, salt: int, rid: int, start: int) -> None:
         """The document of the last kind has it at another place, too."""
-        self.places[-1].append((rid, start))
+        self.places[-1].append((salt, rid, start))
 
-    def spans(self, length: int) -> Iterator[tuple[int, int, int, int]]:
+    def spans(self, length: int) -> Iterator[tuple[int, int, int, int, int]]:
         group = np.array(self.group)
         several = np.zeros(len(group), bool)
         same = group[1:] == group[:-1]
@@ -397,42 +397,42 @@ class _Block:
         doc = np.array(self.docs, np.int64)[at]
         found, place = repeated_windows([self.contexts[i] for i in at], np.array(self.left)[at], group[at], doc, length)
         for i, p in zip(at[found].tolist(), place.tolist(), strict=True):
-            for rid, start in self.places[i]:
-                yield self.docs[i], rid, start + p, start + p + length
+            for salt, rid, start in self.places[i]:
+                yield self.docs[i], salt, rid, start + p, start + p + length
 
 
-def joined_spans(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Spans (doc, rid, start, end), those that touch made one."""
+def joined_spans(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Spans (doc, salt, rid, start, end), those that touch made one."""
     out: list[list[int]] = []
-    for doc, rid, start, end in sorted(rows):
-        if out and out[-1][0] == doc and out[-1][1] == rid and start <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], end)
+    for *own, start, end in sorted(rows):
+        if out and out[-1][:3] == own and start <= out[-1][4]:
+            out[-1][4] = max(out[-1][4], end)
         else:
-            out.append([doc, rid, start, end])
+            out.append([*own, start, end])
     return [tuple(x) for x in out]
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeated spans, from contexts sorted by key, anchor's place, bytes and document."""
-    names = ["doc", "rid", "start", "end"]
+    names = ["doc", "salt", "rid", "start", "end"]
     block, group, head = _Block(), 0, None  # head: (key, left, context, document) of the current kind
 
     def batch_of(rows):
-        columns = zip(*joined_spans(rows), strict=True) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        columns = zip(*joined_spans(rows), strict=True) if rows else ([], [], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "salt" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
     for batch in batches:
         spans = []
-        for key, doc, place, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, doc, salt, place, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rid, start = place >> _START_BITS, place & (1 << _START_BITS) - 1
             if context is None:
-                spans.append((doc, rid, start, start + left))
+                spans.append((doc, salt, rid, start, start + left))
                 continue
             if head is not None and head[0] == key and head[1] == left and head[2] == context:
                 if doc > head[3]:
-                    spans.append((doc, rid, start, start + len(context)))
+                    spans.append((doc, salt, rid, start, start + len(context)))
                 else:
-                    block.again(rid, start)
+                    block.again(salt, rid, start)
                 continue
             if head is None or head[0] != key:
                 if len(block.docs) >= BLOCK:
@@ -440,17 +440,17 @@ def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
                     block = _Block()
                 group += 1
             head = (key, left, context, doc)
-            block.add(group, doc, rid, start, left, context)
+            block.add(group, doc, salt, rid, start, left, context)
         yield batch_of(spans)
     yield batch_of(list(block.spans(length)))
 
 
 def copied_texts(own: DataFrame) -> DataFrame:
-    """(doc, copies): for each document with a text that a smaller one has too, the hashes of these."""
-    both = own.select("doc", "rid", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("rid2"))
+    """(doc, salt, copies): for each document with a text that a smaller one has too, the hashes of these."""
+    both = own.select("doc", "salt", "rid", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("rid2"))
     firsts = both.groupBy("rid", "rid2").agg(F.min("doc").alias("first"))
     late = both.join(firsts, ["rid", "rid2"]).where("doc > first")
-    return late.groupBy("doc").agg(F.collect_set("rid").alias("copies"))
+    return late.groupBy("doc", "salt").agg(F.collect_set("rid").alias("copies"))
 
 
 def repeated_spans(
@@ -461,47 +461,52 @@ def repeated_spans(
     gram: int = GRAM,
     crowd: int = CROWD,
 ) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` as id, doc, rid, packed and copied; spans by doc).
+    """(``docs`` as id, doc, salt, rid, packed, copied and settled; spans by doc and salt).
 
-    packed is the compressed text; copied tells whole texts that a smaller document has. The second has an array of (rid, start,
-    end) for each other document with repeated bytes, unmerged. Texts are dealt out by document
-    once; each pass reads all columns of the first frame, so that Spark takes that exchange again.
+    packed is the compressed text; copied tells whole texts that a smaller document has, settled also
+    all but the first of the rows that repeat one. The second has an array of (rid, start, end) for each
+    other document with repeated bytes, unmerged. Texts are dealt out once, by document and salt (32
+    bits of the text's hash), so that the rows of an id that many share, or of none, don't meet; each
+    pass reads all columns of the first frame, so that Spark takes that exchange again.
     """
     own = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
+        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("salt"),
         text_hash(text_col).alias("rid"),
         F.col(text_col).alias("text"),
     )
     copied = F.coalesce(F.array_contains("copies", F.col("rid")), F.lit(False)).alias("copied")
-    packed = own.select("id", "doc", "rid", packed_text("text").alias("packed"))
-    dealt = packed.repartition("doc").join(copied_texts(own), "doc", "left").select("id", "doc", "rid", "packed", copied)
-    # From here on a row is known by its document and the place of its text among those under the id.
-    place = F.dense_rank().over(W.partitionBy("doc").orderBy("rid")).cast("long")
-    dealt = dealt.select("id", "doc", place.alias("rid"), "packed", "copied")
-    rows = dealt.mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long")
+    packed = own.select("id", "doc", "salt", "rid", packed_text("text").alias("packed"))
+    dealt = packed.repartition("doc", "salt").join(copied_texts(own), ["doc", "salt"], "left").select("id", "doc", "salt", "rid", "packed", copied)
+    # From here on a text is known by its document, its salt and its place among those that share both.
+    among = W.partitionBy("doc", "salt").orderBy("rid")
+    repeats = F.coalesce(F.lag("rid").over(among) == F.col("rid"), F.lit(False))
+    dealt = dealt.select("id", "doc", "salt", F.dense_rank().over(among).cast("long").alias("rid"), "packed", "copied", (F.col("copied") | repeats).alias("settled"))
+    texts = dealt.select("id", "doc", "salt", "rid", "packed", "settled", "copied")
+    rows = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram), "hash long, doc long, salt int")
     shared = (
         rows.repartition("hash")
-        .sortWithinPartitions("hash", "doc")
-        .mapInArrow(lambda b: _shared_rows(b, crowd), "hash long, doc long, crowded boolean")
-        .repartition("doc")
-        .groupBy("doc")
+        .sortWithinPartitions("hash", "doc", "salt")
+        .mapInArrow(lambda b: _shared_rows(b, crowd), "hash long, doc long, salt int, crowded boolean")
+        .repartition("doc", "salt")
+        .groupBy("doc", "salt")
         .agg(F.collect_list(F.struct("hash", "crowded")).alias("shared"))
     )
     contexts = (
-        dealt.join(shared, "doc")
-        .select("id", "doc", "rid", "packed", "copied", "shared")
+        dealt.join(shared, ["doc", "salt"])
+        .select("id", "doc", "salt", "rid", "packed", "settled", "shared", "copied")
         .mapInArrow(
             lambda b: _context_rows(b, length, gram),
-            "key long, doc long, place long, number int, context binary",
+            "key long, doc long, salt int, place long, number int, context binary",
         )
     )
     spans = (
         contexts.repartition("key")
         .sortWithinPartitions("key", "number", "context", "doc")
-        .mapInArrow(lambda b: _span_rows(b, length), "doc long, rid long, start long, end long")
-        .repartition("doc")
-        .groupBy("doc")
+        .mapInArrow(lambda b: _span_rows(b, length), "doc long, salt int, rid long, start long, end long")
+        .repartition("doc", "salt")
+        .groupBy("doc", "salt")
         .agg(F.collect_list(F.struct("rid", "start", "end")).alias("spans"))
     )
     return dealt, spans
@@ -509,8 +514,8 @@ def repeated_spans(
 
 def removed_runs(spans: list[dict] | None, rid: int) -> list[tuple[int, int]]:
     """A row's spans, merged."""
-    own = [(0, 0, s["start"], s["end"]) for s in spans or () if s["rid"] == rid]
-    return [(a, b) for _, _, a, b in joined_spans(own)]
+    own = [(0, 0, 0, s["start"], s["end"]) for s in spans or () if s["rid"] == rid]
+    return [(a, b) for *_, a, b in joined_spans(own)]
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -531,7 +536,7 @@ def dedup_substrings(
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row; kept are the bytes that remain."""
     dealt, spans = repeated_spans(docs, id_col, text_col, length, gram, crowd)
-    marked = dealt.join(spans, "doc", "left").select("id", "doc", "rid", "packed", "copied", "spans")
+    marked = dealt.join(spans, ["doc", "salt"], "left").select("id", "doc", "rid", "packed", "copied", "spans", "settled", "salt")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = zstandard.ZstdDecompressor().decompress

@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +158,20 @@ def test_rows_that_share_an_id_keep_their_own_spans(spark):
     assert [x[2] for x in found if x[0] in (1, 3, 9)] == [0, 200, 160]
 
 
+@pytest.mark.parametrize("crowd", [2, 1 << 15])
+def test_a_third_without_ids_and_an_id_that_many_share(spark, crowd):
+    """Null and shared ids lose what smaller ids have, in each row by itself; rows that repeat alike."""
+    rng = random.Random(23)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passages = [made(rng.randint(60, 300)) for _ in range(8)]
+    text = lambda: "".join(rng.choice(passages)[rng.randint(0, 40) :] + made(rng.choice([0, 20])) for _ in range(rng.randint(0, 4)))
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, text()) for i in range(180)]
+    rows += rows[:9] * 3
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd)
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in out.collect())
+    assert found == Counter((i, *x) for (i, _), x in zip(rows, brute.substring_rows(rows), strict=True))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=12), min_size=1, max_size=12))
 def test_suffix_sort_orders_strings(strings):
