@@ -45,6 +45,11 @@ BASE64_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
 BASE64_BLANKS = re.compile(r"\\n|[\s\\]")
 #: What base64 of a DER sequence or of an OpenSSH key begins with.
 KEY_BEGINS = ("M", "b3Blbn")
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+OPENSSH_NAME = re.compile(rb"[a-z0-9@.-]+")
+OPENSSH_TYPE = re.compile(rb"\0\0\0.(?:ssh-|ecdsa-|sk-)", re.S)
+#: No private key takes as many bytes (16,384 bits of RSA take under 10,000); what claims more isn't followed.
+MOST_KEY = 1 << 14
 UPPER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{22,}(?![0-9A-Fa-f])")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -91,6 +96,19 @@ def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]
     return found
 
 
+def may_be_der_key(head: bytes, at: int, size: int) -> bool:
+    """Whether the first fields of a sequence of ``size`` bytes, as far as ``head`` holds them, fit a key."""
+    if head[at : at + 1] != b"\x30" and (head[at : at + 2] != b"\x02\x01" or head[at + 2 : at + 3] > b"\x03"):
+        return False
+    while at + 6 <= len(head):
+        octets = head[at + 1] & 0x7F if head[at + 1] >= 0x80 else 0
+        length = int.from_bytes(head[at + 2 : at + 2 + octets], "big") if octets else head[at + 1]
+        at += 2 + octets + length
+        if octets > 4 or at > size:
+            return False
+    return True
+
+
 def is_der_key(data: bytes) -> bool:
     """A sequence over the whole of ``data`` whose elements' lengths add up, at the next level too: one
     that begins with a small version number (PKCS #1, PKCS #8, SEC 1), or a cipher and an octet string
@@ -113,18 +131,56 @@ def is_der_key(data: bytes) -> bool:
     return len(fields) > 2 or tags[1] == 0x04 and data[fields[0][1]] == 1 and 20 <= secret <= 66
 
 
+def openssh_reach(data: bytes) -> tuple[int | None, bool]:
+    """How far an OpenSSH key that ``data`` begins reaches, and whether that is its end.
+
+    While the end isn't told yet, the first is where the field ends that has to be read next; None if
+    what is there can't be such a key: after the magic a cipher, a KDF, its options, a number of keys,
+    a public blob each with a type that fits, and the private section, in whole cipher blocks and, where
+    there is no cipher, with its check number twice.
+    """
+
+    def size_at(at: int) -> int | None:
+        return int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else None
+
+    at, fields = len(OPENSSH_MAGIC), []
+    if not data.startswith(OPENSSH_MAGIC[: len(data)]):
+        return None, False
+    count, want = None, 3
+    while len(fields) < want:
+        if count is None and len(fields) == 3:
+            break
+        if (size := size_at(at)) is None:
+            return at + 4, False
+        end = at + 4 + size
+        if size > MOST_KEY or len(fields) < 2 and not 0 < size <= 64:
+            return None, False
+        if count is not None and len(fields) == want - 1:  # the private section
+            if size % 8 or size < 16:
+                return None, False
+            if fields[0] == b"none" and at + 12 <= len(data) and data[at + 4 : at + 8] != data[at + 8 : at + 12]:
+                return None, False
+            return end, True
+        if end > len(data):
+            return end, False
+        fields.append(data[at + 4 : end])
+        at = end
+        if len(fields) == 2 and not (OPENSSH_NAME.fullmatch(fields[0]) and fields[1] in (b"none", b"bcrypt")):
+            return None, False
+        if len(fields) > 3 and not OPENSSH_TYPE.match(fields[-1]):
+            return None, False
+        if len(fields) == 3:
+            if (count := size_at(at)) is None:
+                return at + 4, False
+            if not 1 <= count <= 16:
+                return None, False
+            want, at = 3 + count + 1, at + 4
+    return None, False
+
+
 def is_openssh_key(data: bytes) -> bool:
-    """The OpenSSH container: magic, then length-prefixed cipher, KDF, options and a key count."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        if at > len(data):
-            return False
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+    """Whether ``data`` is an OpenSSH key, all of it."""
+    return data.startswith(OPENSSH_MAGIC) and openssh_reach(data) == (len(data), True)
 
 
 def is_key(data: bytes | None) -> bool:
@@ -164,27 +220,38 @@ def is_pem_key(body: str) -> bool:
 def key_end(text: str, start: int, end: int) -> int | None:
     """Where the key ends whose base64 begins in ``start`` to ``end``; lines may follow that belong to it.
 
-    Lines are added while the sequence's own length asks for more; an OpenSSH key, which doesn't tell
-    its length, is reported by its first line where that holds its fields.
+    The head tells how far the key reaches, at once or field by field; lines are added until there is
+    that much, and what doesn't begin like a key takes none.
     """
     run = text[start:end]
-    if is_key(unbase64(run)):
-        return end
-    head = unbase64(run.rstrip("=")[:12]) or b""
-    size = None
-    if head[:1] == b"\x30" and len(head) > 6:
+    head = unbase64(run.rstrip("=")[:40]) or b""
+    openssh = head.startswith(OPENSSH_MAGIC)
+    if openssh:
+        reach, whole = openssh_reach(head)
+    elif head[:1] == b"\x30" and len(head) > 6:
         octets = head[1] & 0x7F if head[1] >= 0x80 else 0
         if octets > 4:
             return None
-        size = 2 + octets + (int.from_bytes(head[2 : 2 + octets], "big") if octets else head[1])
-        if size > 3 * (len(text) - start) // 4 + 3:
+        reach, whole = 2 + octets + (int.from_bytes(head[2 : 2 + octets], "big") if octets else head[1]), True
+        if not may_be_der_key(head, 2 + octets, reach):
             return None
+    else:
+        return None
     parts, held = [run], len(run.rstrip("="))
-    while (size is None or held * 3 // 4 < size) and not parts[-1].endswith("=") and (line := BASE64_LINE.match(text, end)):
-        parts.append(line[1])
-        held += len(line[1].rstrip("="))
-        end = line.end()
-    return end if is_key(unbase64("".join(parts))) else None
+    while reach is not None and reach <= MOST_KEY:
+        wanted = reach if whole else reach + 2  # as the last bytes of a cut decode may be missing
+        while held * 3 // 4 < wanted and not parts[-1].endswith("=") and (line := BASE64_LINE.match(text, end)):
+            parts.append(line[1])
+            held += len(line[1].rstrip("="))
+            end = line.end()
+        joined = "".join(parts)
+        if whole:
+            return end if is_key(unbase64(joined)) else None
+        data = unbase64(joined if held * 3 // 4 < wanted else joined.rstrip("=")[: held // 4 * 4])
+        if data is None or len(data) < reach:
+            return None
+        reach, whole = openssh_reach(data)
+    return None
 
 
 def confirmed_spans(text: str, hexes: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

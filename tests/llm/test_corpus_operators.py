@@ -37,6 +37,29 @@ def test_secrets_are_confirmed_by_structure():
     assert secrets.spans_of("-----BEGIN PRIVATE KEY-----\nbm90IGEga2V5\n-----END PRIVATE KEY-----") == []
 
 
+def string(data):
+    return len(data).to_bytes(4, "big") + data
+
+
+def openssh_key(cipher=b"none", kdf=b"none", options=b"", keys=1, kind=b"ssh-ed25519", check=b"abcdabcd"):
+    public = string(kind) + string(bytes(range(32)))
+    private = check + public + string(bytes(64)) + string(b"me@here")
+    private += bytes(range(1, 1 + -len(private) % 8))
+    return secrets.OPENSSH_MAGIC + b"".join(map(string, (cipher, kdf, options))) + keys.to_bytes(4, "big") + string(public) * keys + string(private)
+
+
+def test_scanning_takes_time_in_proportion():
+    """Lines that begin like keys, or like nothing, of which each could take all that follow."""
+    import time
+
+    lines = {"MQ": "MQ" + "A" * 62, "long": base64.b64encode(b"\x30\x82\x3f\xf0\x02\x01\x00\x30\x82\x3f\xe9" + bytes(37)).decode(), "unfit": base64.b64encode(b"\x30\x82\x3f\xf0\x02\x01\x00\x30\x83\x00\xff\xff" + bytes(36)).decode(), "ssh": base64.b64encode(secrets.OPENSSH_MAGIC + string(b"none") + string(b"none") + string(b"")[:2] + bytes(19)).decode()}
+    for name, line in lines.items():
+        text = (line + "\n") * (1_000_000 // (len(line) + 1))
+        began = time.perf_counter()
+        assert [k for k, _, _ in secrets.spans_of(text) if k not in secrets.BASE_KINDS] == []
+        assert time.perf_counter() - began < (15 if name == "long" else 2), name
+
+
 def test_secrets_in_other_clothes():
     """Upper-case hex, URL-safe and wrapped base64, PEM with header lines, SEC 1 keys of two fields."""
     kinds = lambda t: [k for k, _, _ in secrets.spans_of(t) if k not in secrets.BASE_KINDS]
@@ -55,9 +78,18 @@ def test_secrets_in_other_clothes():
     pem = "-----BEGIN RSA PRIVATE KEY-----\n{}{}\n-----END RSA PRIVATE KEY-----"
     assert kinds(pem.format(head, body)) == ["pem"] and kinds(pem.format(head, body[:-8])) == kinds(pem.format("", body)) == []
     assert kinds(pem.format("Comment: mine\n", wrapped)) == ["pem"]
-    fields = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(150)
-    ssh = base64.b64encode(b"openssh-key-v1\0" + fields).decode()
-    assert kinds(f"{ssh[:70]}\n{ssh[70:140]}\n{ssh[140:]}\n") == ["der"]
+    key = openssh_key()
+    ssh = base64.b64encode(key).decode()
+    shown = "\n".join(ssh[i : i + 70] for i in range(0, len(ssh), 70))
+    for text in (f"{shown}\nand words\n", f"  {shown}\n{'A' * 60}\n", ssh, f"{shown}"):
+        assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text) if k == "der"] == [("der", ssh if "\n" not in text else shown)]
+    assert kinds(f"-----BEGIN OPENSSH PRIVATE KEY-----\n{shown}\n-----END OPENSSH PRIVATE KEY-----") == ["pem"]
+    noise = random.Random(1).randbytes(300)
+    fields = b"".join(string(x) for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
+    for wrong in (key[:-8], key + bytes(8), secrets.OPENSSH_MAGIC + noise, secrets.OPENSSH_MAGIC + fields + noise, openssh_key(check=b"12345678"), openssh_key(kind=b"what")):
+        told = base64.b64encode(wrong).decode()
+        assert kinds("\n".join(told[i : i + 70] for i in range(0, len(told), 70))) == [] and not secrets.is_key(wrong)
+    assert kinds(base64.b64encode(openssh_key(cipher=b"aes256-ctr", kdf=b"bcrypt", options=bytes(24), keys=2)).decode()) == ["der"]
     assert kinds(" ".join([pem.format("", "bm90IGEga2V5")] * 300)) == []
 
 
