@@ -35,7 +35,7 @@ INSIDE_PERCENT = 100
 TOP = 2000
 
 #: Text a shard holds; a longer text is cut into shards of its own.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 
 #: Bits of the table between passes, 8 MB. A size, not a limit: fuller tables let more through.
 FILTER_BITS = 26
