@@ -119,3 +119,22 @@ def in_range(subject: Column, terms: Sequence[Sequence[tuple[str, str]]]) -> Col
             all_ = all_ & tests[operator](compare_versions(subject, version(F.lit(bound))))
         any_ = any_ | all_
     return any_
+
+
+def expected_width(spec: str, device: Column, default: int) -> Column:
+    """The width that a spec such as ``0=16,1=8`` names for a device; one number alone is for all.
+
+    Parts that aren't ``number=number`` count for nothing, and the last of two for one device does.
+    """
+    parts = [part.strip() for part in spec.split(",")]
+    if len(parts) == 1 and parts[0].isdigit():
+        default, parts = int(parts[0]), []
+    named = {}
+    for part in parts:
+        left, _, right = part.partition("=")
+        if left.strip().isdigit() and right.strip().isdigit():
+            named[int(left)] = int(right)
+    width = F.lit(default)
+    for number, value in named.items():
+        width = F.when(device == number, value).otherwise(width)
+    return width

@@ -70,3 +70,12 @@ def resolved_alias(wanted: DataFrame, models: DataFrame, name: str, key: str, al
 def next_in(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
     """``df`` with the next value of ``order`` within the group: who stands in for a row; null for the last."""
     return df.withColumn(name, F.lead(order).over(W.partitionBy(*group).orderBy(order)))
+
+
+def line_diff(old: DataFrame, new: DataFrame, line: str) -> DataFrame:
+    """(side, line): lines of ``old`` that ``new`` lacks (-) and the other way round (+), each as often as it is
+    missing. One aggregate over both, no join: a line's counts meet, however often it stands there."""
+    both = old.select(line, F.lit(1).alias("_n")).unionAll(new.select(line, F.lit(-1).alias("_n")))
+    apart = both.groupBy(line).agg(F.sum("_n").cast("int").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "-").otherwise("+")
+    return apart.select(side.alias("side"), line, F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_i")).select("side", line)

@@ -31,16 +31,35 @@ def numbered(df: DataFrame, bucket: Sequence[Column], order: Sequence[Column], n
     return met.select(*(f"placed.`{c}`" for c in df.columns), (F.col("_before") + F.col("_at")).alias(name))
 
 
+def numbered_within(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` numbered from 1 in each group by ``bucket``, then ``order``; a bucket of a group must be small.
+
+    Rows are numbered within their bucket, and only the buckets' counts meet by group, so that a group
+    with most of the rows is shared by many tasks. Nulls are a group.
+    """
+    held = df.withColumn("_bucket", bucket)
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = held.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")).select(*group, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = held.withColumn("_at", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order)))
+    same = F.lit(True)
+    for c in [*group, "_bucket"]:
+        same = same & F.col(f"placed.`{c}`").eqNullSafe(F.col(f"starts.`{c}`"))
+    met = placed.alias("placed").join(starts.alias("starts"), same)
+    return met.select(*(f"placed.`{c}`" for c in df.columns), (F.col("_before") + F.col("_at")).alias(name))
+
+
 def fair_top(df: DataFrame, n: int, source: str, at: str, unique: str) -> DataFrame:
     """``n`` rows, newest first within a source, sources in turns by their newest row; column pick.
 
-    No source gives more than ``n`` rows to the last step, which keeps the ``n`` best only. A null
-    source is one like any other, and the last among equals.
+    Tasks keep ``n`` rows of a source before the shuffle, so that a source with most of the rows costs no
+    more than another; the last step gets ``n`` of each and keeps the ``n`` best. A null source is one
+    like any other, and the last among equals.
     """
     newest = W.partitionBy(source).orderBy(F.desc_nulls_last(at), unique)
-    turns = df.withColumns({"_turn": F.row_number().over(newest), "_head": F.max(at).over(W.partitionBy(source))})
+    turns = df.withColumn("_turn", F.row_number().over(newest)).where(F.col("_turn") <= n)
+    turns = turns.withColumn("_head", F.max(at).over(W.partitionBy(source)))  # of rows that are few by now
     order = [F.col("_turn"), F.desc_nulls_last("_head"), F.asc_nulls_last(source)]
-    best = turns.where(F.col("_turn") <= n).orderBy(*order).limit(n)
+    best = turns.orderBy(*order).limit(n)
     return ranked(best, order, "pick").drop("_turn", "_head")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars
-from sparkreef.operators import alerts, folds, intervals, reconcile, retention, rules, topn, validate
+from sparkreef.operators import alerts, folds, intervals, placement, reconcile, retention, rules, topn, validate
 from sparkreef.queries import query, table
 from sparkreef.sources import sinks
 
@@ -628,13 +628,14 @@ def k15_mirror_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.drift(source, mirror, "k", "d").select("k", action.alias("action"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size < 8 THEN 'warn' WHEN p_size < 16 THEN 'info' ELSE 'ok' END AS level, 'x' || p_size AS label FROM part""")
+@query("""WITH w AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 32 ELSE 16 END AS wide FROM part)
+    SELECT p_partkey, CASE WHEN p_size * 2 < wide THEN 'warn' WHEN p_size < wide THEN 'info' ELSE 'ok' END AS level, 'x' || p_size || ' of x' || wide AS label FROM w""")
 def x30_link_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link's width against what is expected, by default 16; a spec such as 0=8,1=16 names devices."""
-    expected = F.str_to_map(F.lit("0=16,1=16"), F.lit(","), F.lit("="))
-    wide = F.coalesce(F.try_element_at(expected, (F.col("p_partkey") % 4).cast("string")), F.lit("16")).cast("int")
+    """A link's width against what is expected, by default 16; a spec such as 0=8,1=32 names devices, what is malformed in it counts for nothing."""
+    wide = scalars.expected_width("0=8, 1=32,2=wide,x,=4", F.col("p_partkey") % 4, 16)
     level = F.when(F.col("p_size") * 2 < wide, "warn").when(F.col("p_size") < wide, "info").otherwise("ok")
-    return table(spark, sf_dir, "part").select("p_partkey", level.alias("level"), F.concat(F.lit("x"), "p_size").alias("label"))
+    label = F.concat(F.lit("x"), "p_size", F.lit(" of x"), wide)
+    return table(spark, sf_dir, "part").select("p_partkey", level.alias("level"), label.alias("label"))
 
 
 @query("""SELECT p_brand, 'blk\\.(' || string_agg(DISTINCT p_size::VARCHAR, '|' ORDER BY p_size::VARCHAR) || ')\\.ffn=CPU' AS pattern FROM part WHERE p_size > 45 GROUP BY 1""")
@@ -665,21 +666,24 @@ def g11_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", *parts).alias("command"))
 
 
-@query("""WITH t AS (SELECT l_partkey AS model, l_linenumber AS layer, sum(l_quantity)::BIGINT AS size FROM lineitem GROUP BY 1, 2),
-    m AS (SELECT model, sum(size)::BIGINT AS total FROM t GROUP BY 1), c AS (SELECT *, sum(size) OVER (PARTITION BY model ORDER BY layer) AS upto FROM t JOIN m USING (model)),
-    o AS (SELECT model, total, min(CASE WHEN total - upto <= 600 THEN layer END) AS layers FROM c GROUP BY ALL)
-    SELECT model, CASE WHEN total <= 300 THEN 'one' WHEN total <= 600 THEN 'both' ELSE 'offload' END AS placement, CASE WHEN total > 600 THEN layers END AS offloaded FROM o""")
+@query("""WITH t AS (SELECT l_partkey AS model, l_linenumber AS layer, CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS device, sum(l_quantity)::BIGINT AS size, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE l_quantity * 0 END)::BIGINT AS movable FROM lineitem GROUP BY 1, 2),
+    load AS (SELECT model, device, sum(size)::BIGINT - CASE device WHEN 0 THEN 350 ELSE 400 END AS over, sum(movable)::BIGINT AS most FROM t GROUP BY 1, 2),
+    cut AS (SELECT l.model, l.device, l.over, l.most, coalesce((SELECT min(c.layer) FROM t c WHERE c.model = l.model AND c.device = l.device
+        AND l.over - (SELECT sum(x.movable) FROM t x WHERE x.model = l.model AND x.device = l.device AND x.layer <= c.layer) <= 0), 99) AS upto FROM load l),
+    moves AS (SELECT t.model, t.layer, t.movable, t.device, cut.over - coalesce((SELECT sum(x.movable) FROM t x WHERE x.model = t.model AND x.device = t.device AND x.layer < t.layer), 0) AS before
+        FROM t JOIN cut ON cut.model = t.model AND cut.device = t.device WHERE cut.over > 0 AND t.layer <= cut.upto),
+    m AS (SELECT model, sum(movable)::BIGINT AS host, string_agg(layer::VARCHAR, ',' ORDER BY before DESC, device, layer) AS moved FROM moves GROUP BY 1),
+    w AS (SELECT model, (SELECT sum(size) FROM t WHERE t.model = cut.model) AS total, max(over) AS worst, max(over - most) AS stuck FROM cut GROUP BY 1),
+    p AS (SELECT model, CASE WHEN total <= 350 THEN 'one' WHEN worst <= 0 THEN 'both' WHEN stuck <= 0 AND host <= 260 THEN 'offload' ELSE 'none' END AS placement, moved, host FROM w LEFT JOIN m USING (model))
+    SELECT model, placement, CASE WHEN placement = 'offload' THEN moved END AS moved, CASE WHEN placement = 'offload' THEN host END AS host FROM p""")
 def g03_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One device if it fits, else both, else the fewest lowest layers leave until the rest does."""
-    layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("model"), F.col("l_linenumber").alias("layer")).agg(
-        F.sum("l_quantity").cast("long").alias("size")
+    """One device, both, or both with the fewest lowest layers' movable parts on the host, within its budget."""
+    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    layers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("model"), line.alias("layer"), F.when(line > 3, 1).otherwise(0).alias("device")).agg(
+        F.sum("l_quantity").cast("long").alias("size"), F.sum(F.when(flag == "N", F.col("l_quantity")).otherwise(0)).cast("long").alias("movable")
     )
-    model = W.partitionBy("model")
-    sized = layers.withColumns({"total": F.sum("size").over(model), "upto": F.sum("size").over(model.orderBy("layer"))})
-    fewest = F.min(F.when(F.col("total") - F.col("upto") <= 600, F.col("layer")))
-    placed = sized.groupBy("model", "total").agg(fewest.alias("fewest"))
-    placement = F.when(F.col("total") <= 300, "one").when(F.col("total") <= 600, "both").otherwise("offload")
-    return placed.select("model", placement.alias("placement"), F.when(F.col("total") > 600, F.col("fewest")).alias("offloaded"))
+    found = placement.placed(layers, "model", "layer", "device", "size", "movable", (350, 400), 260)
+    return found.withColumn("moved", F.array_join("moved", ","))
 
 
 @query("""SELECT r_name, n_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name), (c_mktsegment), ())""")

@@ -12,7 +12,7 @@ from sparkreef.functions import scalars, text
 from sparkreef.operators import reconcile
 from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
-from sparkreef.sources import bodies, configs, feeds, sinks
+from sparkreef.sources import bodies, configs, feeds, manifests, sinks
 
 
 @query(
@@ -310,13 +310,17 @@ def k09_declared_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_name AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'written' WHEN n_nationkey % 3 = 0 THEN 'STALE' ELSE 'ok' END AS state FROM nation"""
+    """WITH s AS (SELECT n_name AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'absent' WHEN n_nationkey % 3 = 0 THEN 'STALE' ELSE 'ok' END AS state FROM nation)
+    SELECT 'check' AS pass, path, state FROM s UNION ALL SELECT 'write', path, CASE state WHEN 'ok' THEN 'ok' ELSE 'written' END FROM s UNION ALL SELECT 'again', path, 'ok' FROM s"""
 )
 def k10_check_or_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated files against what lies there: absent ones are written, others are ok or stale."""
+    """Generated files against what lies there: a check names what is stale, a write puts it right, a second one finds nothing to do."""
     fresh = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.md5("n_name").alias("body"), F.col("n_nationkey").alias("k"))
     there = fresh.where("k % 5 <> 0").select("path", F.when(F.col("k") % 3 == 0, "old").otherwise(F.col("body")).alias("body"))
-    return sinks.generated_states(fresh, there, "path", "body")
+    place = f"{shared_folder(spark)}/k10-{uuid.uuid4().hex}"
+    manifests.replace(there, place)
+    told = [manifests.check_or_write(fresh.select("path", "body"), place, "path", "body", write).select(F.lit(name).alias("pass"), "path", "state") for name, write in (("check", False), ("write", True), ("again", True))]
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkreef.functions import dates, text
 from sparkreef.operators import cutoff, dedupe, folds, topn
+from sparkreef.plans import curators
 from sparkreef.queries import query, table
 
 BUDGET = 150
@@ -224,26 +225,28 @@ def j02_source_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT 'i' || row_number() OVER (ORDER BY doc_id) AS iid, doc_id FROM documents WHERE source = 'src2')
-    SELECT c.iid, d.doc_id, d.source, l.quality FROM c JOIN documents d USING (doc_id) JOIN labels l USING (doc_id)"""
+    """WITH c AS (SELECT source, 'i' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS iid, doc_id FROM documents)
+    SELECT c.source, c.iid, c.doc_id, l.quality FROM c JOIN labels l USING (doc_id)"""
 )
 def j09_surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated rows find their items again by a short id; one feed's items are numbered."""
-    docs = table(spark, sf_dir, "documents")
-    number = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    numbered = docs.where("source = 'src2'").select("doc_id", "source", F.concat(F.lit("i"), number).alias("iid"))
-    curated = table(spark, sf_dir, "labels").join(numbered.select("doc_id", "iid"), "doc_id").select("iid", "quality")
-    return numbered.join(curated, "iid").select("iid", "doc_id", "source", "quality")
+    """Each feed's items get short ids, by which curated rows, that know nothing else, find them again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    numbered = topn.numbered_within(docs, ["source"], F.floor(F.col("doc_id") / 1000), [F.col("doc_id")], "n")
+    numbered = numbered.select("source", F.concat(F.lit("i"), "n").alias("iid"), "doc_id")
+    curated = table(spark, sf_dir, "labels").join(numbered, "doc_id").select("source", "iid", "quality")
+    return numbered.join(curated, ["source", "iid"]).select("source", "iid", "doc_id", "quality")
 
 
 @query(
-    """WITH a AS (SELECT doc_id, j, (doc_id * 3 + j) % 50 AS ref FROM documents, (SELECT unnest([1, 2, 3]) AS j))
+    """WITH t AS (SELECT max(doc_id) + 1 AS n FROM documents), a AS (SELECT doc_id, j, (doc_id * 3 + j * 7919) % n AS ref FROM documents, t, (SELECT unnest([1, 2, 3]) AS j))
     SELECT a.doc_id, string_agg(d.source, ',' ORDER BY j) AS sources FROM a JOIN documents d ON d.doc_id = a.ref GROUP BY a.doc_id"""
 )
 def j10_array_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids in an array are looked up one by one and gathered again in order."""
-    docs = table(spark, sf_dir, "documents")
-    refs = docs.select("doc_id", F.posexplode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda j: (F.col("doc_id") * 3 + j) % 50)).alias("j", "ref"))
+    """The ids in an array, of any document, are looked up one by one and gathered again in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    last = docs.agg((F.max("doc_id") + 1).alias("n"))  # one row
+    places = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda j: (F.col("doc_id") * 3 + j * 7919) % F.col("n"))
+    refs = docs.crossJoin(F.broadcast(last)).select("doc_id", F.posexplode(places).alias("j", "ref"))
     met = refs.join(docs.select(F.col("doc_id").alias("ref"), "source"), "ref")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", "source"))), lambda x: x["source"])
     return met.groupBy("doc_id").agg(F.array_join(ordered, ",").alias("sources"))
@@ -506,23 +509,22 @@ def g02_claim_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'uncurated' WHEN toxic = 1 THEN 'tier 3' WHEN quality = 1 THEN 'tier 1' ELSE 'tier 2' END AS tier
-    FROM documents LEFT JOIN labels l USING (doc_id)"""
+    """WITH b AS (SELECT d.doc_id, d.doc_id // 40 AS batch, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)),
+    f AS (SELECT batch, bool_or(doc_id % 97 = 0) AS failed FROM b GROUP BY 1)
+    SELECT doc_id, CASE WHEN NOT failed AND quality IS NOT NULL THEN CASE WHEN toxic = 1 THEN 3 WHEN quality = 1 THEN 1 ELSE 2 END END::INT AS tier,
+           NOT failed AND quality IS NOT NULL AS curated, CASE WHEN failed THEN 'ValueError: no reply' END AS problem FROM b JOIN f USING (batch)"""
 )
 def d01_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A curator is any function from items to tiers; this one reads labels. What it leaves out is listed."""
-
-    def by_label(found: DataFrame) -> DataFrame:
-        tier = F.when(F.col("toxic") == 1, "tier 3").when(F.col("quality") == 1, "tier 1").otherwise("tier 2")
-        return found.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", tier.alias("tier"))
-
-    return curated(table(spark, sf_dir, "documents").select("doc_id"), by_label, "doc_id")
+    """A curator is any function from a batch of items to tiers; where it fails, its batch is listed as it is."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id", "left").select("doc_id", F.floor(F.col("doc_id") / 40).alias("batch"), "quality", "toxic")
 
+    def by_label(batch):
+        if any(r["doc_id"] % 97 == 0 for r in batch):
+            raise ValueError("no reply")
+        return [(r["doc_id"], 3 if r["toxic"] == 1 else 1 if r["quality"] == 1 else 2) for r in batch if r["quality"] is not None]
 
-def curated(found: DataFrame, curate, key: str) -> DataFrame:
-    """(key, tier): the curator's word, or ``uncurated`` where it has none."""
-    said = dedupe.first_wins(curate(found), [key], ["tier"])
-    return found.join(said, key, "left").select(key, F.coalesce("tier", F.lit("uncurated")).alias("tier"))
+    return curators.curated(rows, ["batch"], ["doc_id"], "doc_id", by_label, "tier int")
 
 
 @query(

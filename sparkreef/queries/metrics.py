@@ -3,12 +3,18 @@ whole cents; the counter is the running sum of a series that starts anew every 5
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.operators import alerts, rules, timeseries, topn
+from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
+from sparkreef.sources import sinks, targets
 
 _SAMPLES_SQL = """samples AS (SELECT event_id, ts, event_type AS metric, (user_id % 8)::INT AS device, user_id,
     round(value * 100)::BIGINT AS cents, props FROM events)"""
@@ -498,12 +504,17 @@ def p08_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'model_up{model="' || event_type || '",user="u' || (user_id % 3) || '"} ' || count(*) AS line FROM events GROUP BY event_type, user_id % 3"""
 )
 def k05_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkreef.sources.sinks import exposition
-
+    """Lines of targets: a good write, then one that fails on a row, which leaves what was there."""
     counted = table(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("model"), F.concat(F.lit("u"), F.col("user_id") % 3).alias("user")
     ).agg(F.count("*").alias("n"))
-    return exposition(counted, "model_up", ["model", "user"], "n")
+    lines = sinks.exposition(counted, "model_up", ["model", "user"], "n")
+    path = f"{shared_folder(spark)}/k05-{uuid.uuid4().hex}"
+    targets.put_up(lines, path)
+    broken = lines.select(F.when(F.col("line").contains('user="u1"'), F.raise_error(F.lit("no target"))).otherwise(F.lit("half")).alias("line"))
+    with contextlib.suppress(PySparkException):
+        targets.put_up(broken, path)
+    return targets.read_targets(spark, path)
 
 
 @query(

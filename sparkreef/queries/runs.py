@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkreef.operators import curation, folds
+from sparkreef.operators import curation, folds, topn
 from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
 from sparkreef.sources import manifests
@@ -22,8 +21,8 @@ _BATCH_SQL = f"i AS (SELECT source, n // {BATCH} AS batch, doc_id, n_chars, n %
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of each source in batches of BATCH, by their order."""
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", n.alias("n"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    rows = topn.numbered_within(docs, ["source"], F.floor(F.col("doc_id") / 1000), [F.col("doc_id")], "n").withColumn("n", F.col("n") - 1)
     return rows.select("source", F.floor(F.col("n") / BATCH).alias("batch"), "doc_id", "n_chars", (F.col("n") % BATCH + 1).alias("place"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars, text
-from sparkreef.operators import folds, rules
+from sparkreef.operators import folds, reconcile, rules
 from sparkreef.queries import query, table
 from sparkreef.sources import sinks
 
@@ -135,12 +135,13 @@ def g12_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(merged, ";").alias("slots"))
 
 
-@query(f"""WITH {_LINES_SQL} SELECT '-' AS side, line FROM (SELECT line FROM lines WHERE doc_id % 10 = 0 EXCEPT ALL SELECT line FROM lines WHERE doc_id % 20 = 0)""")
+@query(f"""WITH {_LINES_SQL} SELECT '-' AS side, line FROM (SELECT line FROM lines EXCEPT ALL SELECT CASE WHEN doc_id % 20 = 0 THEN line || '!' ELSE line END FROM lines WHERE doc_id % 7 <> 3)
+    UNION ALL SELECT '+', line FROM (SELECT CASE WHEN doc_id % 20 = 0 THEN line || '!' ELSE line END AS line FROM lines WHERE doc_id % 7 <> 3 EXCEPT ALL SELECT line FROM lines)""")
 def g13_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that one rendering has and the other lacks, as often."""
+    """Lines that one rendering of all documents has and the other lacks, as often, both ways."""
     found = lines(spark, sf_dir)
-    lost = found.where("doc_id % 10 = 0").select("line").exceptAll(found.where("doc_id % 20 = 0").select("line"))
-    return lost.select(F.lit("-").alias("side"), "line")
+    again = F.when(F.col("doc_id") % 20 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")).alias("line")
+    return reconcile.line_diff(found.select("line"), found.where("doc_id % 7 <> 3").select(again), "line")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 9 = 0 THEN 'refused' END AS refused, least(coalesce(CASE WHEN turn % 2 = 0 THEN turn * 3000 + 1 END, 4096), 8192) AS "limit" FROM conversations)

@@ -18,8 +18,9 @@ from dataclasses import dataclass
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkreef.sources.sinks import same_rows
+from sparkreef.sources.sinks import generated_states, same_rows
 
 FOLDER = "_manifests"
 
@@ -151,6 +152,22 @@ def promote(df: DataFrame, path: str, problems: Callable[[DataFrame], DataFrame]
     return "registered", None
 
 
+def check_or_write(fresh: DataFrame, path: str, key: str, body: str, write: bool) -> DataFrame:
+    """(key, state) of generated files against the last version of ``path``: absent, STALE or ok.
+
+    With ``write``, what isn't ok is written, and the table then holds the fresh bodies beside what else
+    was there; where all is ok nothing is. The states are those of this call, whatever follows it.
+    """
+    spark = fresh.sparkSession
+    last = version(spark, path)
+    there = spark.read.parquet(last.folder) if last else fresh.limit(0)
+    states = generated_states(fresh, there, key, body)
+    if write and not states.where("state <> 'ok'").isEmpty():
+        kept = there.join(fresh.select(key), key, "left_anti").select(key, body)
+        replace(kept.unionByName(fresh.select(key, body)), path, last.number if last else 0)
+    return states.withColumn("state", F.when(F.col("state") == "ok", "ok").otherwise("written")) if write else states
+
+
 def tidy(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Removes all folders that none of the last ``keep`` versions names, and their manifests but the
     last; how many folders went. Not while a writer is at work, whose folder no manifest names yet."""

@@ -90,9 +90,9 @@ def promoted(df: DataFrame, path: str, problems: Callable[[DataFrame], DataFrame
 
 
 def generated_states(fresh: DataFrame, there: DataFrame, path: str, body: str) -> DataFrame:
-    """(path, state) of generated files: written where nothing lies, else ok or STALE."""
+    """(path, state) of generated files: absent where nothing lies, else ok or STALE."""
     lies = there.select(path, F.col(body).alias("_there"), F.lit(True).alias("_lies"))
-    state = F.when(F.col("_lies").isNull(), "written").when(F.col("_there").eqNullSafe(F.col(body)), "ok").otherwise("STALE")
+    state = F.when(F.col("_lies").isNull(), "absent").when(F.col("_there").eqNullSafe(F.col(body)), "ok").otherwise("STALE")
     return fresh.join(lies, path, "left").select(path, state.alias("state"))
 
 
