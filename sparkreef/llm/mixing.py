@@ -3,9 +3,10 @@
 Documents are first aggregated by membership pattern, the set of sources that hold them. A small
 network then routes each pattern's words to its sources' quotas: a first pass over a pattern is
 free, each repetition costs more than the one before, so the cheapest flow repeats as little as the
-quotas allow. A source that overlaps no other needs no network, as its flow is its quota, so only
-patterns of several sources, and the sources in them, come to the driver, a row each; quotas and all
-other flows are found in Spark, whatever the number of sources.
+quotas allow. Up to MOST_PATTERNS patterns go through the network, a row each on the driver. Beyond
+that only patterns of several sources do, and the sources in them: a source that overlaps no other
+needs none, as its flow is its quota, the same that the network finds. Quotas are found in Spark,
+whatever the number of sources.
 
 Within a pattern, documents stand in a line by a seeded hash, each as long as its words, and the
 flow takes a stretch of the line, once around or more. A document's place in the line is its
@@ -20,7 +21,7 @@ nothing but rows and the seed decides.
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 17
 #: With more patterns of several sources the mix is refused: their network would outgrow the driver.
-MOST_PATTERNS = 20_000
+MOST_PATTERNS = 5_000
 
 #: A pattern's documents are lined up in 2 ** BUCKET_BITS buckets, these in 2 ** HALL_BITS halls.
 BUCKET_BITS = 16
@@ -115,34 +116,75 @@ class Network:
     def flow(self, edge: int) -> int:
         return self.room[edge ^ 1]
 
-    def _cheapest(self, start: int) -> list[int | None]:
-        """The edge into each node on a cheapest path; costs may be negative, cycles are not."""
-        far = [None] * len(self.out)
-        into: list[int | None] = [None] * len(self.out)
-        far[start] = 0
-        queue, queued = deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
+    def _distances(self, start: int, worth: list[int]) -> list[int | None]:
+        """How far each node is, by costs that ``worth`` has made no less than zero."""
+        far: list[int | None] = [None] * len(self.out)
+        heap, far[start] = [(0, start)], 0
+        while heap:
+            at, a = heapq.heappop(heap)
+            if at > far[a]:
+                continue
             for e in self.out[a]:
                 b = self.to[e]
-                if self.room[e] and (far[b] is None or far[a] + self.cost[e] < far[b]):
-                    far[b], into[b] = far[a] + self.cost[e], e
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        return into
+                if self.room[e]:
+                    new = at + self.cost[e] + worth[a] - worth[b]
+                    if far[b] is None or new < far[b]:
+                        far[b] = new
+                        heapq.heappush(heap, (new, b))
+        return far
+
+    def _levels(self, start: int, worth: list[int]) -> list[int]:
+        level = [-1] * len(self.out)
+        level[start], front = 0, [start]
+        for a in front:
+            for e in self.out[a]:
+                b = self.to[e]
+                if self.room[e] and level[b] < 0 and self.cost[e] + worth[a] == worth[b]:
+                    level[b] = level[a] + 1
+                    front.append(b)
+        return level
+
+    def _fill(self, start: int, end: int, worth: list[int]) -> bool:
+        """Flow along all cheapest paths with as few edges as any, until one of each is full; False if there is none."""
+        level = self._levels(start, worth)
+        if level[end] < 0:
+            return False
+        left = [iter(edges) for edges in self.out]
+        path: list[int] = []
+        at = start
+        while True:
+            if at == end:
+                amount = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= amount
+                    self.room[e ^ 1] += amount
+                full = next(i for i, e in enumerate(path) if not self.room[e])
+                at = self.to[path[full] ^ 1]
+                del path[full:]
+                continue
+            for e in left[at]:
+                b = self.to[e]
+                if self.room[e] and level[b] == level[at] + 1 and self.cost[e] + worth[at] == worth[b]:
+                    path.append(e)
+                    at = b
+                    break
+            else:
+                level[at] = -1
+                if not path:
+                    return True
+                at = self.to[path.pop() ^ 1]
 
     def run(self, start: int, end: int) -> None:
-        while (into := self._cheapest(start))[end] is not None:
-            path, at = [], end
-            while at != start:
-                path.append(into[at])
-                at = self.to[into[at] ^ 1]
-            amount = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
+        """Distances by cost, then as much flow as all paths of the least cost take together, and again.
+
+        A round raises the least cost, which is a small whole number, so rounds are few.
+        """
+        worth = [0] * len(self.out)
+        while (far := self._distances(start, worth))[end] is not None:
+            most = max(x for x in far if x is not None)
+            worth = [w + (most if x is None else x) for w, x in zip(worth, far, strict=True)]
+            while self._fill(start, end, worth):
+                pass
 
 
 def route(
@@ -204,7 +246,9 @@ def flows(totals: DataFrame, weights: Sequence[float], share: float, most: int,
         F.array().cast("array<struct<source:string,words:long>>").alias("parts"),
         F.array().cast("array<struct<source:string,size:long,target:double>>").alias("quotas"),
     )
-    several = totals.where(F.size("sources") > 1).limit(most_patterns + 1).collect()
+    several = held.limit(most_patterns + 1).collect()
+    if len(several) > most_patterns:  # sources that overlap no other stay in Spark
+        several = held.where(F.size("sources") > 1).limit(most_patterns + 1).collect()
     if not several:
         return singles.select(*names).union(nothing)
     if len(several) > most_patterns:
