@@ -51,6 +51,8 @@ SPAN = 48
 MOST_ERROR = 0.2
 #: Pairs go on in batches of about so many.
 PAIRS = 100_000
+#: Members of a landmark that a task of the second pass holds, twice over.
+BLOCK = 2000
 
 
 def from_wave(data: bytes | None) -> tuple[np.ndarray, int] | None:
@@ -228,20 +230,37 @@ def _met_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(np.concatenate([node[first[rest]], node[rest - 1]]), np.concatenate([node[rest], node[rest]]))
 
 
+def in_blocks(rooted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(part, node, root, block, inner) of (mark, node, root): what is to meet, in parts of a bounded size.
+
+    A mark whose members are in several classes is dealt into blocks of some ``block`` members by their
+    hashes, and each two blocks, and each block alone, are a part: a hot mark's pairs are shared by
+    many tasks, and none holds more than two blocks of it.
+    """
+    split = rooted.groupBy("mark").agg((F.min("root") < F.max("root")).alias("split"), F.count("*").alias("n")).where("split")
+    rows = rooted.join(split.select("mark", F.ceil(F.col("n") / block).alias("k")), "mark")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    part = F.xxhash64("mark", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select(part.alias("part"), "node", "root", "block", (F.col("block") == F.col("other")).cast("int").alias("inner"))
+
+
 def _met_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (mark, node, root) in order, the pairs of a mark that no links connect yet."""
-    for mark, node, root in whole_runs(batches):
-        left, step, found, held = np.flatnonzero(mark[1:] == mark[:-1]), 1, [], 0
+    """Of (part, node, root, block, inner) in order, the pairs of a part that no links connect yet: those of
+    a block alone, or of two blocks."""
+    for part, node, root, block, inner in whole_runs(batches):
+        left, step, found, held = np.flatnonzero(part[1:] == part[:-1]), 1, [], 0
         while len(left):
-            apart = left[root[left] != root[left + step]]
+            right = left + step
+            apart = left[(root[left] != root[right]) & ((inner[left] == 1) | (block[left] != block[right]))]
             found.append((node[apart], node[apart + step]))
             held += len(apart)
             if held > PAIRS:
                 yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
                 found, held = [], 0
             step += 1
-            left = left[left + step < len(mark)]
-            left = left[mark[left + step] == mark[left]]
+            left = left[left + step < len(part)]
+            left = left[part[left + step] == part[left]]
         if held:
             yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
 
@@ -295,9 +314,8 @@ def align_recordings(
     links = checkpointed(aligned_pairs(pairs, nodes, span, most_error))
     roots = components(links)
     rooted = met.join(roots, "node", "left").select("mark", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("mark").agg((F.min("root") < F.max("root")).alias("split")).where("split").select("mark")
-    rooted = rooted.join(split, "mark").repartition("mark").sortWithinPartitions("mark", "node")
-    rest = checkpointed(rooted.mapInArrow(_met_all, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    dealt = in_blocks(rooted).repartition("part").sortWithinPartitions("part", "node")
+    rest = checkpointed(dealt.mapInArrow(_met_all, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = checkpointed(links.union(aligned_pairs(rest, nodes, span, most_error)))
         roots = components(links)

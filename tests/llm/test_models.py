@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import brute
-from sparkreef.llm import toxicity, url_filter
+from sparkreef.llm import media, toxicity, url_filter
 from sparkreef.llm.queries import QUERIES, toxicity_model
 
 
@@ -159,3 +159,18 @@ def test_labels_with_clashing_names(spark, small, tmp_path):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     more = labels.withColumns({"text": F.lit("x"), "id": F.lit(1), "label": F.lit(0), "order": F.lit(2), "score": F.lit(0.5), "hash": F.lit(3)})
     assert toxicity.train(docs, more) == toxicity.train(docs, labels)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_hot_landmarks_meet_in_blocks(spark, block):
+    """All pairs of unlike classes under a mark, once, however its members are dealt."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(m, rng.randrange(10**6), rng.randrange(4)) for m, n in ((1, 40), (2, 7), (3, 1), (4, 12)) for _ in range(n)]
+    rows = [(m, n, 5 if m == 4 else r) for m, n, r in rows]
+    frame = spark.createDataFrame(rows, "mark long, node long, root long").repartition(3)
+    dealt = media.in_blocks(frame, block).repartition("part").sortWithinPartitions("part", "node")
+    found = Counter((r.a, r.b) for r in dealt.mapInArrow(media._met_all, "a long, b long").collect())
+    wanted = {tuple(sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[2] != b[2]}
+    assert set(found) == wanted and set(found.values()) == {1}
