@@ -29,7 +29,7 @@ class Source(InputPartition):
     place: int
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -37,7 +37,7 @@ def _listed(options) -> list[Source]:
     if "sources" in options:
         named = list(json.loads(options["sources"]).items())
     else:
-        store, path = _opened(options["folder"])
+        store, path = opened(options["folder"])
         prefix = options["folder"].rstrip("/")
         files = store.get_file_info(fs.FileSelector(path))
         shown = [f.base_name for f in files if f.type == fs.FileType.File and f.base_name[0] not in "._"]
@@ -48,7 +48,7 @@ def _listed(options) -> list[Source]:
 def _read(part: Source, most: int) -> Iterator[tuple]:
     """One row, whatever happens: other sources go on."""
     try:
-        store, path = _opened(part.uri)
+        store, path = opened(part.uri)
         info = store.get_file_info(path)
         if info.type != fs.FileType.File:
             raise FileNotFoundError("no such file")
@@ -89,7 +89,7 @@ class BodiesStream(DataSourceStreamReader):
         told = {}
         for source in _listed(self.options):
             try:
-                store, path = _opened(source.uri)
+                store, path = opened(source.uri)
                 info = store.get_file_info(path)
                 told[source.name] = f"{info.mtime_ns}-{info.size}" if info.type == fs.FileType.File else "missing"
             except Exception as problem:  # noqa: BLE001

@@ -36,7 +36,7 @@ class Taken(OSError):
     """Another writer has published the version that this one was to be."""
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
@@ -44,7 +44,7 @@ def _files(spark: SparkSession, path: str):
 
 def numbers(spark: SparkSession, path: str) -> list[int]:
     """The numbers of all versions that are published, in order."""
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     folder = at(f"{path}/{FOLDER}")
     if not files.exists(folder):
         return []
@@ -56,7 +56,7 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
     number = number if number is not None else max(numbers(spark, path), default=0)
     if not number:
         return None
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     stream = files.open(at(f"{path}/{FOLDER}/{number:010d}"))
     try:
         entry = json.loads(bytes(stream.readAllBytes()).decode())
@@ -67,7 +67,7 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
 
 def create_once(spark: SparkSession, path: str, body: str) -> bool:
     """Creates a file with its whole content, if none lies there; False if one does. Of many at once, one wins."""
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     own = at(f"{path}.{uuid.uuid4().hex}")
     stream = files.create(own)
     stream.write(bytearray(body.encode()))
@@ -86,7 +86,7 @@ def create_once(spark: SparkSession, path: str, body: str) -> bool:
 
 def publish(spark: SparkSession, path: str, number: int, folder: str, **entry) -> Version:
     """Makes ``folder`` (a name within ``path``) version ``number``; raises Taken if another is that already."""
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     files.mkdirs(at(f"{path}/{FOLDER}"))
     body = {"folder": folder, **entry}
     if not create_once(spark, f"{path}/{FOLDER}/{number:010d}", json.dumps(body)):
@@ -112,7 +112,7 @@ def replace(df: DataFrame, path: str, expected: int | None = None, **entry) -> V
     try:
         return publish(spark, path, before + 1, folder, **entry)
     except Taken:
-        files, at = _files(spark, path)
+        files, at = file_system(spark, path)
         files.delete(at(f"{path}/{folder}"), True)
         raise
 
@@ -171,7 +171,7 @@ def check_or_write(fresh: DataFrame, path: str, key: str, body: str, write: bool
 def tidy(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Removes all folders that none of the last ``keep`` versions names, and their manifests but the
     last; how many folders went. Not while a writer is at work, whose folder no manifest names yet."""
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     found = numbers(spark, path)
     named = {version(spark, path, n).folder.rsplit("/", 1)[-1] for n in found[-keep:]}
     old = [s.getPath() for s in files.listStatus(at(path)) if s.isDirectory() and s.getPath().getName() not in named | {FOLDER}]

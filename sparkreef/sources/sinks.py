@@ -1,8 +1,11 @@
-"""Writers. Spark's commit protocol makes each write all or nothing; what is added here is order and identity."""
+"""Writers. Spark's commit protocol makes each write all or nothing; what is added here is order and identity.
+
+Tables that are replaced as a whole are in ``manifests``, lines that servers pick up in ``targets``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,60 +38,6 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return sorted(a.columns) == sorted(b.columns) and sums(a) == sums(b)
 
 
-def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Writes Parquet to ``path`` unless it holds the same rows already; says whether it wrote.
-
-    The new rows go beside the old ones first, so that a reader never meets half a table. Between
-    the two renames the table is only at ``.prev``; if the second one fails, it is put back.
-    """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target) and same_rows(spark.read.parquet(path), df):
-        return False
-    fresh, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + suffix) for suffix in (".incoming", ".prev"))
-    df.write.mode("overwrite").parquet(fresh.toString())
-    files.delete(old, True)
-    had = files.exists(target)
-    if had and not files.rename(target, old):
-        raise OSError(f"{path} can't be moved aside")
-    if not files.rename(fresh, target):
-        if had:
-            files.rename(old, target)
-        raise OSError(f"{path}.incoming can't be moved to its place")
-    return True
-
-
-def promoted(df: DataFrame, path: str, problems: Callable[[DataFrame], DataFrame]) -> tuple[str, DataFrame | None]:
-    """Writes to quarantine, verifies what was written, and only then puts it in place.
-
-    ("registered", None), or ("refused", the problems): what fails stays at ``path`` + ``.quarantine``
-    and ``path`` as it was. ``problems`` maps the rows to those that are wrong, none if all is well.
-    """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    held, incoming, old, target = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in (".quarantine", ".incoming", ".prev", ""))
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(held.toString())
-    written = spark.read.parquet(held.toString())
-    wrong = problems(written)
-    if not wrong.isEmpty():
-        return "refused", wrong
-    if not same_rows(df, written):
-        return "refused", written.limit(0)
-    files.delete(incoming, True)
-    files.delete(old, True)
-    had = files.exists(target)
-    if not files.rename(held, incoming) or had and not files.rename(target, old):
-        raise OSError(f"{path} can't be moved")
-    if not files.rename(incoming, target):
-        if had:
-            files.rename(old, target)
-        raise OSError(f"{path}.incoming can't be moved to its place")
-    return "registered", None
-
-
 def generated_states(fresh: DataFrame, there: DataFrame, path: str, body: str) -> DataFrame:
     """(path, state) of generated files: absent where nothing lies, else ok or STALE."""
     lies = there.select(path, F.col(body).alias("_there"), F.lit(True).alias("_lies"))

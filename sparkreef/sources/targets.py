@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from sparkreef.sources.bodies import _opened
+from sparkreef.sources.bodies import opened
 
 CURRENT = "current.json"
 
@@ -41,7 +41,7 @@ class TargetsWriter(DataSourceWriter):
         self.uri, self.id = uri, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[Row]) -> Part:
-        store, path = _opened(self.uri)
+        store, path = opened(self.uri)
         store.create_dir(path, recursive=True)
         name, n = f"{self.id}-{uuid.uuid4().hex}.prom", 0
         with store.open_output_stream(f"{path}/{name}") as stream:
@@ -51,7 +51,7 @@ class TargetsWriter(DataSourceWriter):
         return Part(name, n)
 
     def commit(self, messages: list[Part | None]) -> None:
-        store, path = _opened(self.uri)
+        store, path = opened(self.uri)
         before = _current(store, path)
         parts = [[m.name, m.lines] for m in messages if m and m.lines]
         own = f"{path}/.{self.id}.json"
@@ -61,7 +61,7 @@ class TargetsWriter(DataSourceWriter):
         self._drop(store, path, {name for name, _ in parts} | {name for name, _ in before["parts"]}, "")
 
     def abort(self, messages: list[Part | None]) -> None:
-        store, path = _opened(self.uri)
+        store, path = opened(self.uri)
         self._drop(store, path, {name for name, _ in _current(store, path)["parts"]}, self.id)
 
     def _drop(self, store: fs.FileSystem, path: str, kept: set[str], of: str) -> None:
@@ -76,12 +76,12 @@ class TargetsReader(DataSourceReader):
         self.uri = uri
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _opened(self.uri)
+        store, path = opened(self.uri)
         return [Part(name, lines) for name, lines in _current(store, path)["parts"]] or [Part("", 0)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         if partition.name:
-            store, path = _opened(self.uri)
+            store, path = opened(self.uri)
             with store.open_input_stream(f"{path}/{partition.name}") as stream:
                 yield from ((line,) for line in stream.read().decode().splitlines())
 

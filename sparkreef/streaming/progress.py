@@ -27,7 +27,7 @@ class ProgressLog(StreamingQueryListener):
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.lock = spark, path, threading.Lock()
-        files, at = manifests._files(spark, path)
+        files, at = manifests.file_system(spark, path)
         files.mkdirs(at(path))
         self.next = max((int(s.getPath().getName().split(".")[0]) for s in files.listStatus(at(path)) if s.getPath().getName()[:1].isdigit()), default=0) + 1
 

@@ -39,14 +39,14 @@ def add(keys: DataFrame, key: str, path: str, batch: int) -> None:
     bits = max(64, 1 << max(n * BITS_A_KEY - 1, 1).bit_length())
     words = _probes(written, key, F.lit(bits)).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
     words.write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
-    files, at = manifests._files(spark, path)
+    files, at = manifests.file_system(spark, path)
     files.mkdirs(at(f"{path}/batches"))
     manifests.create_once(spark, f"{path}/batches/{batch:010d}.json", json.dumps({"batch": batch, "bits": bits, "n": n}))
 
 
 def batches(spark: SparkSession, path: str, before: int | None = None) -> list[dict]:
     """The batches that count, without those from ``before`` on; small entries, one a batch."""
-    files, at = manifests._files(spark, path)
+    files, at = manifests.file_system(spark, path)
     if not files.exists(at(f"{path}/batches")):
         return []
     told = [json.loads(r.value) for r in spark.read.text(f"{path}/batches/*.json", wholetext=True).collect()]

@@ -97,14 +97,6 @@ def test_header_parser_takes_any_change(at, junk):
     headers.parse_header(data[:at] + junk + data[at + len(junk) :])
 
 
-def test_writes_only_what_changed(spark, tmp_path):
-    path = str(tmp_path / "t")
-    rows = spark.range(50).withColumn("x", F.col("id") % 7)
-    assert sinks.write_if_changed(rows, path) and not sinks.write_if_changed(rows.repartition(5), path)
-    assert sinks.write_if_changed(rows.where("id < 49"), path)
-    assert spark.read.parquet(path).count() == 49 and spark.read.parquet(path + ".prev").count() == 50
-
-
 def test_feeds_with_odd_items(spark):
     """The first date by its tag's rank, first link without an alternate, names in any space, entities refused."""
     item = '<item xmlns:d="x"><title> A\n b </title><updated>2025-01-01</updated><d:date>2024-01-01</d:date><link>http://x</link></item>'
@@ -126,18 +118,6 @@ def test_feeds_with_odd_items(spark):
     }
 
 
-def test_promotion_is_staged(spark, tmp_path):
-    """What fails its check stays in quarantine and the table as it was."""
-    path = str(tmp_path / "models")
-    none_null = lambda df: df.where("id is null")
-    assert sinks.promoted(spark.range(5), path, none_null)[0] == "registered"
-    state, wrong = sinks.promoted(spark.createDataFrame([(None,), (1,)], "id long"), path, none_null)
-    assert state == "refused" and wrong.count() == 1
-    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(path + ".quarantine").count() == 2
-    assert sinks.promoted(spark.range(7), path, none_null)[0] == "registered"
-    assert spark.read.parquet(path).count() == 7 and spark.read.parquet(path + ".prev").count() == 5
-
-
 def test_dates_of_all_forms(spark):
     forms = {"Mon, 05 Jan 26 10:00:00 GMT": "2026-01-05 10", "5 Jan 99 10:00:00 +0000": "1999-01-05 10", "2026-01-05T10:00:00+02:00": "2026-01-05 08", "2026-01-05": "2026-01-05 00", "": None, "junk": None}
     rows = spark.createDataFrame([(k,) for k in forms], "t string").select("t", F.date_format(dates.parse_date(F.col("t")), "yyyy-MM-dd HH").alias("d"))
