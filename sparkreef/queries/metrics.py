@@ -15,6 +15,7 @@ from sparkreef.operators import alerts, rules, timeseries, topn
 from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
 from sparkreef.sources import sinks, targets
+from sparkreef.streaming import conflation
 
 _SAMPLES_SQL = """samples AS (SELECT event_id, ts, event_type AS metric, (user_id % 8)::INT AS device, user_id,
     round(value * 100)::BIGINT AS cents, props FROM events)"""
@@ -565,6 +566,9 @@ def r11_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id % 8 AS device, max(event_id) AS seq, arg_max(event_type, event_id) AS snapshot FROM events GROUP BY 1"""
 )
 def r08_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients skip to the newest snapshot."""
-    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("device"))
-    return rows.agg(F.max("event_id").alias("seq"), F.max_by("event_type", "event_id").alias("snapshot"))
+    """Snapshots arrive as a stream; clients find the newest of each device, whatever went by before they came."""
+    arrived = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    snapshots = arrived.select((F.col("user_id") % 8).alias("device"), F.col("event_id").alias("seq"), F.col("event_type").alias("snapshot"))
+    path = f"{shared_folder(spark)}/r08-{uuid.uuid4().hex}"
+    conflation.conflate(snapshots, "device", "seq", f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return conflation.seen_by(spark, f"{path}/table")[1].select("device", "seq", "snapshot")

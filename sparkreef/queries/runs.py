@@ -11,7 +11,7 @@ from sparkreef.operators import curation, folds, topn
 from sparkreef.operators.lineage import shared_folder
 from sparkreef.queries import query, table
 from sparkreef.sources import manifests
-from sparkreef.streaming import digest, progress
+from sparkreef.streaming import admission, digest, progress
 
 BATCH = 40
 CEILING = 60_000
@@ -227,3 +227,30 @@ def r10_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k04_state_after_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run leaves as state are the keys of what it has written."""
     return spark.read.parquet(f"{digest_runs(spark, sf_dir)[1]}/keys").select("key")
+
+
+@query(
+    """WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id // 3, doc_id::VARCHAR) AS n FROM documents)
+    SELECT lang AS watch, doc_id::VARCHAR AS key, (n - 1) // 50 + 1 AS run FROM r WHERE n <= 150"""
+)
+def r03_deferred_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of a stream: what the first found and couldn't take waits in its state, and comes oldest first."""
+    at = lambda hours: F.lit("2024-06-01").cast("timestamp") + F.make_dt_interval(hours=hours)
+    docs = table(spark, sf_dir, "documents")
+    age = F.lit("2024-05-20").cast("timestamp") + F.make_dt_interval(secs=F.floor(F.col("doc_id") / 3))
+    found = admission.arrivals(docs, F.col("lang"), F.col("source"), F.col("doc_id"), age)
+    feeds = docs.select(F.col("lang").alias("watch"), "source").distinct()
+    ended = lambda run: feeds.select("watch", "source", F.lit(None).cast("string").alias("key"), at(F.lit(run)).alias("at"), F.lit(True).alias("ok"))
+    path = f"{shared_folder(spark)}/r03-{uuid.uuid4().hex}"
+    for run in (1, 2, 3):
+        arrived = ended(run).unionByName(found) if run == 1 else ended(run)
+        arrived.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(admission.ARRIVALS).parquet(f"{path}/in")
+        told = admission.admitted(stream, budget=50)
+
+        def keep(rows: DataFrame, _: int, run: int = run) -> None:
+            rows.where("kind = 'item'").select("watch", "key", F.lit(run).cast("long").alias("run")).write.mode("overwrite").parquet(f"{path}/out/{run}")
+
+        with admission.state_store(spark):
+            told.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
+    return spark.read.parquet(*(f"{path}/out/{run}" for run in (1, 2, 3))).select("watch", "key", "run")

@@ -8,9 +8,10 @@ files of runs before: cutoffs, keys and waiting items are in the state store.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
@@ -89,13 +90,25 @@ class Admission(StatefulProcessor):
         pass
 
 
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """A state store with column families for the streams that are started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def admitted(arrivals: DataFrame, budget: int = 150, look_back_s: int = 30 * 86_400) -> DataFrame:
     """The rows of ADMITTED that a stream of ARRIVALS leads to, a run for each trigger in which a fetch ended.
 
     First per key wins (the oldest), keys taken or waiting don't come again, items before their source's
     cutoff are left out, undated ones never. A failed source keeps its cutoff; one without any is
     pinned to what it had to go by. A watch's keys and waiting items are the state of one task.
-    The session needs a state store with column families, ``PROVIDER``.
+    The stream needs a state store with column families, see ``state_store``.
     """
     rows = arrivals.withColumn("at", F.unix_micros("at"))
     told = rows.groupBy("watch").transformWithState(Admission(budget, look_back_s), ADMITTED.replace("timestamp", "long"), "update", "none")

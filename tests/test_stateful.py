@@ -15,11 +15,8 @@ DAY = dt.datetime(2026, 1, 6)
 
 @pytest.fixture
 def stored(spark):
-    """A state store with column families."""
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", admission.PROVIDER)
-    yield spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    with admission.state_store(spark):
+        yield spark
 
 
 def batches(spark, folder, parts, schema):
