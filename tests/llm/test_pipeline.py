@@ -84,6 +84,11 @@ def test_run_is_its_stages(spark, small, ran):
     if ran[0] == small:
         found = corpus_pipeline.run(spark, small)
         assert found.columns == ran[1][-1].columns and found.count() > 0
+        folders = {f.split("/corpus-")[1].split("/")[1] for f in found.inputFiles()}
+        assert folders == {"4-packing"}
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]).getParent().getParent()
+        left = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+        assert [s.getPath().getName() for s in left] == ["4-packing"]  # the others are gone
 
 
 def test_empty_documents(spark, empty):
