@@ -18,6 +18,9 @@ from sparkreef.sources import manifests
 PROBES = 5
 BITS_A_KEY = 10
 
+#: Batches that others were merged into have numbers from here on.
+MERGED = 10**9
+
 
 def _probes(keys: DataFrame, key: str, width) -> DataFrame:
     """A row for each bit of each key: word, bit. ``width`` is the filter's number of bits, a power of two."""
@@ -27,7 +30,7 @@ def _probes(keys: DataFrame, key: str, width) -> DataFrame:
     return spread.select(*keys.columns, F.shiftright("_at", 6).alias("word"), F.expr("shiftleft(1L, int(_at & 63))").alias("bit"))
 
 
-def add(keys: DataFrame, key: str, path: str, batch: int) -> None:
+def add(keys: DataFrame, key: str, path: str, batch: int, **more) -> None:
     """Makes the keys batch number ``batch``, with its filter; a batch that is added again is replaced.
 
     Rows go first, then the filter; the entry that makes them count comes last.
@@ -41,16 +44,44 @@ def add(keys: DataFrame, key: str, path: str, batch: int) -> None:
     words.write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
     files, at = manifests.file_system(spark, path)
     files.mkdirs(at(f"{path}/batches"))
-    manifests.create_once(spark, f"{path}/batches/{batch:010d}.json", json.dumps({"batch": batch, "bits": bits, "n": n}))
+    manifests.create_once(spark, f"{path}/batches/{batch:010d}.json", json.dumps({"batch": batch, "bits": bits, "n": n, **more}))
 
 
 def batches(spark: SparkSession, path: str, before: int | None = None) -> list[dict]:
-    """The batches that count, without those from ``before`` on; small entries, one a batch."""
+    """The batches that count, without those from ``before`` on; small entries, one a batch.
+
+    A batch that was merged into another counts in that one.
+    """
     files, at = manifests.file_system(spark, path)
     if not files.exists(at(f"{path}/batches")):
         return []
     told = [json.loads(r.value) for r in spark.read.text(f"{path}/batches/*.json", wholetext=True).collect()]
-    return sorted((e for e in told if before is None or e["batch"] < before), key=lambda e: e["batch"])
+    if before is not None:
+        told = [e for e in told if e.get("upto", e["batch"]) < before]
+    covered = {n for e in told for n in e.get("covers", ())}
+    return sorted((e for e in told if e["batch"] not in covered), key=lambda e: e["batch"])
+
+
+def merge(spark: SparkSession, key: str, path: str, before: int) -> int | None:
+    """Makes one batch of all before ``before``, so that filters stay few; its number, None if there is nothing to merge.
+
+    The merged batch counts from the moment its entry stands, and what it covers no more. Folders of
+    batches that were covered already when this began go now. So ``before`` is a number that no run
+    goes back behind, and no batch is added meanwhile.
+    """
+    known = batches(spark, path, before)
+    if len(known) < 2:
+        return None
+    files, at = manifests.file_system(spark, path)
+    counts = {e["batch"] for e in batches(spark, path)}
+    for part in ("keys", "filters"):
+        for status in files.listStatus(at(f"{path}/{part}")):
+            if int(status.getPath().getName().split("=")[1]) not in counts:
+                files.delete(status.getPath(), True)
+    upto = max(e.get("upto", e["batch"]) for e in known)
+    keys = spark.read.parquet(*(f"{path}/keys/batch={e['batch']}" for e in known)).select(key)
+    add(keys, key, path, MERGED + upto, upto=upto, covers=[e["batch"] for e in known])
+    return MERGED + upto
 
 
 def candidates(items: DataFrame, key: str, path: str, before: int | None = None) -> list[int]:

@@ -113,3 +113,21 @@ def test_digest_reads_only_candidates(spark, tmp_path, monkeypatch):
     assert asked[0] == [] and [i - 1 in a for i, a in enumerate(asked)][1:] == [True] * 3
     found = [r.key for r in spark.read.parquet(places[0]).collect()]
     assert len(found) == len(set(found)) == 1200
+
+
+def test_merged_batches_answer_alike(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    key = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("key-"), "id").alias("key"))
+    for batch in range(6):
+        seen.add(key(batch * 100, batch * 100 + 100), "key", path, batch)
+    asked = key(350, 450).unionByName(key(900, 905))
+    before = sorted(r.key for r in seen.unseen(asked, "key", path, before=5).collect())
+    assert seen.merge(spark, "key", path, before=4) == seen.MERGED + 3
+    assert [e["batch"] for e in seen.batches(spark, path)] == [4, 5, seen.MERGED + 3]
+    assert sorted(r.key for r in seen.unseen(asked, "key", path, before=5).collect()) == before
+    assert seen.merge(spark, "key", path, before=6) == seen.MERGED + 5
+    assert [e["batch"] for e in seen.batches(spark, path)] == [seen.MERGED + 5]
+    left = sorted(r.key for r in seen.unseen(asked, "key", path).collect())
+    assert left == sorted(f"key-{i}" for i in range(900, 905))
+    assert seen.merge(spark, "key", path, before=6) is None
+    assert not os.path.exists(f"{path}/keys/batch=2") and os.path.exists(f"{path}/keys/batch={seen.MERGED + 5}")
