@@ -103,8 +103,8 @@ def w03_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '{END}' GROUP BY metric, device"""
 )
 def w04_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The increase since midnight in the zone of display, a minute at least."""
-    now = F.lit(END).cast("timestamp") - F.make_dt_interval(secs=F.lit(1))
+    """The increase since midnight in the zone of display, a minute at least; now is the last microsecond before END."""
+    now = F.timestamp_micros(F.unix_micros(F.lit(END).cast("timestamp")) - 1)
     midnight = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(now, "UTC")), "UTC")
     since = F.least(midnight, now - F.make_dt_interval(mins=F.lit(1)))
     stepped = timeseries.increases(counter(spark, sf_dir), LABELS, "ts", "total", "event_id")
