@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Entities that are decoded, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
+#: A word's edge where ASCII letters, digits and _ make words, as in SQL; Java's \b knows letters beyond.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
 
 def norm_key(text: Column, size: int = 60) -> Column:
     """Lower case, runs of anything but a-z and 0-9 as one dash, none at the ends, cut to ``size``."""
@@ -96,7 +99,7 @@ def flags(rules: Sequence[tuple[str, Column]]) -> Column:
 def advisory_id(text: Column) -> Column:
     """The first CVE, GHSA, CERT-Bund, ICS or RUSTSEC style id, upper-cased; null without one."""
     pattern = (
-        r"(?i)\b(CVE-\d{4}-\d{4,}|GHSA(?:-[0-9a-z]{4}){3}|WID-SEC-\d{4}-\d+|ICSM?A-\d{2}-\d{3}-\d{2}|RUSTSEC-\d{4}-\d{4})\b"
+        EDGE + r"(?i)(CVE-\d{4}-\d{4,}|GHSA(?:-[0-9a-z]{4}){3}|WID-SEC-\d{4}-\d+|ICSM?A-\d{2}-\d{3}-\d{2}|RUSTSEC-\d{4}-\d{4})" + EDGE
     )
     return F.nullif(F.upper(F.regexp_extract(text, pattern, 1)), F.lit(""))
 

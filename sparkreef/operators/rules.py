@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkreef.functions.text import EDGE
+
 
 def glob(pattern: str) -> str:
     """An anchored regular expression: * is anything, ? one character, the rest is itself."""
@@ -35,7 +37,7 @@ def scanned(lines: DataFrame, text: str, fixed: Sequence[str], words: Sequence[s
     """Rows with the array hits: fixed strings, whole words in either case, shapes that no exclusion fits."""
     t = F.col(text)
     hits = [F.when(t.contains(f), f"fixed:{f}") for f in fixed]
-    hits += [F.when(t.rlike(rf"(?i)\b{re.escape(w)}\b"), f"word:{w}") for w in words]
+    hits += [F.when(t.rlike(rf"(?i){EDGE}{re.escape(w)}{EDGE}"), f"word:{w}") for w in words]
     allowed = F.lit(True)
     for e in excluded:
         allowed = allowed & ~t.rlike(e)
