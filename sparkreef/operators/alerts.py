@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkreef.operators import timeseries
+
 
 def holds(samples: DataFrame, labels: Sequence[str], at: str, unique: str, condition: Column, hold_s: int) -> DataFrame:
     """(labels, since, until, state) of each stretch in which the condition held: firing once it has
@@ -23,8 +25,7 @@ def holds(samples: DataFrame, labels: Sequence[str], at: str, unique: str, condi
 
 def threshold_hits(samples: DataFrame, labels: Sequence[str], at: str, n: int, within_s: int) -> DataFrame:
     """Samples at which ``n`` or more of their series lie within the seconds before; column hits."""
-    frame = W.partitionBy(*labels).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-within_s * 1_000_000, 0)
-    return samples.withColumn("hits", F.count("*").over(frame)).where(F.col("hits") >= n)
+    return timeseries.windowed(samples, labels, at, within_s, hits=F.lit(1)).where(F.col("hits") >= n)
 
 
 def stale(samples: DataFrame, labels: Sequence[str], at: str, now: Column, after_s: int) -> DataFrame:

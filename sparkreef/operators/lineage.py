@@ -1,4 +1,4 @@
-"""Cutting lineage where loops would let plans grow with their rounds."""
+"""Cutting lineage where loops would let plans grow with their rounds, and dealing rows out to tasks."""
 
 from __future__ import annotations
 
@@ -25,3 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+#: Tasks that rows are dealt out to, at least.
+TASKS = 64
+
+
+def dealt(df: DataFrame, *columns: str, tasks: int = TASKS) -> DataFrame:
+    """``df`` with rows of equal ``columns`` in one task; without any, in turn.
+
+    The number of tasks is given: ``tasks``, or ``spark.sql.shuffle.partitions`` if that is more. Spark
+    doesn't merge them by their size on disk, which tells little of what sorting them or working on them takes.
+    """
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkreef.operators import dedupe
+from sparkreef.operators import dedupe, lineage
 
 
 def seconds(at: str) -> Column:
@@ -27,22 +27,43 @@ def increases(samples: DataFrame, labels: Sequence[str], at: str, value: str, un
     return samples.withColumn("step", step)
 
 
-def windowed(samples: DataFrame, labels: Sequence[str], at: str, length_s: int, **aggregates: Column) -> DataFrame:
-    """Aggregates over each sample's window, the ``length_s`` seconds up to it."""
-    frame = W.partitionBy(*labels).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-length_s * 1_000_000, 0)
-    return samples.withColumns({name: column.over(frame) for name, column in aggregates.items()})
+def windowed(samples: DataFrame, labels: Sequence[str], at: str, length_s: int, **summed: Column) -> DataFrame:
+    """``samples`` with sums of columns over each sample's window, the ``length_s`` seconds up to it.
+
+    Time is cut into blocks as long as the window, so that a window is the beginning of its own block and
+    the end of the one before. Each sample also goes on to the next block, and two running sums, one from
+    the block's beginning, one from its end, make up the window's: the work is in proportion to the
+    samples however many lie in a window, nothing is subtracted, and a series is dealt out by its blocks.
+    """
+    length = length_s * 1_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    block = F.floor((micros - F.pmod(micros, F.lit(length))) / length)
+    copies = F.array(F.lit(0), F.lit(1))
+    spread = samples.withColumns({f"_sum_{name}": column for name, column in summed.items()}).withColumn("_late", F.explode(F.when(micros.isNull(), F.array(F.lit(0))).otherwise(copies)))
+    spread = spread.withColumns({"_block": block + F.col("_late"), "_until": micros + F.col("_late") * length})
+    spread = lineage.dealt(spread, *labels, "_block")
+    series = W.partitionBy(*labels, "_block")
+    until = series.orderBy("_until").rangeBetween(W.unboundedPreceding, W.currentRow)
+    since = series.orderBy(F.desc("_until")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    parts = {}
+    for name in summed:
+        parts[f"_own_{name}"] = F.sum(F.when(F.col("_late") == 0, F.col(f"_sum_{name}"))).over(until)
+        parts[f"_before_{name}"] = F.sum(F.when(F.col("_late") == 1, F.col(f"_sum_{name}"))).over(since)
+    met = spread.withColumns(parts).where("_late = 0")
+    whole = {name: F.coalesce(F.col(f"_own_{name}") + F.col(f"_before_{name}"), f"_own_{name}", f"_before_{name}") for name in summed}
+    return met.withColumns(whole).select(*samples.columns, *summed)
 
 
 def rate_raw(samples: DataFrame, labels: Sequence[str], at: str, value: str, unique: str, length_s: int) -> DataFrame:
     stepped = increases(samples, labels, at, value, unique)
-    return windowed(stepped, labels, at, length_s, increase=F.sum("step")).withColumn("rate", F.col("increase") / length_s)
+    return windowed(stepped, labels, at, length_s, increase=F.col("step")).withColumn("rate", F.col("increase") / length_s)
 
 
 def changes(samples: DataFrame, labels: Sequence[str], at: str, value: str, unique: str, length_s: int) -> DataFrame:
     """``samples`` with how often the value changed over the window."""
     before = F.lag(value).over(W.partitionBy(*labels).orderBy(at, unique))
     marked = samples.withColumn("_changed", F.coalesce((F.col(value) != before).cast("int"), F.lit(0)))
-    return windowed(marked, labels, at, length_s, changes=F.sum("_changed")).drop("_changed")
+    return windowed(marked, labels, at, length_s, changes=F.col("_changed")).drop("_changed")
 
 
 def resampled(

@@ -1,5 +1,8 @@
 """Null, tie and ordering rules of the relational operators."""
 
+import time
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars
@@ -115,3 +118,22 @@ def test_all_problems_of_a_row(spark):
     rows = spark.createDataFrame([(None, "x"), (5, "a")], "n int, s string")
     found = validate.violations(rows, validate.compiled({"n": {"required": True, "minimum": 3}, "s": {"enum": ["a"]}}))
     assert sorted(map(len, (r.problems for r in found.collect()))) == [0, 3]
+
+
+def test_windows_are_summed_whatever_lies_in_them(spark):
+    # 40,000 samples in one window: in proportion to pairs this takes minutes
+    rows = spark.range(40_000).select(F.lit("a").alias("k"), F.timestamp_micros(F.col("id") * 1000 - 5_000_000).alias("at"), F.col("id"))
+    began = time.monotonic()
+    found = {r.id: r.held for r in timeseries.windowed(rows, ["k"], "at", 7, held=F.lit(1)).collect()}
+    assert found == {i: min(i + 1, 7001) for i in range(40_000)}
+    plan = timeseries.windowed(rows, ["k"], "at", 7, held=F.lit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and "specifiedwindowframe(RangeFrame, -7000000" not in plan
+    assert time.monotonic() - began < 60
+
+
+def test_windows_with_ties_nulls_and_edges(spark):
+    rows = [("a", 0, 1), ("a", 0, 2), ("a", 10, None), ("a", 10, 4), ("a", 11, 8), ("a", 25, None), ("b", None, 16), ("b", None, 32), (None, 3, 64), (None, -4, 128)]
+    given = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, s long, v long, i int").withColumn("at", F.timestamp_seconds("s"))
+    frame = W.partitionBy("k").orderBy("s").rangeBetween(-10, 0)
+    wanted = {r.i: r.v for r in given.select("i", F.sum("v").over(frame).alias("v")).collect()}
+    assert {r.i: r.x for r in timeseries.windowed(given, ["k"], "at", 10, x=F.col("v")).collect()} == wanted
