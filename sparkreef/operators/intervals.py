@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreef.functions import versions
+from sparkreef.operators import lineage
 
 #: Buckets the places of points are cut into.
 BUCKETS = 64
@@ -47,8 +48,13 @@ def affected(components: DataFrame, advisories: DataFrame, product: str, version
     ranges that can't be read match nothing; ``unread`` tells which these are. Rows that repeat match
     as often as they stand there.
     """
-    keyed = components.withColumn("_key", versions.version_key(F.col(version)))
-    spans = unfolded(advisories, text).where("_span is not null")
+    # What is read, met and compared are the distinct versions and ranges of a product; rows only join the classes
+    # they belong to, so that rows that repeat cost no more than the results they give.
+    # Checkpoints keep filters on what is read from being pushed below the distinct rows.
+    own = lineage.checkpointed(components.select(product, version).distinct())
+    told = lineage.checkpointed(advisories.select(product, text).distinct())
+    keyed = own.withColumn("_key", versions.version_key(F.col(version)))
+    spans = unfolded(told, text).where("_span is not null")
     spans = spans.select("*", F.col("_span.lo").alias("_lo"), F.col("_span.hi").alias("_hi"), F.col("_span.but").alias("_but")).drop("_span")
     at, first, last = (versions.place(F.col(c)) for c in ("_key", "_lo", "_hi"))
     open_low, open_high = F.length("_lo") < 2, F.substring("_hi", 2, 1) == versions.HIGHEST
@@ -59,7 +65,9 @@ def affected(components: DataFrame, advisories: DataFrame, product: str, version
     met = range_join(known, spans, [product], at, F.when(~open_low, first), F.when(~open_high, last), inside, cuts)
     # alternatives of one range may overlap: the first that holds is enough
     once = met.where(~F.exists("_earlier", lambda s: (s["lo"] < point) & (point < s["hi"]) & ~F.array_contains(s["but"], F.col("_key"))))
-    return once.drop("_key", "_lo", "_hi", "_but", "_earlier")
+    told_of = components.join(lineage.checkpointed(once.select(product, version, text)), [product, version])
+    found = lineage.dealt(told_of, product, text).join(lineage.dealt(advisories, product, text), [product, text])
+    return found.select(product, *(c for c in [*components.columns, *advisories.columns] if c != product))
 
 
 def unfolded(advisories: DataFrame, text: str) -> DataFrame:
