@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkreef.operators import lineage
+
 
 def reconciled(desired: DataFrame, live: DataFrame, key: str, same: Column) -> DataFrame:
     """(key, class): ok, update, missing (not live) or unmanaged (not desired); duplicate where the
@@ -32,12 +34,18 @@ def drift(locked: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFr
 
 
 def dangling(rows: DataFrame, references: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """(column, value, n) of references to what isn't there; null refers to nothing."""
+    """(column, value, n) of references to what isn't there; null refers to nothing.
+
+    Keys of one type are compared as they are, others as texts; only what is lost becomes text. Both sides
+    are dealt out to the same tasks, where counting keeps a number for each key.
+    """
     found = None
     for column, target, key in references:
-        used = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-        known = target.select(F.col(key).cast("string").alias("value")).distinct()
-        lost = used.join(known, "value", "left_anti").select(F.lit(column).alias("column"), "value", "n")
+        same = rows.schema[column].dataType == target.schema[key].dataType
+        value = lambda c, same=same: (F.col(c) if same else F.col(c).cast("string")).alias("value")
+        used = lineage.dealt(rows.select(value(column)).where("value is not null"), "value").groupBy("value").agg(F.count("*").alias("n"))
+        known = lineage.dealt(target.select(value(key)), "value")
+        lost = used.join(known, "value", "left_anti").select(F.lit(column).alias("column"), F.col("value").cast("string").alias("value"), "n")
         found = lost if found is None else found.unionByName(lost)
     return found
 
@@ -46,16 +54,21 @@ def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def complete_shards(parts: DataFrame, group: str, index: str, of: str) -> DataFrame:
-    """(group, complete): the indices are 1 to n, once each, and all agree on n."""
-    return parts.groupBy(group).agg(
-        (
-            (F.count("*") == F.max(of))
-            & (F.count_distinct(index) == F.count("*"))
-            & (F.min(index) == 1)
-            & (F.max(index) == F.max(of))
-            & (F.min(of) == F.max(of))
-        ).alias("complete")
+def complete_shards(parts: DataFrame, group: str, index: str, of: str | None = None) -> DataFrame:
+    """(group, complete): the indices are 1 to n, once each, and all agree on n; without ``of`` n is the largest index.
+
+    Which indices a group has is kept as bits, 64 to a row, not as a set of values.
+    """
+    held = lineage.dealt(parts.select(group, F.col(index).alias("_index"), F.col(of or index).alias("_of")), group)
+    bit = F.expr("shiftleft(1L, cast(pmod(_index, 64) as int))")
+    bits = held.groupBy(group, F.floor(F.col("_index") / 64).alias("_word")).agg(
+        F.count("*").alias("_n"), F.bit_count(F.bit_or(bit)).alias("_distinct"), F.min("_index").alias("_least"), F.max("_index").alias("_most"),
+        F.min("_of").alias("_of_least"), F.max("_of").alias("_of_most"),
+    )
+    n, of_most = F.sum("_n"), F.max("_of_most")
+    agreed = F.min("_of_least") == of_most if of else F.lit(True)
+    return bits.groupBy(group).agg(
+        ((n == of_most) & (F.sum(F.coalesce("_distinct", F.lit(0))) == n) & (F.min("_least") == 1) & (F.max("_most") == of_most) & agreed).alias("complete")
     )
 
 

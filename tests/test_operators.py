@@ -1,12 +1,13 @@
 """Null, tie and ordering rules of the relational operators."""
 
+import re
 import time
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkreef.functions import scalars
-from sparkreef.operators import curation, cutoff, dedupe, folds, reconcile, rules, timeseries, topn, validate
+from sparkreef.operators import curation, cutoff, dedupe, folds, lineage, reconcile, rules, timeseries, topn, validate
 
 
 def test_first_wins_by_order_not_by_arrival(spark):
@@ -137,3 +138,27 @@ def test_windows_with_ties_nulls_and_edges(spark):
     frame = W.partitionBy("k").orderBy("s").rangeBetween(-10, 0)
     wanted = {r.i: r.v for r in given.select("i", F.sum("v").over(frame).alias("v")).collect()}
     assert {r.i: r.x for r in timeseries.windowed(given, ["k"], "at", 10, x=F.col("v")).collect()} == wanted
+
+
+def tasks_of(df):
+    """The given numbers of tasks of a plan's shuffles."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_references_are_counted_in_many_tasks_by_their_own_type(spark):
+    rows = spark.createDataFrame([(1, "01"), (1, "2"), (2, None), (None, "9"), (7, "2")], "a long, b string")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "id long")
+    found = reconcile.dangling(rows, [("a", ids, "id"), ("b", ids, "id")])
+    assert {tuple(r) for r in found.collect()} == {("a", "2", 1), ("a", "7", 1), ("b", "01", 1), ("b", "2", 2)}
+    assert tasks_of(found) and min(tasks_of(found)) >= lineage.TASKS
+    assert "cast(a" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shards_are_complete_by_bits(spark):
+    given = {"a": ([1, 2, 3], 3), "b": ([1, 2, 2], 3), "c": ([1, 3, 3], 3), "d": (range(1, 201), 200), "e": ([*range(1, 200), 64], 200), "f": ([2, 3], 3), "g": ([1, None], 2), "h": ([0, 1], 1), "i": ([1, 2], 1)}
+    rows = spark.createDataFrame([(k, i, of) for k, (many, of) in given.items() for i in many], "k string, i int, n int")
+    complete = lambda *of: {r.k for r in reconcile.complete_shards(rows, "k", "i", *of).where("complete").collect()}
+    assert complete("n") == {"a", "d"} and complete() == {"a", "d", "i"}
+    assert min(tasks_of(reconcile.complete_shards(rows, "k", "i", "n"))) >= lineage.TASKS
+    plan = reconcile.complete_shards(rows, "k", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "Window" not in plan
