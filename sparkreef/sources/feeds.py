@@ -84,8 +84,13 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(feeds: DataFrame, source: str = "path") -> DataFrame:
-    """(source, place, title, link, at, about): a row per item, in document order, dates as timestamps."""
-    rows = feeds.where("ok").select(F.col(source).alias("source"), F.posexplode("items").alias("place", "i"))
+    """(source, place, title, link, at, about): a row per item, in document order, dates as timestamps.
+
+    Nothing is asked of a feed before its items stand apart: a filter on what was read would make Spark
+    read bodies where they come from, before they are dealt out to tasks.
+    """
+    items = F.posexplode_outer(F.when(F.col("ok"), F.col("items"))).alias("place", "i")
+    rows = feeds.select(F.col(source).alias("source"), items).where("place is not null")
     return rows.select("source", "place", "i.title", "i.link", dates.parse_date(F.col("i.date")).alias("at"), "i.about")
 
 

@@ -38,3 +38,11 @@ def test_whole_words_end_where_ascii_ends(spark):
     lines = spark.createDataFrame([(1, "élicense"), (2, "xlicense"), (3, "the License."), (4, "licenseß CVE-2024-1234é")], "k int, line string")
     assert sorted(r.k for r in rules.scanned(lines, "line", (), ("license",), (), ()).collect()) == [1, 3, 4]
     assert lines.where("k = 4").select(text.advisory_id(F.col("line"))).first()[0] == "CVE-2024-1234"
+
+
+def test_work_on_bodies_is_dealt_out(spark, small):
+    """What reads bodies stands above the shuffle that gives many tasks of a small table."""
+    for name, work in (("s06_feed_items", "from_xml"), ("s30_model_entries", "aggregate(")):
+        plan = QUERIES[name].run(spark, small)._jdf.queryExecution().optimizedPlan().toString().lower()
+        above, below = plan.split("repartitionbyexpression" if "repartitionbyexpression" in plan else "repartition ", 1)
+        assert ("xml" in above if work == "from_xml" else work in above) and "xml" not in below and work not in below
