@@ -25,15 +25,22 @@ def _unquoted(value: Column) -> Column:
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
+def _line(line: Column) -> Column:
+    """What a line says: text, depth, the name before its colon and what follows, each read once."""
+    body = F.trim(line)
+    return F.struct(
+        body.alias("body"), (F.length(line) - F.length(F.ltrim(line))).alias("depth"),
+        _unquoted(F.substring_index(body, ":", 1)).alias("name"), F.trim(F.regexp_replace(body, "^[^:]*:", "")).alias("rest"),
+    )
+
+
 def _noted(state: Column, line: Column) -> Column:
     """One more line: how far it is indented tells what it belongs to.
 
     At the margin a section begins; under models, two blanks in, a model does, and four in, one of its
     fields; what is further in goes on with that field. Under macros each line is a macro.
     """
-    body = F.trim(line)
-    depth = F.length(line) - F.length(F.ltrim(line))
-    name, rest = _unquoted(F.substring_index(body, ":", 1)), F.trim(F.regexp_replace(body, "^[^:]*:", ""))
+    body, depth, name, rest = (line[x] for x in ("body", "depth", "name", "rest"))
     within = F.when(depth == 0, 0).when(state["section"] == "macros", 1).when(state["section"] != "models", 9).when(depth <= 2, 2).when(depth <= 4, 3).otherwise(4)
     opens = F.when(rest.isin("", "|", "|-", ">", ">-"), F.lit(None).cast("string")).otherwise(rest)
     macro = F.struct(name.alias("key"), _unquoted(rest).alias("value"))
@@ -96,7 +103,7 @@ def model_entries(configs: DataFrame, text: str, flags: Sequence[str], keep: Seq
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("section"), none.alias("id"), none.alias("field"), F.array().alias("macros"), F.array().alias("told")).cast(_LINES)
     lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
-    read = configs.select(*keep, F.aggregate(lines, start, _noted).alias("_read"))
+    read = configs.select(*keep, F.aggregate(F.transform(lines, _line), start, _noted).alias("_read"))
     ids = F.array_distinct(F.transform("_read.told", lambda t: t["id"]))
     rows = read.select(*keep, "_read", F.explode(ids).alias("id"))
     own = F.filter("_read.told", lambda t: t["id"] == F.col("id"))
