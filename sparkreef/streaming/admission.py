@@ -9,6 +9,7 @@ files of runs before: cutoffs, keys and waiting items are in the state store.
 from __future__ import annotations
 
 import contextlib
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ from pyspark.sql.types import Row
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Parts that a watch's known keys are kept in: each is looked up once a run, whatever keys of it come.
+PARTS = 4096
+
 #: What goes in: an item of a source has a key; a row without one says how the source's fetch ended.
 ARRIVALS = "watch string, source string, key string, at timestamp, ok boolean"
 
@@ -34,7 +38,7 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cutoffs = handle.getMapState("cutoffs", "source string", "at long")
-        self.known = handle.getMapState("known", "key string", "at long")
+        self.known = handle.getMapState("known", "part long", "keys array<string>")
         self.waiting = handle.getListState("waiting", "source string, key string, at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
@@ -54,13 +58,21 @@ class Admission(StatefulProcessor):
             now = max(at for at, _ in ended.values())
         held = list(self.waiting.get()) if self.waiting.exists() else []
         fresh = []
-        for name, (_, row) in arrived.items():
-            if self.known.containsKey((name,)):
-                continue
-            cutoff = self._cutoff(row.source, now)
-            if row.at is None or cutoff is None or row.at >= cutoff:
-                fresh.append((row.source, name, row.at))
-                self.known.updateValue((name,), (row.at,))
+        cutoffs = {source: self._cutoff(source, now) for source in {row.source for _, row in arrived.values()}}
+        parts: dict[int, list[str]] = {}
+        for name in arrived:
+            parts.setdefault(zlib.crc32(name.encode()) % PARTS, []).append(name)
+        for part, names in parts.items():  # one look-up and one update for all keys of a part
+            known = list(self.known.getValue((part,))[0]) if self.known.containsKey((part,)) else []
+            before, met = len(known), set(known)
+            for name in names:
+                row = arrived[name][1]
+                cutoff = cutoffs[row.source]
+                if name not in met and (row.at is None or cutoff is None or row.at >= cutoff):
+                    fresh.append((row.source, name, row.at))
+                    known.append(name)
+            if len(known) > before:
+                self.known.updateValue((part,), (known,))
         ready = sorted(held + fresh, key=lambda x: (x[2] is not None, x[2] or 0, x[1])) if now is not None else held + fresh
         sent = ready[: self.budget] if now is not None else []
         left = ready[len(sent) :]

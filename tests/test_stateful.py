@@ -184,3 +184,56 @@ def test_states_ignore_what_follows_an_end(spark):
     rows = [("a", 1, "started"), ("a", 2, "finished"), ("a", 3, "progress"), ("b", 1, "started"), ("b", 5, "progress"), (None, 1, "x"), ("c", 9, "failed")]
     found = progress.states(spark.createDataFrame(rows, "run string, seq int, event string"))
     assert sorted(tuple(r) for r in found.collect()) == [("a", 2, "finished", True, 2), ("b", 2, "progress", False, None), ("c", 1, "failed", True, 9)]
+
+
+def test_state_is_asked_by_parts_not_by_items():
+    """Of 50,000 items each part of the known keys is looked up and written once, and known ones don't come again."""
+    from pyspark.sql.types import Row
+
+    from sparkreef.streaming import admission
+
+    asked = []
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def containsKey(self, key):  # noqa: N802
+            asked.append(key)
+            return key in self.held
+
+        def getValue(self, key):  # noqa: N802
+            asked.append(key)
+            return self.held[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            asked.append(key)
+            self.held[key] = value
+
+        def exists(self):
+            return "all" in self.held
+
+        def get(self):
+            return iter(self.held["all"])
+
+        def put(self, rows):
+            self.held["all"] = [tuple(r) for r in rows]
+
+        def clear(self):
+            self.held.clear()
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return State()
+
+        getListState = getMapState  # noqa: N815
+
+    processor = admission.Admission(10, 100)
+    processor.init(Handle())
+    item = lambda i: Row(watch="w", source="s", key=f"k{i}", at=10**9 + i, ok=True)
+    end = Row(watch="w", source="s", key=None, at=10**9, ok=True)
+    rows = list(processor.handleInputRows(("w",), iter([*map(item, range(50_000)), end]), None))
+    assert [r.key for r in rows[:10]] == [f"k{i}" for i in range(10)] and rows[-1].waiting == 49_990
+    assert len(asked) < 2 * admission.PARTS + 10
+    again = list(processor.handleInputRows(("w",), iter([item(3), item(50_001), end]), None))
+    assert [r.key for r in again[:10]] == [f"k{i}" for i in range(10, 20)] and again[-1].waiting == 49_981
