@@ -334,6 +334,17 @@ def _met_all(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
+def fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): candidates by SimHash, of (node, fp): a fingerprint's sets with its least one, and the least ones
+    of fingerprints that ``linked_fingerprints`` links by their pivot tables."""
+    least = checkpointed(marked.groupBy("fp").agg(F.min("node").alias("least")))
+    own = marked.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = [least.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")) for end in ("a", "b")]
+    links = linked_fingerprints(least.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    pairs = own.union(links.select("of_a", "of_b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -348,8 +359,9 @@ def near_copies(
     A node is a distinct shingle set, named after its hash whatever ids hold it, and component_id
     is the least name of a component's nodes; it is no id.
 
-    Such pairs differ in too many SimHash bits for an exact search, so this one is by prefixes: with
-    all sets in one order, rare shingles first, two sets that are alike have one in common among the
+    Sets whose SimHash fingerprints the pivot tables link are candidates first. Pairs that are alike may
+    differ in more bits than such a search can take, so one by prefixes follows for the rest: with all
+    sets in one order, rare shingles first, two sets that are alike have one in common among the
     first ``(1 - similarity)`` of each, so that no pair is missed. Hot shingles come last, so sets
     that share no more than a template seldom meet. Under a shingle, each set first meets the most
     typical one (that with the fewest rarer shingles) and the one before it; then all pairs that
@@ -362,24 +374,26 @@ def near_copies(
     )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "rid", "node", "part", "counts"]
+        names = ["doc", "rid", "node", "fp", "part", "counts"]
         total = None
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text, words)) for text in batch.column(2).to_pylist()]
+            runs = [shingle_hashes(text, words) for text in batch.column(2).to_pylist()]
+            fps = pa.array(np.array([majority(x) for x in runs], np.uint64).view(np.int64))
+            sets = [np.unique(x) for x in runs]
             n = len(sets)
             if n:
                 firsts = (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
                 total = np.bincount(firsts, minlength=1 << COUNT_BITS) + (0 if total is None else total)
             nodes = pa.array([set_name(x) for x in sets], pa.int64())
             none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, fps, *none], names)
         if total is not None:
             packed = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in total.reshape(COUNT_PARTS, -1)]
-            none = [pa.nulls(COUNT_PARTS, pa.int64())] * 3
+            none = [pa.nulls(COUNT_PARTS, pa.int64())] * 4
             parts = [pa.array(np.arange(COUNT_PARTS), pa.int32()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, *parts], names)
 
-    told = checkpointed(rows.mapInArrow(mark, "doc long, rid long, node long, part int, counts binary"))
+    told = checkpointed(rows.mapInArrow(mark, "doc long, rid long, node long, fp long, part int, counts binary"))
     marked = told.where("part is null").select("doc", "rid", "node")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(told.where("part is not null").select("part", "counts")))
 
@@ -419,7 +433,8 @@ def near_copies(
     shape = "token long, at int, size int, node long"
     dealt = docs.select(text_col).mapInArrow(prefixes, shape).repartition("token").sortWithinPartitions("token", "at", "node")
     met = checkpointed(dealt.mapInArrow(shared, shape))
-    pairs = checkpointed(met.mapInArrow(lambda x: _met_first(x, similarity), "a long, b long").distinct())
+    first = met.mapInArrow(lambda x: _met_first(x, similarity), "a long, b long")
+    pairs = checkpointed(first.union(fingerprint_pairs(told.where("part is null").select("node", "fp"))).distinct())
     sets = shingle_sets(docs, text_col, words)
 
     def verified(pairs: DataFrame) -> DataFrame:

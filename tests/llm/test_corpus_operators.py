@@ -526,3 +526,17 @@ def test_training_texts_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, marks: seen.append((sum(map(len, texts)), sorted(marks))))
     toxicity.train(docs, labels)
     assert seen == [(2000, [0] * 10 + [1] * 10)]
+
+
+def test_near_copies_are_candidates_by_fingerprints(spark, monkeypatch):
+    """The stage's candidates come by SimHash and pivots; with no others from the first meeting they still link copies."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = [(1, text), (2, text + " more"), (3, " ".join(f"v{i}" for i in range(300)))]
+    asked = []
+    found = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda marked: asked.append(1) or found(marked))
+    groups = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert asked and len({r.component_id for r in groups.collect()}) == 2
+    marked = spark.createDataFrame([(5, 0), (6, 0), (7, 3), (8, 7), (9, -1)], "node long, fp long")
+    pairs = {tuple(r) for r in found(marked).collect()}  # links span the groups, so that 8 has one of its group
+    assert pairs >= {(5, 6), (5, 7)} and {x for r in pairs for x in r} == {5, 6, 7, 8}
