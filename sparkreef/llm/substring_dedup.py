@@ -48,27 +48,38 @@ CROWD = 1 << 15
 #: Contexts are sorted in blocks of about so many.
 BLOCK = 1 << 14
 
+#: Anchors are found in pieces of about so many bytes, or one text.
+PIECE = 1 << 15
+
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 
 
-@lru_cache(maxsize=256)
-def power(n: int) -> np.uint64:
-    return np.uint64(pow(_BASE, n, 1 << 64))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each run of ``gram`` bytes (a power of two), by doubling."""
-    h, span = data.astype(np.uint64) + np.uint64(1), 1
+    """A hash of each run of ``gram`` bytes (a power of two), by doubling: 32 bits, which choose anchors."""
+    h, span = data.astype(np.uint32) + np.uint32(1), 1
     while span < gram:
-        h = h[:-span] * power(span) + h[span:]
+        h = h[:-span] * np.uint32(pow(_BASE, span, 1 << 32)) + h[span:]
         span *= 2
-    return mixed(h)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return h ^ (h >> np.uint32(15))
+
+
+def gram_keys(data: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
+    """What anchors are shuffled by: 48 bits of a hash of the ``gram`` bytes at ``places`` tell them apart
+    well enough, as bytes are compared later."""
+    wide = min(gram, 8)
+    words = np.ndarray(len(data) - wide + 1, f"<u{wide}", data, strides=(1,))
+    h = np.zeros(len(places), np.uint64)
+    for i in range(0, gram, wide):
+        h = mixed(h * np.uint64(_BASE) + words[places + i])
+    return (h >> np.uint64(16)).view(np.int64)
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -81,34 +92,75 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, first, last): anchors, and the first and last window that each represents."""
+def anchors(data: np.ndarray, length: int, gram: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, keys, first, last): anchors, and the first and last window that each represents.
+
+    ``ends`` tells where texts end, if ``data`` holds several: no window crosses them.
+    """
+    none = (np.zeros(0, np.int64),) * 4
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     hashes = gram_hashes(data, gram)
     width = length - gram + 1
     least = sliding(hashes, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    places = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == hashes)
-    begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    end = np.concatenate([begin[1:] - 1, [len(least) - 1]])
-    order = np.argsort(hashes[places], kind="stable")
-    again = np.full(len(places), 2 * len(data))  # where the same hash comes next
-    twin = np.flatnonzero(hashes[places][order[1:]] == hashes[places][order[:-1]])
-    again[order[twin]] = places[order[twin + 1]]
-    first, last = np.full(len(places), len(data)), np.full(len(places), -1)
-    while len(begin):  # once for most runs of windows; again where a hash occurs twice in a window
-        value = least[begin]
-        at = np.searchsorted(places, begin + width - 1, "right") - 1
-        while len(wrong := np.flatnonzero(hashes[places[at]] != value)):
-            at[wrong] -= 1
-        upto = np.minimum(end, np.minimum(places[at], again[at] - width))
-        np.minimum.at(first, at, begin)
-        np.maximum.at(last, at, upto)
-        more = upto < end
-        begin, end = upto[more] + 1, end[more]
-    used = last >= 0
-    return places[used], hashes[places[used]], first[used], last[used]
+    crossing = (np.zeros(0, np.int64) if ends is None else ends)[:, None] - np.arange(1, length)
+    crossing = crossing[(crossing >= 0) & (crossing < len(least))]
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint32)
+    padded[width - 1 : width - 1 + len(least)] = least
+    padded[width - 1 + crossing] = 0
+    places = np.flatnonzero(sliding(padded, width, np.maximum) == hashes)
+    cut = np.ones(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=cut[1:-1])
+    cut[crossing] = cut[crossing + 1] = True
+    begin, end = np.flatnonzero(cut[:-1]), np.flatnonzero(cut[1:])
+    if len(crossing):
+        inside = np.ones(len(least), bool)
+        inside[crossing] = False
+        begin, end = begin[inside[begin]], end[inside[end]]
+    if not len(begin):
+        return none
+    again = np.full(len(places), 2 * len(data))  # where the same hash comes next, if a window can hold both: no other anchor lies between
+    twin = np.flatnonzero(hashes[places[1:]] == hashes[places[:-1]])
+    again[twin] = places[twin + 1]
+    # The windows that have an anchor's hash as their least and hold it are part of one run.
+    run, value, begin = np.searchsorted(end, places - (width - 1)), hashes[places], np.append(begin, len(data))
+    while len(wrong := np.flatnonzero((begin[run] <= places) & (least[np.minimum(begin[run], len(least) - 1)] != value))):
+        run[wrong] += 1
+    first = np.maximum(begin[run], places - (width - 1))
+    last = np.minimum(np.append(end, -1)[run], np.minimum(places, again - width))
+    used = first <= last
+    places = places[used]
+    return places, gram_keys(data, places, gram), first[used], last[used]
+
+
+class Texts:
+    """Texts end to end, gone through in pieces of whole texts that fit a core's cache."""
+
+    def __init__(self, raws: list[bytes]):
+        self.raw = b"".join(raws)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.end = np.cumsum([len(x) for x in raws], dtype=np.int64)
+        self.start = self.end - [len(x) for x in raws]
+
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        """(from, to) of texts, each of PIECE bytes or so and no more than PIECE texts."""
+        begin = 0
+        while begin < len(self.end):
+            upto = int(np.searchsorted(self.end, self.start[begin] + PIECE, "left")) + 1
+            yield begin, (upto := min(upto, begin + PIECE, len(self.end)))
+            begin = upto
+
+    def anchors(self, begin: int, upto: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """(text, key, places, first, last) of a piece; the three are places in ``data``."""
+        at = int(self.start[begin])
+        ends = self.end[begin:upto] - at
+        places, keys, first, last = anchors(self.data[at : at + int(ends[-1])], length, gram, ends[:-1])
+        return np.searchsorted(ends, places, "right") + begin, keys, places + at, first + at, last + at
+
+
+def of_text(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits, told apart by text."""
+    return text.astype(np.uint64) << np.uint64(48) | keys.view(np.uint64)
 
 
 class Suffixes:
@@ -242,11 +294,6 @@ def repeated_windows(
     return owner[late], place[late]
 
 
-def anchor_keys(hashes: np.ndarray) -> np.ndarray:
-    """What anchors are shuffled by: 48 bits tell them apart well enough, as bytes are compared later."""
-    return (hashes >> np.uint64(16)).view(np.int64)
-
-
 def packed_text(text: str) -> Column:
     """A column's texts, compressed each by itself, as they are shuffled. A function of one column, not
     of rows, so that Spark sees the exchange after it as the same one in each pass."""
@@ -264,14 +311,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
     """(hash, doc, salt): each anchor hash of a text once, from (id, doc, salt, rid, packed, settled)."""
     unpacked = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        hashes, docs, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for doc, salt, packed, settled in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5)), strict=True):
-            if not settled:
-                found = np.unique(anchor_keys(anchors(np.frombuffer(unpacked(packed), np.uint8), length, gram)[1]))
-                hashes.append(found)
-                docs.append(np.full(len(found), doc))
-                salts.append(np.full(len(found), salt, np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs, salts)], ["hash", "doc", "salt"])
+        doc, salt = (batch.column(i).to_numpy() for i in (1, 2))
+        live = np.flatnonzero(~batch.column(5).to_numpy(zero_copy_only=False))
+        packed = batch.column(4)
+        begin = 0
+        while begin < len(live):
+            raws, held = [], 0
+            while begin + len(raws) < len(live) and held < BATCH_BYTES:
+                raws.append(unpacked(packed[int(live[begin + len(raws)])].as_py()))
+                held += len(raws[-1])
+            texts, found, owners = Texts(raws), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, j in texts.pieces():
+                text, keys, *_ = texts.anchors(i, j, length, gram)
+                own = of_text(text - i, keys)
+                own.sort()
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]]
+                found.append(own & np.uint64((1 << 48) - 1))
+                owners.append((own >> np.uint64(48)).astype(np.int64) + begin + i)
+            begin += len(raws)
+            rows = live[np.concatenate(owners)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found).view(np.int64), doc[rows], salt[rows])], ["hash", "doc", "salt"])
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
@@ -315,56 +374,101 @@ _CONTEXT = pa.schema(
 _START_BITS = 40
 
 
+def spread_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each stretch of ``data``: equal bytes, equal hash."""
+    powers, inverse = _powers(1 << max(16, len(data).bit_length()))
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], dtype=np.uint64, out=prefix[1:])
+    return (prefix[end] - prefix[start]) * inverse[start]
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse."""
+    both = np.ones((2, n), np.uint64)
+    both[0, 1:], both[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+    np.cumprod(both, axis=1, dtype=np.uint64, out=both)
+    return both[0], both[1]
+
+
+class _Contexts:
+    """Contexts of a batch's texts: where they begin and end, the anchor's place in them and their key."""
+
+    def __init__(self, raws: list[bytes], wanted: np.ndarray, many: np.ndarray, length: int, gram: int):
+        self.texts = Texts(raws)
+        order = np.argsort(wanted)
+        wanted, many = wanted[order], many[order]
+        parts: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64))]
+        for i, j in self.texts.pieces() if len(wanted) else ():
+            text, keys, places, first, last = self.texts.anchors(i, j, length, gram)
+            mine = of_text(text, keys)
+            at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+            shared = wanted[at] == mine
+            plain, crowded = shared & ~many[at], shared & many[at]
+            origin, to = int(self.texts.start[i]), int(self.texts.end[j - 1])
+            begin, end = first[plain], last[plain] + length
+            hashes = spread_hashes(self.texts.data[origin:to], begin - origin, end - origin)
+            parts.append((text[plain], keys[plain], begin, end, places[plain] - begin, hashes))
+            for t, a, b in zip(*(x[crowded].tolist() for x in (text, first, last)), strict=True):
+                begin = np.arange(a, b + 1)
+                windows = (hashlib.blake2b(self.texts.raw[k : k + length], digest_size=8).digest() for k in range(a, b + 1))
+                hashes = np.frombuffer(b"".join(windows), "<i8")
+                parts.append((np.full(len(begin), t), hashes, begin, begin + length, np.zeros(len(begin), np.int64), hashes.view(np.uint64)))
+        self.text, self.key, self.begin, self.end, self.left, self.hash = map(np.concatenate, zip(*parts, strict=True))
+
+    def late(self, doc: np.ndarray) -> np.ndarray:
+        """Which of them a smaller document of the batch has, too; ``doc`` is each one's document."""
+        size = self.end - self.begin
+        kind = self.hash
+        for x in (self.key, self.left, size):
+            kind = mixed(kind * np.uint64(_BASE) + x.view(np.uint64))
+        order = np.lexsort((doc, kind))
+        fresh = np.concatenate([[True], kind[order][1:] != kind[order][:-1]])[: len(order)]
+        head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        maybe = (doc[head] < doc[order]) & (self.key[head] == self.key[order]) & (self.left[head] == self.left[order]) & (size[head] == size[order])
+        one, two, raw = order[maybe], head[maybe], self.texts.raw
+        places = zip(*(x.tolist() for x in (self.begin[one], self.end[one], self.begin[two], self.end[two])), strict=True)
+        same = np.fromiter((raw[a:b] == raw[c:d] for a, b, c, d in places), bool, len(one))
+        out = np.zeros(len(order), bool)
+        out[one[same]] = True
+        return out
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the shared anchors, from (id, doc, salt, rid, packed, settled, shared): a window each where
     crowded. Of equal contexts in a batch the first document's goes on; the others are settled, so
     their bytes stay behind and they are dealt out by document and salt."""
     unpacked = zstandard.ZstdDecompressor().decompress
-
-    def told(rows: list[tuple]) -> pa.RecordBatch:
-        owners: dict[tuple, int] = {}
-        for key, doc, _, _, _, left, context in rows:
-            kind = (key, left, context)
-            if owners.setdefault(kind, doc) > doc:
-                owners[kind] = doc
-        columns = [[] for _ in _CONTEXT]
-        for key, doc, salt, rid, start, left, context in rows:
-            late = owners[key, left, context] < doc
-            place = rid << _START_BITS | start
-            own = (doc * 0x9E3779B1 + salt * 0x85EBCA77) % _LAST
-            row = (own, doc, salt, place, len(context), None) if late else (key, doc, salt, place, left, context)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
-
     for batch in batches:
-        rows, held = [], 0
-        docs, salts, rids, blobs, settled, lists = (batch.column(i) for i in range(1, 7))
-        shared = lists.flatten()
-        known, crowd = shared.field(0).to_numpy(), shared.field(1).to_numpy(zero_copy_only=False)
-        ends = np.cumsum([len(x) for x in lists]).tolist()
+        doc, salt, rid = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        live = np.flatnonzero(~batch.column(5).to_numpy(zero_copy_only=False))
+        packed, lists = batch.column(4), batch.column(6)
         begin = 0
-        for doc, salt, rid, packed, done, end in zip(*(c.to_pylist() for c in (docs, salts, rids, blobs, settled)), ends, strict=True):
-            mine, many = known[begin:end], crowd[begin:end]
-            begin = end
-            if done:
-                continue
-            raw = unpacked(packed)
-            places, hashes, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
-            hashes = anchor_keys(hashes)
-            plain, crowded = np.isin(hashes, mine[~many]), np.isin(hashes, mine[many])
-            for key, place, a, b in zip(*(x[plain].tolist() for x in (hashes, places, first, last)), strict=True):
-                rows.append((key, doc, salt, rid, a, place - a, raw[a : b + length]))
-            for a, b in zip(first[crowded].tolist(), last[crowded].tolist(), strict=True):
-                for start in range(a, b + 1):
-                    window = raw[start : start + length]
-                    key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, doc, salt, rid, start, 0, window))
-            held += len(raw)
-            if held > BATCH_BYTES:
-                yield told(rows)
-                rows, held = [], 0
-        yield told(rows)
+        while begin < len(live):
+            raws, held = [], 0
+            while begin + len(raws) < len(live) and held <= BATCH_BYTES and len(raws) < 1 << 15:
+                raws.append(unpacked(packed[int(live[begin + len(raws)])].as_py()))
+                held += len(raws[-1])
+            rows = live[begin : begin + len(raws)]
+            begin += len(raws)
+            own = lists.take(pa.array(rows))
+            shared, sizes = own.flatten(), np.diff(own.offsets.to_numpy())
+            wanted = of_text(np.repeat(np.arange(len(rows)), sizes), shared.field(0).to_numpy())
+            found = _Contexts(raws, wanted, shared.field(1).to_numpy(zero_copy_only=False), length, gram)
+            docs, salts = doc[rows][found.text], salt[rows][found.text]
+            late = found.late(docs)
+            dealt = (docs.view(np.uint64) * np.uint64(_BASE) + salts.astype(np.int64).view(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(1)
+            raw = found.texts.raw
+            bytes_ = [None if x else raw[a:b] for x, a, b in zip(late.tolist(), found.begin.tolist(), found.end.tolist(), strict=True)]
+            columns = (
+                np.where(late, dealt.view(np.int64), found.key),
+                docs,
+                salts,
+                rid[rows][found.text] << _START_BITS | found.begin - found.texts.start[found.text],
+                np.where(late, found.end - found.begin, found.left),
+                bytes_,
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT, strict=True)], schema=_CONTEXT)
 
 
 class _Block:
@@ -385,64 +489,76 @@ class _Block:
         """The document of the last kind has it at another place, too."""
         self.places[-1].append((salt, rid, start))
 
-    def spans(self, length: int) -> Iterator[tuple[int, int, int, int, int]]:
-        group = np.array(self.group)
+    def spans(self, length: int) -> np.ndarray:
+        """Rows (document, salt, rid, start, end)."""
+        group = np.array(self.group, np.int64)
         several = np.zeros(len(group), bool)
         same = group[1:] == group[:-1]
         several[1:] |= same
         several[:-1] |= same
         at = np.flatnonzero(several)
         if not len(at):
-            return
+            return np.zeros((0, 5), np.int64)
         doc = np.array(self.docs, np.int64)[at]
         found, place = repeated_windows([self.contexts[i] for i in at], np.array(self.left)[at], group[at], doc, length)
-        for i, p in zip(at[found].tolist(), place.tolist(), strict=True):
-            for salt, rid, start in self.places[i]:
-                yield self.docs[i], salt, rid, start + p, start + p + length
-
-
-def joined_spans(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Spans (doc, salt, rid, start, end), those that touch made one."""
-    out: list[list[int]] = []
-    for *own, start, end in sorted(rows):
-        if out and out[-1][:3] == own and start <= out[-1][4]:
-            out[-1][4] = max(out[-1][4], end)
-        else:
-            out.append([*own, start, end])
-    return [tuple(x) for x in out]
+        runs = joined_spans(np.stack([np.zeros_like(found), np.zeros_like(found), found, place, place + length], 1))
+        kinds = at[runs[:, 2]].tolist()
+        times = [len(self.places[i]) for i in kinds]
+        own = np.array([x for i in kinds for x in self.places[i]], np.int64).reshape(-1, 3)
+        begin, end = (np.repeat(runs[:, i], times) + own[:, 2] for i in (3, 4))
+        return np.stack([np.repeat(doc[runs[:, 2]], times), own[:, 0], own[:, 1], begin, end], 1)
+
+
+def joined_spans(rows: np.ndarray) -> np.ndarray:
+    """Rows (doc, salt, rid, start, end) in order, those that touch made one. Ends lie below 2^31."""
+    rows = rows[np.lexsort(rows.T[3::-1])]
+    if not len(rows):
+        return rows
+    fresh = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])
+    own = np.cumsum(fresh) << 31
+    reach = np.maximum.accumulate(rows[:, 4] + own)  # ends of a text before lie below any of this one
+    apart = fresh.copy()
+    apart[1:] |= rows[1:, 3] + own[1:] > reach[:-1]
+    at = np.flatnonzero(apart)
+    out = rows[at]
+    last = np.concatenate([at[1:], [len(rows)]]) - 1
+    out[:, 4] = (reach - own)[last]
+    return out
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeated spans, from contexts sorted by key, anchor's place, bytes and document."""
-    names = ["doc", "salt", "rid", "start", "end"]
     block, group, head = _Block(), 0, None  # head: (key, left, context, document) of the current kind
 
-    def batch_of(rows):
-        columns = zip(*joined_spans(rows), strict=True) if rows else ([], [], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "salt" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
+    def batch_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        doc, salt, rid, start, end = joined_spans(np.concatenate(rows)).T
+        columns = (doc, salt.astype(np.int32), rid, start, end)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["doc", "salt", "rid", "start", "end"])
 
     for batch in batches:
-        spans = []
-        for key, doc, salt, place, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rid, start = place >> _START_BITS, place & (1 << _START_BITS) - 1
-            if context is None:
-                spans.append((doc, salt, rid, start, start + left))
-                continue
+        docs, salts, places, sizes = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4))
+        rids, starts = places >> _START_BITS, places & (1 << _START_BITS) - 1
+        settled = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+        spans, late = [np.stack([docs, salts, rids, starts, starts + sizes], 1)[settled]], []
+        live = np.flatnonzero(~settled)
+        contexts = batch.column(5).take(pa.array(live)).to_pylist()
+        columns = (batch.column(0).to_numpy(), docs, salts, rids, starts, sizes)
+        for key, doc, salt, rid, start, left, context in zip(*(c[live].tolist() for c in columns), contexts, strict=True):
             if head is not None and head[0] == key and head[1] == left and head[2] == context:
                 if doc > head[3]:
-                    spans.append((doc, salt, rid, start, start + len(context)))
+                    late.append((doc, salt, rid, start, start + len(context)))
                 else:
                     block.again(salt, rid, start)
                 continue
             if head is None or head[0] != key:
                 if len(block.docs) >= BLOCK:
-                    spans += block.spans(length)
+                    spans.append(block.spans(length))
                     block = _Block()
                 group += 1
             head = (key, left, context, doc)
             block.add(group, doc, salt, rid, start, left, context)
-        yield batch_of(spans)
-    yield batch_of(list(block.spans(length)))
+        yield batch_of([*spans, np.array(late, np.int64).reshape(-1, 5)])
+    yield batch_of([block.spans(length)])
 
 
 def copied_texts(own: DataFrame) -> DataFrame:
@@ -514,8 +630,13 @@ def repeated_spans(
 
 def removed_runs(spans: list[dict] | None, rid: int) -> list[tuple[int, int]]:
     """A row's spans, merged."""
-    own = [(0, 0, 0, s["start"], s["end"]) for s in spans or () if s["rid"] == rid]
-    return [(a, b) for *_, a, b in joined_spans(own)]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans or () if s["rid"] == rid):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:

@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -204,6 +205,48 @@ def test_a_third_without_ids_and_an_id_that_many_share(spark, crowd):
     assert found == Counter((i, *x) for (i, _), x in zip(rows, brute.substring_rows(rows), strict=True))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=0, max_size=90), min_size=1, max_size=8))
+def test_anchors_of_many_texts_are_those_of_each(strings):
+    """And each window has one anchor, which lies in it and at the same place in equal windows."""
+    texts = substring_dedup.Texts([x.encode() for x in strings])
+    text, keys, places, first, last = map(np.concatenate, zip(*(texts.anchors(i, j, 20, 8) for i, j in texts.pieces()), strict=True))
+    alone = [substring_dedup.anchors(np.frombuffer(x.encode(), np.uint8), 20, 8) for x in strings]
+    for i, found in enumerate(zip(keys, places, first, last, strict=True)):
+        assert [int(x) for x in found[1:]] == [int(x[sum(text[:i] == text[i])] + texts.start[text[i]]) for x in (alone[text[i]][k] for k in (0, 2, 3))]
+    assert len(text) == sum(len(x[0]) for x in alone)
+    of = {w: p for p, a, b in zip(places, first, last, strict=True) for w in range(a, b + 1)}
+    windows = [int(s) + k for s, x in zip(texts.start, strings, strict=True) for k in range(len(x) - 19)]
+    assert sorted(of) == windows and sum(last - first + 1) == len(windows)
+    assert all(w <= of[w] <= w + 12 for w in windows)
+    assert len({(texts.raw[w : w + 20], of[w] - w) for w in windows}) == len({texts.raw[w : w + 20] for w in windows})
+
+
+def test_long_runs_of_one_byte_take_no_step_each():
+    text = np.full(1_000_000, ord("="), np.uint8)
+    began = time.thread_time()
+    places, _, first, last = substring_dedup.anchors(text, 50, 16)
+    assert time.thread_time() - began < 5
+    assert int((last - first + 1).sum()) == len(text) - 49 and len(places) == len(text) - 49
+
+
+def test_contexts_are_settled_by_their_bytes(monkeypatch):
+    """Hashes only gather contexts: where all of them collide, those with other bytes are not settled."""
+    passage = "".join(random.Random(24).choice("abcdefghijklmnop ") for _ in range(400))
+    raws = [("x" * 60 + passage).encode(), ("y" * 60 + passage + "z" * 60).encode()]
+    shared = [np.unique(substring_dedup.anchors(np.frombuffer(x, np.uint8), 50, 16)[1]) for x in raws]
+    wanted = np.concatenate([substring_dedup.of_text(np.full(len(x), i), x) for i, x in enumerate(shared)])
+    late = []
+    for hashes in (substring_dedup.spread_hashes, lambda data, start, end: np.zeros(len(start), np.uint64)):
+        monkeypatch.setattr(substring_dedup, "spread_hashes", hashes)
+        found = substring_dedup._Contexts(raws, wanted, np.zeros(len(wanted), bool), 50, 16)
+        late.append(found.late(found.text))
+        kinds = list(zip(found.key.tolist(), found.left.tolist(), (found.texts.raw[a:b] for a, b in zip(found.begin, found.end, strict=True)), strict=True))
+        before = {k for k, t in zip(kinds, found.text, strict=True) if t == 0}
+        assert all(k in before and t == 1 for k, t, x in zip(kinds, found.text, late[-1], strict=True) if x)
+    assert late[0].any()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=12), min_size=1, max_size=12))
 def test_suffix_sort_orders_strings(strings):
