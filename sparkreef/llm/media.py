@@ -39,6 +39,8 @@ FRAME = 2048
 STEP = 256
 LOW, HIGH = 60.0, 2400.0
 WIDTH = 16
+#: Frames that are transformed at a time.
+FRAMES = 16
 #: Quantizer steps of a filter's log ratio.
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -75,8 +77,10 @@ def from_notes(values: list[float] | None) -> tuple[np.ndarray, int] | None:
         return None
     numbers = np.nan_to_num(np.array([0.0 if v is None else v for v in values], np.float64))
     notes = np.clip(np.round(numbers * 60), -18, 18)
-    hertz = np.repeat(330.0 * 2.0 ** (notes / 12), RATE // 8)
-    return np.sin(2 * np.pi * np.cumsum(hertz) / RATE), RATE
+    phase = np.cumsum(np.repeat(330.0 * 2.0 ** (notes / 12), RATE // 8))
+    phase *= 2 * np.pi
+    phase /= RATE
+    return np.sin(phase, out=phase), RATE
 
 
 def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
@@ -87,28 +91,46 @@ def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def pitch_bins() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins in use, by pitch class; where each class begins among them; the class)."""
+def pitch_bins() -> tuple[slice, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins in use; their order by pitch class; where each class begins in that order; the class)."""
     hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
     used = np.flatnonzero((hertz >= LOW) & (hertz <= HIGH))
     of = np.round(12 * np.log2(hertz[used] / 440.0)).astype(int) % 12
     order = np.argsort(of, kind="stable")
     classes, begin = np.unique(of[order], return_index=True)
-    return used[order], begin, classes
+    return slice(int(used[0]), int(used[-1]) + 1), order, begin, classes
+
+
+@lru_cache(maxsize=1)
+def frame_buffers() -> tuple[np.ndarray, ...]:
+    """The window, and room for FRAMES windowed frames, their spectra and the power of the bins in use."""
+    wide = len(pitch_bins()[1])
+    return np.hanning(FRAME), np.empty((FRAMES, FRAME)), np.empty((FRAMES, FRAME // 2 + 1), np.complex128), *np.empty((3, FRAMES, wide))
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
     """(frame, pitch class), each frame of unit length or zero.
 
-    Sums over bins instead of a matrix product: that one would start threads in every task.
+    Sums over bins instead of a matrix product: that one would start threads in every task. A few
+    frames at a time, in buffers that stay: spectra of a whole recording would leave a core's cache,
+    and their memory would go back and be asked for anew with each of them.
     """
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::STEP] * np.hanning(FRAME)
-    bins, begin, classes = pitch_bins()
-    heard = np.fft.rfft(frames)[:, bins]
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::STEP]
+    bins, order, begin, classes = pitch_bins()
+    window, *buffers = frame_buffers()
     found = np.zeros((len(frames), 12))
-    found[:, classes] = np.add.reduceat(heard.real**2 + heard.imag**2, begin, axis=1)
+    for at in range(0, len(frames), FRAMES):
+        some = frames[at : at + FRAMES]
+        windowed, heard, real, imag, power = (x[: len(some)] for x in buffers)
+        np.multiply(some, window, out=windowed)
+        np.fft.rfft(windowed, out=heard)
+        np.square(heard.real[:, bins], out=real)
+        np.square(heard.imag[:, bins], out=imag)
+        real += imag
+        np.take(real, order, axis=1, out=power, mode="clip")
+        found[at : at + FRAMES, classes] = np.add.reduceat(power, begin, axis=1)
     size = np.sqrt((found**2).sum(1, keepdims=True))
     return np.where(size > 1e-6, found / np.maximum(size, 1e-12), 0.0)
 
@@ -118,15 +140,14 @@ def packed(frames: np.ndarray) -> np.ndarray:
     n = len(frames) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    sums = np.zeros((len(frames) + 1, 13))
-    sums[1:, 1:] = frames.cumsum(0).cumsum(1)
-    at = np.arange(n)
+    sums = np.zeros((13, len(frames) + 1))
+    sums[1:, 1:] = frames.cumsum(0).cumsum(1).T
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return sums[at + t1, p1] - sums[at + t0, p1] - sums[at + t1, p0] + sums[at + t0, p0]
+        return sums[p1, t1 : t1 + n] - sums[p1, t0 : t0 + n] - sums[p0, t1 : t1 + n] + sums[p0, t0 : t0 + n]
 
-    out = np.zeros(n, np.uint32)
-    for kind, p, high, wide in FILTERS:
+    sides = np.empty((2, len(FILTERS), n))
+    for i, (kind, p, high, wide) in enumerate(FILTERS):
         middle, centre = p + high // 2 + high % 2, wide // 2
         whole = area(0, wide, p, p + high)
         if kind == 0:  # these pitch classes against all others
@@ -138,8 +159,11 @@ def packed(frames: np.ndarray) -> np.ndarray:
         else:  # a chequerboard
             one = area(0, centre, p, middle) + area(centre, wide, middle, p + high)
             two = whole - one
-        level = np.searchsorted(STEPS, np.log((1 + np.maximum(one, 0)) / (1 + np.maximum(two, 0))))
-        out = out << np.uint32(2) | GRAY[level]
+        sides[:, i] = one, two
+    one, two = 1 + np.maximum(sides, 0)
+    out = np.zeros(n, np.uint32)
+    for level in GRAY[np.searchsorted(STEPS, np.log(one / two))]:
+        out = out << np.uint32(2) | level
     return out
 
 

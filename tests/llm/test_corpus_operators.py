@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -526,6 +527,23 @@ def test_recordings_align_as_by_brute_force(spark):
             assert media.bit_error(prints[i], prints[r.partner_id], r.offset) == pytest.approx(r.bit_error)
 
 
+def test_frames_are_transformed_in_bounded_memory():
+    """A long recording's spectra are never held at once, and its frames are those of one transform."""
+    tune = np.tile(media.from_notes(melody(5, 64))[0], 12)[:500_000]
+    media.chroma(tune[:5000])
+    tracemalloc.start()
+    found = media.chroma(tune)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    frames = np.lib.stride_tricks.sliding_window_view(tune, media.FRAME)[:: media.STEP] * np.hanning(media.FRAME)
+    power = np.abs(np.fft.rfft(frames)) ** 2
+    hertz = np.fft.rfftfreq(media.FRAME, 1 / media.RATE)
+    of = [int(round(12 * np.log2(h / 440))) % 12 if media.LOW <= h <= media.HIGH else 12 for h in hertz]
+    whole = np.stack([power[:, [i for i, c in enumerate(of) if c == k]].sum(1) for k in range(12)], 1)
+    assert np.allclose(found, whole / np.sqrt((whole**2).sum(1, keepdims=True)))
+
+
 def test_toxicity_separates_what_it_has_learnt():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
